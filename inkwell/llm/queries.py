@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.llm import language as q2
 from inkwell.llm import quality as q1
+from inkwell.llm import toxicity as q7
 from inkwell.llm.common import table
 
 
@@ -14,8 +16,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q1.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q2.evaluate_query(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q7.evaluate_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
