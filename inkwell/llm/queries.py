@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.llm import decontaminate as q4
+from inkwell.llm import html as q8
 from inkwell.llm import language as q2
 from inkwell.llm import quality as q1
+from inkwell.llm import secrets as q9
 from inkwell.llm import toxicity as q7
 from inkwell.llm.common import table
 
@@ -20,13 +23,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q2.evaluate_query(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q4.digest_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q7.evaluate_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q8.extraction(table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q9.digest_query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op7_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op7_toxicity, op8_html_extraction, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": q1.oracle()}
+    return {"op1_quality_rules": q1.oracle(), "op4_decontamination": q4.oracle()}
