@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm import decontaminate as q4
 from inkwell.llm import html as q8
 from inkwell.llm import language as q2
+from inkwell.llm import packing as q10
 from inkwell.llm import quality as q1
 from inkwell.llm import secrets as q9
 from inkwell.llm import toxicity as q7
@@ -39,8 +40,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q9.digest_query(table(spark, sf_dir, "documents"))
 
 
+#: A public byte-level vocabulary of 50,256 tokens; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q10.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op7_toxicity, op8_html_extraction, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op7_toxicity, op8_html_extraction, op9_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
