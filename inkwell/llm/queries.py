@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm import decontaminate as q4
 from inkwell.llm import html as q8
 from inkwell.llm import language as q2
+from inkwell.llm import lines as q3
 from inkwell.llm import packing as q10
 from inkwell.llm import quality as q1
 from inkwell.llm import secrets as q9
@@ -24,6 +25,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q2.evaluate_query(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q3.digest_query(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q4.digest_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,8 +54,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op7_toxicity, op8_html_extraction, op9_secret_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_line_dedup, op4_decontamination, op7_toxicity, op8_html_extraction, op9_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": q1.oracle(), "op4_decontamination": q4.oracle()}
+    return {"op1_quality_rules": q1.oracle(), "op3_line_dedup": q3.oracle(), "op4_decontamination": q4.oracle()}
