@@ -149,3 +149,17 @@ def resolved(chunks: DataFrame, replies: DataFrame, back: dict[str, type], schem
         return pa.Table.from_batches(out)
 
     return chunks.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def rescattered(chunks: DataFrame, replies: DataFrame, back: dict[str, type], n: int, columns: dict[str, type], send: Callable[[int, pa.Table, dict[str, np.ndarray]], tuple[np.ndarray, dict[str, np.ndarray]]]) -> DataFrame:
+    """A second round: entries of every chunk, given its replies to the first."""
+    schema = "part int, chunk long, keys binary" + "".join(f", {c} binary" for c in columns)
+    names = ["part", "chunk", "keys", *columns]
+    kinds = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in names[2:])])
+
+    def finish(chunk, table, got):
+        keys, rest = send(chunk, table, got)
+        row = packed(chunk, keys, n, rest)
+        yield row.select(names) if row is not None else pa.RecordBatch.from_pylist([], kinds)
+
+    return resolved(chunks, replies, back, schema, finish).repartitionById(n, F.col("part"))

@@ -13,6 +13,7 @@ from inkwell.llm import lines as q3
 from inkwell.llm import packing as q10
 from inkwell.llm import quality as q1
 from inkwell.llm import secrets as q9
+from inkwell.llm import substrings as q5
 from inkwell.llm import toxicity as q7
 from inkwell.llm.common import table
 
@@ -33,6 +34,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q4.digest_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q5.digest_query(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q7.evaluate_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,8 +59,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_line_dedup, op4_decontamination, op7_toxicity, op8_html_extraction, op9_secret_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_line_dedup, op4_decontamination, op5_substring_dedup, op7_toxicity, op8_html_extraction, op9_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": q1.oracle(), "op3_line_dedup": q3.oracle(), "op4_decontamination": q4.oracle()}
+    return {"op1_quality_rules": q1.oracle(), "op3_line_dedup": q3.oracle(), "op4_decontamination": q4.oracle(), "op5_substring_dedup": q5.oracle()}
