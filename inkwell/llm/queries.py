@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import decontaminate as q4
 from inkwell.llm import html as q8
+from inkwell.llm import jaccard as q6
 from inkwell.llm import language as q2
 from inkwell.llm import lines as q3
 from inkwell.llm import packing as q10
@@ -38,6 +39,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q5.digest_query(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q6.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q7.evaluate_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,8 +64,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_line_dedup, op4_decontamination, op5_substring_dedup, op7_toxicity, op8_html_extraction, op9_secret_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_line_dedup, op4_decontamination, op5_substring_dedup, op6_ngram_jaccard_join, op7_toxicity, op8_html_extraction, op9_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": q1.oracle(), "op3_line_dedup": q3.oracle(), "op4_decontamination": q4.oracle(), "op5_substring_dedup": q5.oracle()}
+    return {"op1_quality_rules": q1.oracle(), "op3_line_dedup": q3.oracle(), "op4_decontamination": q4.oracle(), "op5_substring_dedup": q5.oracle(), "op6_ngram_jaccard_join": q6.oracle()}
