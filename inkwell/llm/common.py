@@ -38,6 +38,14 @@ def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all columns in ``taken``."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def fold(key: str, n: int):
     """crc32 of the id as text, modulo n; null ids give null."""
     return F.crc32(F.col(key).cast("string")) % F.lit(n)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import words as W
-from inkwell.llm.common import id_text, slices, utf8
+from inkwell.llm.common import fresh, id_text, slices, utf8
 
 K = 5
 
@@ -167,7 +167,10 @@ def scan_texts(column: pa.Array, indexes) -> tuple[list[int], list[list[tuple[in
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block_bytes: int = 16 << 20) -> DataFrame:
-    """key, carried columns, n_words, spans (array of start and end words), items (array of ids as text, sorted)."""
+    """key, carried columns, n_words, spans (array of start and end words), items (array of ids as text, sorted).
+
+    The last three get underscores where carried columns have their names.
+    """
     context = docs.sparkSession.sparkContext
     held = [context.broadcast(i) for i in blocks(items, block_bytes=block_bytes)]
 
@@ -178,12 +181,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                 b.__dict__.pop("_value", None)  # only one block stays in memory
 
     names = [key, *carry]
-    src = docs.select(*names, F.col(text).alias("_text"))
+    whole, *made = (fresh(c, names) for c in ("text", "n_words", "spans", "items"))
+    src = docs.select(*names, F.col(text).cast("string").alias(whole))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for b in batches:
-            n, spans, found = scan_texts(b.column("_text"), indexes)
+            n, spans, found = scan_texts(b.column(whole), indexes)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(b.column(c) for c in names),
@@ -191,11 +195,11 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                     pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], kind),
                     pa.array([sorted(map(str, f)) for f in found], pa.list_(pa.string())),
                 ],
-                [*names, "n_words", "spans", "items"],
+                [*names, *made],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema)
-    return src.mapInArrow(run, f"{fields}, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>")
+    return src.mapInArrow(run, f"{fields}, `{made[0]}` long, `{made[1]}` array<struct<start:bigint,end:bigint>>, `{made[2]}` array<string>")
 
 
 def digest_query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import cnn
-from inkwell.llm.common import fold, id_text, sampled, slices, utf8
+from inkwell.llm.common import fold, fresh, id_text, sampled, slices, utf8
 
 LENGTH = 128
 
@@ -75,16 +75,17 @@ def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str =
     return LanguageModel(labels, cnn.ByteCNN(len(labels), LENGTH).train(x, y, weights=weights))
 
 
-def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: list[str] = ()) -> DataFrame:
-    """key, carried columns, lang_pred, score for every row."""
-    src = docs.select(*([key, text] + list(carry)))
+def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carried columns, lang_pred, score for every row; the last two get underscores where carried columns have their names."""
     names = [key, *carry]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema) + ", lang_pred string, score double"
+    whole, lang_name, score_name = (fresh(c, names) for c in ("text", "lang_pred", "score"))
+    src = docs.select(*names, F.col(text).cast("string").alias(whole))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema) + f", `{lang_name}` string, `{score_name}` double"
 
     def score(batches):
         for b in batches:
-            lang, s = model.predict(b.column(text))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lang, pa.string()), pa.array(s, pa.float64())], [*names, "lang_pred", "score"])
+            lang, s = model.predict(b.column(whole))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lang, pa.string()), pa.array(s, pa.float64())], [*names, lang_name, score_name])
 
     return src.mapInArrow(score, schema)
 

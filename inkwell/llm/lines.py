@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import words as W
-from inkwell.llm.common import id_text, slices, utf8
+from inkwell.llm.common import fresh, id_text, slices, utf8
 from inkwell.llm.exchange import chunked, replied, resolved, scattered, shards
 
 LEAST = 10
@@ -138,8 +138,9 @@ def decide(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text of kept lines, then n_lines and n_dropped."""
+    """All columns of ``docs`` with the text of kept lines, then n_lines and n_dropped (with underscores where these names are taken)."""
     names = docs.columns
+    made = [fresh(c, names) for c in ("n_lines", "n_dropped")]
     if docs.schema[key].dataType.simpleString() != "bigint":
         docs = docs.withColumn(key, F.col(key).cast("long"))
     chunks = chunked(docs, text)
@@ -183,12 +184,12 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 texts[r] = b"\n".join(data[s[i] : e[i]].tobytes() for i in stay).decode()
         columns = {c: table.column(c) for c in names}
         columns[text] = pa.array(texts, pa.string())
-        yield from pa.table({**columns, "n_lines": total, "n_dropped": lost}).combine_chunks().to_batches()
+        yield from pa.table({**columns, made[0]: total, made[1]: lost}).combine_chunks().to_batches()
 
     entries = scattered(chunks, n, SENT, send)
     replies = replied(entries, SENT, BACK, decide)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return resolved(chunks, replies, BACK, f"{fields}, n_lines long, n_dropped long", finish)
+    return resolved(chunks, replies, BACK, f"{fields}, `{made[0]}` long, `{made[1]}` long", finish)
 
 
 def digest_query(docs: DataFrame) -> DataFrame:
