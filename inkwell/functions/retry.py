@@ -42,13 +42,13 @@ def kind_of(e: OSError) -> str:
 
 def classify(kind: str, code: int | None) -> tuple[str, str]:
     """(fatal or transient, variant); what is unknown is transient."""
-    name = errno.errorcode.get(code) if code is not None else None
     for table, fate in ((FATAL_KINDS, "fatal"), (TRANSIENT_KINDS, "transient")):
         if kind in table:
             return fate, table[kind]
     for table, fate in ((FATAL_CODES, "fatal"), (TRANSIENT_CODES, "transient")):
-        if name in table:
-            return fate, table[name]
+        for name, variant in table.items():
+            if code is not None and code == getattr(errno, name, None):
+                return fate, variant
     return "transient", "Other" if code is not None else "IoError"
 
 

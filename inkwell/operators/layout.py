@@ -72,8 +72,8 @@ def tag_columns(tag: Column) -> dict[str, Column]:
     kind = F.element_at(F.array(*(F.lit(k) for k in ("A", "B", "content", "end"))), F.shiftright(tag, 5).bitwiseAND(3) + 1)
     return {
         "kind": F.when(legal, kind),
-        "has_ecc": F.when(legal, bits.bitwiseAND(8) != 0),
-        "is_comp": F.when(legal, bits.bitwiseAND(4) != 0),
+        "has_ecc": legal & (bits.bitwiseAND(8) != 0),
+        "is_comp": legal & (bits.bitwiseAND(4) != 0),
         "legal": legal,
     }
 

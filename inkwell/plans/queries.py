@@ -174,7 +174,7 @@ def journal_roundtrip_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def magic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of magic numbers in texts in which some are planted, by position of the first."""
+    """Places of magic numbers in texts in which some are planted, by position of the first (-1: none)."""
     lay = Layout(4)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit(lay.magic.hex())), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8")).alias("content"))
 
@@ -185,7 +185,7 @@ def magic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         for b in batches:
             found = [Journal(x, lay).magics(0, len(x)) for x in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([int(x[0]) if len(x) else None for x in found], pa.int64())], ["doc_id", "n_found", "first_at"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([int(x[0]) if len(x) else -1 for x in found], pa.int64())], ["doc_id", "n_found", "first_at"])
 
     return docs.mapInArrow(run, "doc_id long, n_found long, first_at long")
 
