@@ -74,6 +74,10 @@ def shards(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def packed_schema(columns: dict[str, type]) -> pa.Schema:
+    return pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("keys", *columns))])
+
+
 def packed(chunk: int, keys: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch | None:
     """Entries of one chunk, one row for each shard: part, chunk, keys and other columns as bytes."""
     if not len(keys):
@@ -154,12 +158,11 @@ def resolved(chunks: DataFrame, replies: DataFrame, back: dict[str, type], schem
 def rescattered(chunks: DataFrame, replies: DataFrame, back: dict[str, type], n: int, columns: dict[str, type], send: Callable[[int, pa.Table, dict[str, np.ndarray]], tuple[np.ndarray, dict[str, np.ndarray]]]) -> DataFrame:
     """A second round: entries of every chunk, given its replies to the first."""
     schema = "part int, chunk long, keys binary" + "".join(f", {c} binary" for c in columns)
-    names = ["part", "chunk", "keys", *columns]
-    kinds = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in names[2:])])
+    kinds = packed_schema(columns)
 
     def finish(chunk, table, got):
         keys, rest = send(chunk, table, got)
         row = packed(chunk, keys, n, rest)
-        yield row.select(names) if row is not None else pa.RecordBatch.from_pylist([], kinds)
+        yield row.select(kinds.names) if row is not None else pa.RecordBatch.from_pylist([], kinds)
 
     return resolved(chunks, replies, back, schema, finish).repartitionById(n, F.col("part"))

@@ -7,13 +7,17 @@ Two sets of Jaccard similarity t or more differ in at most H = (1-t)/(1+t) * (|R
 Sizes fall into bands in which neighbours can be similar; for each band the universe of hashes
 is cut into segments, and each segment is given one unit (its subset is indexed: it must be
 equal) or two (also every subset with one element deleted: it may differ by one). With more
-units than H, similar sets share an index key; a cost model picks the allocation for each band.
-A few spare units make up for segments that are empty in both sets, which are not indexed.
-
-Keys go to shards, which link classes that share one into candidate clusters; each cluster is
-then joined exactly by prefix filtering and counted intersections, in blocks of bounded size
-and pairs of blocks, so no link is lost and no unbounded group meets in one task. Only links
-that join two components are kept. Components are the smallest document reachable.
+units than H, similar sets agree in some segments; a cost model picks the allocation for each
+band. Spare units, a quarter of H, make similar sets agree in many segments at once.
+
+That is what keeps chance agreements out. A first exchange counts how many classes hold each
+key. A class with fewer shared keys than similar sets must have in common leaves the join; of
+its keys, the most frequent ones, as many as may be missing, need not be indexed. Classes that
+meet in small groups of keys are paired and their common keys counted; large groups (families of
+near copies) are linked to their first class. Candidate clusters are then joined exactly by
+prefix filtering and counted intersections, in blocks of bounded size and pairs of blocks, so no
+link is lost and no unbounded group meets in one task. Only links that join two components are
+kept. Components are the smallest document reachable.
 
 Documents without words or text have an empty set and link with nothing. Rows without an id have
 no component. Rows of one id are one document. Repeated rows each give a row.
@@ -21,17 +25,19 @@ no component. Rows of one id are one document. Repeated rows each give a row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import words as W
 from inkwell.llm.common import id_text, materialize, slices, utf8
 from inkwell.llm.components import components
-from inkwell.llm.exchange import chunked, gathered, opened, packed, replied, resolved, scattered, shards
+from inkwell.llm.exchange import chunked, gathered, opened, packed, packed_schema, replied, resolved, scattered, shards
 
 WIDTH, PERCENT = 3, 90
 BLOCK_TOKENS = 2_000_000
@@ -83,9 +89,23 @@ def band_of(size: int, percent: int) -> int:
     return int(np.searchsorted(ups, size))
 
 
+@dataclass(frozen=True)
+class Allocation:
+    """Segments of a context, how many of them have two units, and in how many similar sets agree."""
+
+    segments: int
+    double: int
+    agree: int
+
+    @property
+    def spare(self) -> int:
+        """Empty segments up to which agreement on them is not indexed."""
+        return self.agree - 1
+
+
 @lru_cache(maxsize=None)
-def allocation(band: int, percent: int, rare: float = 1e-3) -> tuple[int, int, int]:
-    """(segments, how many of them have two units, spare units) of the context of a band and the next.
+def allocation(band: int, percent: int, rare: float = 1e-3) -> Allocation:
+    """For the context of a band and the next.
 
     The cost of an allocation is its keys for each set, plus what a chance agreement with another
     set of the band costs: a segment of few elements agrees by chance with probability
@@ -99,51 +119,53 @@ def allocation(band: int, percent: int, rare: float = 1e-3) -> tuple[int, int, i
     up, up2 = top[band][1], top[band + 1][1]
     most = min(up2, up * 100 // percent)
     apart = (100 - percent) * (up + most) // (100 + percent)
-    spare = 1 if apart < 8 else 2
-    units = apart + 1 + spare
+    units = apart + 1 + max(1, apart // 4)
     best = None
     for double in sorted({0, units // 8, units // 4, units // 2}):
         segments = units - double
+        single = segments - double
         each = up / segments
-        keys = (segments - double) + double * (1 + each)
-        chance = (segments - double) * rare**each + double * (1 + each) * rare ** max(each - 1, 0)
+        keys = single + double * (1 + each)
+        chance = single * rare**each + double * (1 + each) * rare ** max(each - 1, 0)
         cost = keys + chance * 1e6
         if best is None or cost < best[0]:
-            best = (cost, segments, double, spare)
-    return best[1:]
+            # Differences spoil a segment of one unit each, and one of two units in twos.
+            spoiled = min(single, apart) + max(0, apart - single) // 2
+            best = (cost, Allocation(segments, double, segments - spoiled))
+    return best[1]
 
 
-def _context_keys(h: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """Index keys of a sorted set in one context."""
-    segments, double, spare = allocation(band, percent)
-    seg = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+def context_keys(h: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
+    """(distinct index keys of a sorted set in one context, segments whose agreement is not indexed)."""
+    plan = allocation(band, percent)
+    seg = ((h >> np.uint64(32)) * np.uint64(plan.segments) >> np.uint64(32)).astype(np.int64)
     value = W.mix(h + np.uint64(0x5851F42D4C957F2D))
     first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(h) else np.empty(0, np.int64)
-    sums = np.zeros(segments, np.uint64)
-    count = np.zeros(segments, np.int64)
+    sums = np.zeros(plan.segments, np.uint64)
+    count = np.zeros(plan.segments, np.int64)
     if len(h):
         sums[seg[first]] = np.add.reduceat(value, first)
         count[seg[first]] = np.diff(np.append(first, len(h)))
-    unit = np.ones(segments, np.int64)
-    unit[:double] = 2
-    small = count < unit  # empty, or at most one element where one may differ
-    tag = W.mix(np.arange(segments, dtype=np.uint64) + np.uint64((band + 1) << 20))
-    bare = unit[small].sum() > spare  # so many empty segments that agreement on them must count
+    least = np.ones(plan.segments, np.int64)
+    least[: plan.double] = 2
+    small = count < least  # empty, or at most one element where one may differ
+    silent = int(small.sum())
+    bare = silent > plan.spare  # so many that agreement on them must count
+    tag = W.mix(np.arange(plan.segments, dtype=np.uint64) + np.uint64((band + 1) << 20))
     on = (count > 0) | bare
-    keys = [W.mix(sums[on] ^ tag[on])]
-    if double:
-        inside = seg < double
+    keys = W.mix(sums[on] ^ tag[on])
+    if plan.double:
+        inside = seg < plan.double
         if not bare:
             inside &= count[seg] > 1
-        keys.append(W.mix((sums[seg[inside]] - value[inside]) ^ tag[seg[inside]]))
-    return np.concatenate(keys)
+        keys = np.unique(np.concatenate([keys, W.mix((sums[seg[inside]] - value[inside]) ^ tag[seg[inside]])]))
+    return keys, 0 if bare else silent
 
 
-def index_keys(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All index keys of a set: those of its own band's context, and of the one below."""
+def contexts(h: np.ndarray, percent: int) -> list[int]:
+    """Contexts of a set: its own band's, and that of the band below."""
     band = band_of(len(h), percent)
-    parts = [_context_keys(h, b, percent) for b in (band - 1, band) if b >= 0]
-    return np.unique(np.concatenate(parts))
+    return [b for b in (band - 1, band) if b >= 0]
 
 
 def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -222,10 +244,13 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int, side: np.nda
 
 CLASS = {"check": np.uint64, "low": np.int64}
 NAMED = {"keys": np.uint64, "check": np.uint64, "low": np.int64}
-KEYED = {"row": np.uint32}
-SPREAD = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("row", pa.binary())])
+COUNTED = {"times": np.uint8}
+SEEN = {"keys": np.uint64, "times": np.uint8}
+KEYED = {"row": np.uint32, "context": np.uint16, "wild": np.uint16, "large": np.uint8}
 #: A chunk has fewer rows than this many bits count: each weighs 64 bytes at least.
 ROW_BITS = 20
+#: Keys of more classes than this link them to their first; classes of others are paired.
+SMALL = 64
 
 
 def _name_classes(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -244,20 +269,75 @@ def _identity(h: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def _linked(batches):
-    """Edges from the first class of each key to the others, each once; a class by chunk and row."""
-    got = gathered(batches, KEYED)
-    if got is None:
-        return
-    node = (got["chunk"] << ROW_BITS) + got["row"]
-    order = np.lexsort((node, got["keys"]))
-    keys, node = got["keys"][order], node[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    first = np.flatnonzero(new)
-    low = np.repeat(node[first], np.diff(np.append(first, len(keys))))
-    on = low != node
-    edges = np.unique(np.stack([low[on], node[on]], 1), axis=0)
-    yield pa.RecordBatch.from_pydict({"u": edges[:, 0], "v": edges[:, 1]})
+def _count(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Keys of two classes or more, with their number up to 255, to every chunk that holds them."""
+    order = np.argsort(got["keys"], kind="stable")
+    keys = got["keys"][order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    total = np.add.reduceat(got["times"][order].astype(np.int64), first)
+    total = np.repeat(np.minimum(total, 255), np.diff(np.append(first, len(keys))))
+    on = total > 1
+    return {"chunk": got["chunk"][order][on], "keys": keys[on], "times": total[on].astype(np.uint8)}
+
+
+def _indexed(h: np.ndarray, percent: int, known: np.ndarray, times: np.ndarray):
+    """For each context, the keys of a set that go to the index: (context, keys, wildcards, which are large).
+
+    Similar sets agree in ``agree`` segments, of which ``silent`` ones have no keys. With fewer
+    shared keys than the rest there is nothing to find; and of the most frequent ones as many
+    may be left out as leave one that both must index. Small ones are all sent, to be counted.
+    """
+    for c in contexts(h, percent):
+        keys, silent = context_keys(h, c, percent)
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        shared = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        keys, often = keys[shared], times[at[shared]] if len(known) else times
+        least = max(1, allocation(c, percent).agree - silent)
+        if len(keys) < least:
+            continue
+        order = np.lexsort((keys, often))
+        keys, often = keys[order], often[order]
+        large = often > SMALL
+        send = ~large
+        send[: len(keys) - least + 1] = True
+        yield c, keys[send], silent + int(large.sum()), large[send]
+
+
+def _paired(percent: int):
+    def run(batches):
+        """Pairs that meet under small keys with their number, and links to the first class of large keys."""
+        got = gathered(batches, KEYED)
+        if got is None:
+            return
+        node = (got["chunk"] << ROW_BITS) + got["row"]
+        order = np.lexsort((node, got["keys"]))
+        keys, node = got["keys"][order], node[order]
+        context, wild, large = (got[c][order] for c in ("context", "wild", "large"))
+        big = large > 0
+        k, n = keys[big], node[big]
+        if len(k):
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            low = np.repeat(n[first], np.diff(np.append(first, len(k))))
+            edges = np.unique(np.stack([low, n], 1)[low != n], axis=0)
+            if len(edges):
+                zero = np.zeros(len(edges), np.int64)
+                yield pa.RecordBatch.from_pydict({"u": edges[:, 0], "v": edges[:, 1], "context": zero - 1, "times": zero, "lack": zero})
+        keys, node, context, wild = keys[~big], node[~big], context[~big].astype(np.int64), wild[~big].astype(np.int64)
+        parts = []
+        for d in range(1, SMALL):
+            i = np.flatnonzero(keys[d:] == keys[:-d])
+            if not len(i):
+                break
+            parts.append(np.stack([node[i], node[i + d], context[i], np.minimum(wild[i], wild[i + d])], 1))
+        if not parts:
+            return
+        x = np.concatenate(parts)
+        x = x[x[:, 0] != x[:, 1]]
+        x, times = np.unique(x, axis=0, return_counts=True)
+        agree = np.array([allocation(c, percent).agree for c in range(int(x[:, 2].max(initial=0)) + 1)])
+        yield pa.RecordBatch.from_pydict({"u": x[:, 0], "v": x[:, 1], "context": x[:, 2], "times": times, "lack": agree[x[:, 2]] - x[:, 3]})
+
+    return run
 
 
 def class_table(docs: DataFrame, key: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
@@ -298,24 +378,58 @@ def similarity_links(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     n = shards(docs)
     leads = rows.where("lead").select("chunk", "row", F.col("class").alias("node"), "n")
 
-    def spread(left, right):
-        keys, at = [], []
-        for _, h, i in _picked(left, right, text, width):
-            k = index_keys(h, percent)
-            keys.append(k)
-            at.append(np.full(len(k), i, np.uint32))
-        chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
-        row = packed(chunk, np.concatenate(keys), n, {"row": np.concatenate(at)}) if keys else None
-        return pa.Table.from_batches([row]) if row is not None else pa.Table.from_pylist([], SPREAD)
-
-    sent = chunks.groupBy("chunk").cogroup(leads.groupBy("chunk")).applyInArrow(spread, "part int, chunk long, keys binary, row binary").repartitionById(n, F.col("part"))
-    candidates = components(sent.mapInArrow(_linked, "u long, v long"))
+    counted = replied(_counting(chunks, leads, n, text, width, percent), COUNTED, SEEN, _count)
+    pairs = _indexing(chunks, leads, counted, n, text, width, percent).mapInArrow(_paired(percent), "u long, v long, context long, times long, lack long")
+    met = pairs.groupBy("u", "v", "context").agg(F.sum("times").alias("times"), F.max("lack").alias("lack")).where("times >= lack")
+    candidates = components(met.select("u", "v"))
     place = F.shiftleft(F.col("chunk"), ROW_BITS) + F.col("row")
     clustered = candidates.withColumnRenamed("node", "place").join(leads.withColumn("place", place), "place")
     blocked = _blocks(materialize(clustered.drop("place")), block_tokens)
     return rows, _joined_blocks(_sets_of(chunks, blocked, key, text, width), percent)
 
 
+def _counting(chunks: DataFrame, leads: DataFrame, n: int, text: str, width: int, percent: int) -> DataFrame:
+    """Every chunk's distinct keys and how many of its classes hold each."""
+
+    def run(left, right):
+        keys = [context_keys(h, c, percent)[0] for _, h, _ in _picked(left, right, text, width) for c in contexts(h, percent)]
+        row = None
+        if keys:
+            k, times = np.unique(np.concatenate(keys), return_counts=True)
+            row = packed(left.column("chunk")[0].as_py(), k, n, {"times": np.minimum(times, 255).astype(np.uint8)})
+        return pa.Table.from_batches([row]) if row is not None else pa.Table.from_pylist([], packed_schema(COUNTED))
+
+    return chunks.groupBy("chunk").cogroup(leads.groupBy("chunk")).applyInArrow(run, "part int, chunk long, keys binary, times binary").repartitionById(n, F.col("part"))
+
+
+def _indexing(chunks: DataFrame, leads: DataFrame, counted: DataFrame, n: int, text: str, width: int, percent: int) -> DataFrame:
+    """Every chunk's index entries, given the numbers of its keys."""
+
+    def run(left, right):
+        is_lead = right.column("row").is_valid()
+        told = right.filter(pc.invert(is_lead))
+        known = np.frombuffer(b"".join(x.as_buffer() for x in told.column("keys")), np.uint64)
+        times = np.frombuffer(b"".join(x.as_buffer() for x in told.column("times")), np.uint8)
+        order = np.argsort(known)
+        known, times = known[order], times[order]
+        keys, columns = [], {c: [] for c in KEYED}
+        for _, h, i in _picked(left, right.filter(is_lead), text, width):
+            for c, k, wild, large in _indexed(h, percent, known, times):
+                keys.append(k)
+                for name, x in (("row", i), ("context", c), ("wild", min(wild, 65535))):
+                    columns[name].append(np.full(len(k), x, KEYED[name]))
+                columns["large"].append(large.astype(np.uint8))
+        row = None
+        if keys:
+            row = packed(left.column("chunk")[0].as_py(), np.concatenate(keys), n, {c: np.concatenate(x) for c, x in columns.items()})
+        return pa.Table.from_batches([row]) if row is not None else pa.Table.from_pylist([], packed_schema(KEYED))
+
+    none = F.lit(None)
+    both = leads.select("chunk", "row", none.cast("binary").alias("keys"), none.cast("binary").alias("times")).unionByName(counted.select("chunk", none.cast("long").alias("row"), "keys", "times"))
+    schema = "part int, chunk long, keys binary" + "".join(f", {c} binary" for c in KEYED)
+    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, schema).repartitionById(n, F.col("part"))
+
+
 def _picked(chunk: pa.Table, rows: pa.Table, text: str, width: int):
     """(wanted row as a dict, its set, its place) of some rows of a chunk; other texts are not parsed."""
     if not chunk.num_rows or not rows.num_rows:
