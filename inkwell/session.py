@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
         path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, unless their Python finds it already."""
+    root = Path(__file__).resolve().parents[1]
+    known = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    context = spark.sparkContext
+    if any(Path(p).resolve() == root for p in known) or getattr(context, "_inkwell_shipped", False):
+        return spark
+    path = os.path.join(tempfile.mkdtemp(prefix="inkwell-"), "inkwell.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "inkwell").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(path)
+    context._inkwell_shipped = True
+    return spark

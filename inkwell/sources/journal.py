@@ -81,7 +81,6 @@ class Range(InputPartition):
     start: int
     end: int
     first_block: int
-    tail: bool  # whether the range goes to the end of the file
 
     def __post_init__(self):
         super().__init__(None)
@@ -198,7 +197,7 @@ def read_range(part: Range, o: _Options, low: int | None = None, high: int | Non
         held = 0
         no = part.first_block
 
-        def parse(a: int, b: int, count: int) -> None:
+        def parse(a: int, b: int) -> None:
             nonlocal held, no
             f.seek(a)
             j = Journal(f.read(b - a), layout, a, o.hash_name)
@@ -207,22 +206,20 @@ def read_range(part: Range, o: _Options, low: int | None = None, high: int | Non
                 no += 1
             held += b - a
 
-        pos, batch, count, skipped = part.start, part.start, 0, 0
+        batch = part.start
         for mn, end, t0, t1 in light_walk(f, layout, part.start, part.end):
-            pos = end
             out = (low is not None or high is not None) and (t0 is None or (low is not None and t1 < low) or (high is not None and t0 > high))
             if out or end - batch > o.split // 8:
                 if mn > batch:
-                    parse(batch, mn, count)
-                batch, count = (end, 0) if out else (mn, 0)
+                    parse(batch, mn)
+                batch = end if out else mn
                 no += int(out)
-            count += 1
             if held > o.split // 4 and rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, held = [], 0
-        stop = part.end if part.tail else pos
-        if stop > batch:
-            parse(batch, stop, count)
+        # The rest: the last blocks, or what follows damage at which the walk over headers stopped.
+        if part.end > batch:
+            parse(batch, part.end)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -238,25 +235,33 @@ class JournalReader(DataSourceReader):
         for file in segments(self.o.path):
             size = os.path.getsize(file)
             facts = known.get(os.path.basename(file))
-            if facts and self.o.view == "components" and facts["bytes"] == size and facts["low"] is not None:
-                if (self.low is not None and facts["high"] < self.low) or (self.high is not None and facts["low"] > self.high):
-                    continue
+            if facts and facts["bytes"] == size and self.o.hint is None:
+                out += self._cut(file, facts)
+                continue
             with _open(file, self.o) as f:
                 layout = _layout(f, self.o)
                 start = FILE_HEADER if self.o.hint is None else self.o.hint - layout.mn
                 if size - start <= self.o.split:
-                    out.append(Range(file, start, size, 0, True))
+                    out.append(Range(file, start, size, 0))
                     continue
                 at, first, no = start, 0, 0
                 for _, end, _, _ in light_walk(f, layout, start, size):
                     no += 1
                     if end - at >= self.o.split:
-                        out.append(Range(file, at, end, first, False))
+                        out.append(Range(file, at, end, first))
                         at, first = end, no
                 if at < size:
-                    out.append(Range(file, at, size, first, True))
+                    out.append(Range(file, at, size, first))
         return out
 
+    def _cut(self, file: str, facts: dict) -> list[Range]:
+        """Ranges of a published segment, from its manifest line alone: none if its times lie outside the bounds."""
+        if self.o.view == "components" and facts["low"] is not None:
+            if (self.low is not None and facts["high"] < self.low) or (self.high is not None and facts["low"] > self.high):
+                return []
+        cuts = [(FILE_HEADER, 0), *map(tuple, facts["cuts"]), (facts["bytes"], facts["blocks"])]
+        return [Range(file, a, b, no) for (a, no), (b, _) in zip(cuts, cuts[1:], strict=False)]
+
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         yield from read_range(partition, self.o, self.low, self.high)
 
@@ -287,7 +292,8 @@ def write_segment(rows: Iterator, path: str, o: _Options) -> Written:
     staging = os.path.join(local(path), "_staging")
     os.makedirs(staging, exist_ok=True)
     staged = os.path.join(staging, uuid.uuid4().hex)
-    facts = {"bytes": 0, "blocks": 0, "low": None, "high": None}
+    facts = {"bytes": 0, "blocks": 0, "low": None, "high": None, "cuts": []}
+    cut = FILE_HEADER
     first = None
     key, hasher, end_ts = None, None, 0
     with retry_call(lambda: open(staged, "wb"), o.tries) as f:
@@ -305,6 +311,9 @@ def write_segment(rows: Iterator, path: str, o: _Options) -> Written:
             if r.block_no != key:
                 close()
                 first = r.block_no if first is None else first
+                if f.tell() - cut >= o.split:  # a later scan may begin here
+                    cut = f.tell()
+                    facts["cuts"].append((cut, facts["blocks"]))
                 key, facts["blocks"] = r.block_no, facts["blocks"] + 1
                 f.write(layout.magic)
                 if r.kind == "B":
@@ -420,7 +429,7 @@ class JournalStreamReader(DataSourceStreamReader):
         for file, (stop, _) in end.items():
             at, no = start.get(file, [FILE_HEADER, 0])
             if stop > at:
-                out.append(Range(file, at, stop, no, False))
+                out.append(Range(file, at, stop, no))
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:

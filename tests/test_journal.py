@@ -125,6 +125,21 @@ def test_large_files_are_split_at_block_borders(spark, tmp_path):
     assert a == b and len(a) == 120
 
 
+def test_published_cuts_and_damage(spark, tmp_path):
+    ops, _ = make_ops(spark, ["atomic"] * 60)
+    path = str(tmp_path / "j")
+    scan.enable(spark)
+    scan.frames(layout.assign_blocks(ops)).coalesce(1).sortWithinPartitions("block_no").write.format("journal").option("splitBytes", "4000").mode("append").save(path)
+    (facts,) = manifest(path).values()
+    assert len(facts["cuts"]) > 2 and facts["blocks"] == 60
+    blocks = scan.read(spark, path, "blocks").orderBy("mn_start").collect()
+    assert [b.block_no for b in blocks] == list(range(60))
+    with open(segments(path)[0], "r+b") as h:
+        h.seek(blocks[10].block_start)
+        h.write(b"\xff" * 9)
+    assert scan.read(spark, path, "blocks").where("state = 'Closed'").count() == 59
+
+
 def test_running_values(spark):
     df = ranged(spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v")).repartition(5), "k")
     s = running_sum(df, "v", "s", "k").orderBy("k").collect()
