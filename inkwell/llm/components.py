@@ -12,10 +12,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (larger ones, or smaller ones and itself) point to its smallest neighbour.
 
     Smallest neighbours come from a partial aggregate and go back to the edges by a join, so no
-    node's neighbours are gathered anywhere.
+    node's neighbours are gathered anywhere. They are written in between: the join then has an
+    exchange of its own on both sides, and Spark can split the edges of a hub.
     """
     both = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
     joined = both.join(low, "u")
     if large:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
