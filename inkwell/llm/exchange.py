@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import materialize, utf8
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CHUNKS = "chunk long, rows long, blob binary"
 
 
