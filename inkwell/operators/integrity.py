@@ -34,14 +34,13 @@ def integrity_errors(blocks: DataFrame) -> DataFrame:
 
 def tail_recovery(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
     """The plan for each file: lengths before and after, steps, corrected bytes, segments; nothing is changed."""
-    o = {k: v for k, v in options.items()}
     files = [f for p in paths for f in segments(p)]
     df = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 4096)))
 
     def run(batches):
         for b in batches:
             for f in b.column("file").to_pylist():
-                r = recover_file(local(f), _Options({**o, "path": f}))
+                r = recover_file(local(f), _Options({**options, "path": f}))
                 yield pa.RecordBatch.from_pylist(
                     [{"file": f, "original_len": r["original_len"], "recovered_len": r["recovered_len"], "has_blocks": r["has_blocks"], "errors_corrected": r["errors_corrected"],
                       "ops": [{"offset": a, "state": s} for a, s in r["ops"]], "n_segments": len(r["segments"])}],

@@ -7,7 +7,6 @@ with parity or compression, ``conversations`` one best-effort block for each con
 
 from __future__ import annotations
 
-
 import hashlib
 import os
 import shutil
@@ -16,7 +15,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from inkwell.functions.retry import FATAL_CODES, RetryConfig, TRANSIENT_CODES, classify
 from inkwell.operators import ecc, integrity, layout, scan
 
@@ -369,10 +367,6 @@ def ts_monotonic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.ts_violations(o, "ts", "o_orderkey").select("o_orderkey", "ts", "prev_ts")
 
 
-def _finished(query, path: str) -> None:
-    query.awaitTermination()
-
-
 def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A journal that grows between two runs of one stream: all components, each once."""
     base = f"{local(shared_dir(spark))}/streams/{uuid.uuid4().hex}"

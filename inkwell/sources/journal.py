@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (
 
 from inkwell.functions import codecs
 from inkwell.functions.retry import RetryConfig, retry_call
-from inkwell.sources.format import FILE_HEADER, HEADER, TAGS, ECC_FLAG, EndOfFile, Layout, read_config, signed
+from inkwell.sources.format import ECC_FLAG, FILE_HEADER, HEADER, TAGS, Layout, read_config, signed
 from inkwell.sources.parser import Block, Journal
 
 SCHEMAS = {
@@ -497,6 +497,3 @@ def check_file(path: str, **options) -> dict:
         layout = _layout(f, o)
         f.seek(FILE_HEADER)
         return Journal(f.read(), layout, FILE_HEADER, o.hash_name).integrity()
-
-
-__all__ = ["EndOfFile", "INPUT", "JournalDataSource", "SCHEMAS", "apply_recovery", "check_file", "recover_file"]
