@@ -160,7 +160,8 @@ def pack(counts: DataFrame, key: str = "doc_id", capacities: tuple[int, ...] = C
     histogram = {r[0]: r[1] for r in by_salt.groupBy("length").agg(F.sum("count")).collect()}
     plan = spark.sparkContext.broadcast(make_plan(histogram, capacities, overhead))
     ranked = (
-        pieces.join(by_salt.select("length", "salt", "before"), ["length", "salt"], "left")
+        # Counts grow with the salts: a merge join, whose partitions the row numbers use again.
+        pieces.join(by_salt.select("length", "salt", "before").hint("merge"), ["length", "salt"], "left")
         .withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("k", "piece")) - 1 + F.coalesce("before", F.lit(0)))
         .select("k", "piece", "start", "length", "rank")
     )
