@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import materialize, utf8
 
 CHUNK_BYTES = 4 << 20
+#: Chunks of a task; with these and 20 bits for rows, 27 bits are left for tasks.
+CHUNK_BITS = 16
 CHUNKS = "chunk long, rows long, blob binary"
 
 
@@ -46,7 +48,9 @@ def chunked(df: DataFrame, text: str = "text", target: int = CHUNK_BYTES) -> Dat
             nonlocal held, size, n
             table = pa.Table.from_batches(held).combine_chunks()
             batch = table.to_batches(max_chunksize=max(1, table.num_rows))[0]
-            row = pa.RecordBatch.from_pydict({"chunk": [(task << 24) + n], "rows": [batch.num_rows], "blob": pa.array([_blob(batch)], pa.binary())})
+            if n >> CHUNK_BITS:
+                raise ValueError("too many chunks in one task: raise the number of input partitions")
+            row = pa.RecordBatch.from_pydict({"chunk": [(task << CHUNK_BITS) + n], "rows": [batch.num_rows], "blob": pa.array([_blob(batch)], pa.binary())})
             held, size, n = [], 0, n + 1
             return row
 
