@@ -378,7 +378,7 @@ def similarity_links(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     n = shards(docs)
     leads = rows.where("lead").select("chunk", "row", F.col("class").alias("node"), "n")
 
-    counted = replied(_counting(chunks, leads, n, text, width, percent), COUNTED, SEEN, _count)
+    counted = materialize(replied(_counting(chunks, leads, n, text, width, percent), COUNTED, SEEN, _count))
     pairs = _indexing(chunks, leads, counted, n, text, width, percent).mapInArrow(_paired(percent), "u long, v long, context long, times long, lack long")
     met = pairs.groupBy("u", "v", "context").agg(F.sum("times").alias("times"), F.max("lack").alias("lack")).where("times >= lack")
     candidates = components(met.select("u", "v"))

@@ -178,12 +178,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
         order = np.lexsort((got["check"], got["keys"]))
         keys, check, owner, place = (got[c][order] for c in FOUND)
         out = {"n_words": [], "n_removed": [], "kept": [], "factors": []}
-        for (a, rows, d, off, s, e, row, h), starts in candidates(table, got["anchor"]):
-            starts = starts[known[row[starts] + a]]
+        for a, rows, d, off, s, e, row, h in _parsed(table.column(text)):
+            # Any window may be asked for: those the index does not hold have no reply.
+            n_starts = max(0, len(h) - span + 1) if len(keys) else 0
+            starts = np.flatnonzero((row[:n_starts] == row[span - 1 : span - 1 + n_starts]) & known[row[:n_starts] + a])
             h1, h2 = _windows(h, starts, span)
             hit = np.zeros(len(starts), bool)
             ref, ref_at = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-            if len(keys):
+            if len(starts):
                 at = np.searchsorted(keys, h1)
                 more = np.ones(len(h1), bool)
                 while more.any():  # one round, unless two windows share a first hash
@@ -218,12 +220,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
         yield from result.combine_chunks().to_batches()
 
     back = {"keys": np.uint64}
+    # Each round's replies are written, which frees the files of its exchanges.
     anchors = materialize(replied(scattered(chunks, n, ANCHOR, send_anchors), ANCHOR, back, shared_anchors))
-    found = replied(rescattered(chunks, anchors, back, n, WINDOW, send_windows), WINDOW, FOUND, first_holders)
-    none = F.lit(b"")
-    both = anchors.select("chunk", F.col("keys").alias("anchor"), *(none.alias(c) for c in FOUND)).unionByName(found.withColumn("anchor", none))
+    found = materialize(replied(rescattered(chunks, anchors, back, n, WINDOW, send_windows), WINDOW, FOUND, first_holders))
     schema = f"`{key}` long, n_words long, n_removed long, kept string, factors array<struct<start:bigint,length:bigint,ref_doc:bigint,ref_start:bigint>>"
-    return resolved(chunks, both, {"anchor": np.uint64, **FOUND}, schema, finish)
+    return resolved(chunks, found, FOUND, schema, finish)
 
 
 def _joined(d: np.ndarray, off: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray, keep: np.ndarray) -> pa.Array:
