@@ -404,3 +404,35 @@ def test_pipeline_stages(spark, docs, rows):
     assert near.columns == table.columns and sorted(got) == sorted(want)
     spoken = pipeline.language_stage(spark, table, "")
     assert spoken.columns == table.columns and spoken.where("text is null").count() == 0
+
+
+def test_pipeline_run(spark, tmp_path, rows):
+    """All stages in a row against brute force from the language stage's output on."""
+    import corpus_pipeline
+
+    once = {r[0]: r[:5] for r in reversed(rows) if r[0] is not None}
+    table = spark.createDataFrame(list(once.values()), "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, " ".join(words(once[4][1])[:14])), (2, "u17 u18 u19"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    spoken = [tuple(r) for r in pipeline.language_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).select("doc_id", "text").collect()]
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    owner = {}
+    for i, t in sorted(spoken):
+        for x in t.split("\n"):
+            owner.setdefault(key(x), i)
+    kept = []
+    for i, t in spoken:
+        ls = t.split("\n")
+        stay = [x for x in ls if len(key(x)) < 10 or owner[key(x)] == i]
+        if len(stay) == len(ls) or words("\n".join(stay)):
+            kept.append((i, "\n".join(stay)))
+    alone = [(i, t) for (i, t), (_, _, c) in zip(kept, brute_components(kept, 5, 80), strict=True) if c == i]
+    clean = [(i, t) for i, t in alone if not decontaminate.brute_force(t, items)[1]]
+    encode = packing.tokenizer_of("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    assert clean and len(clean) < len(alone) < len(kept)
+    assert {r.doc_id for r in got} == {i for i, _ in clean}
+    check_packing(got, {i: len(encode(t)) for i, t in clean}, packing.CAPACITIES)
