@@ -411,6 +411,8 @@ def test_pipeline_run(spark, tmp_path, rows):
     import corpus_pipeline
 
     once = {r[0]: r[:5] for r in reversed(rows) if r[0] is not None}
+    long = " ".join(f"w{i * 7 % 120} u{i}" for i in range(100))  # a near copy that shares no line
+    once |= {i: (i, t, "en", "s", len(t)) for i, t in ((300, long + " end"), (301, long + " stop"))}
     table = spark.createDataFrame(list(once.values()), "doc_id long, text string, lang string, source string, n_chars long")
     table.write.parquet(f"{tmp_path}/documents.parquet")
     items = [(1, " ".join(words(once[4][1])[:14])), (2, "u17 u18 u19"), (3, None)]
