@@ -136,7 +136,11 @@ def allocation(band: int, percent: int, rare: float = 1e-3) -> Allocation:
 
 
 def context_keys(h: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
-    """(distinct index keys of a sorted set in one context, segments whose agreement is not indexed)."""
+    """(distinct index keys of a sorted set in one context, segments whose agreement may not be indexed).
+
+    A bare set indexes its small segments too, but a partner that is not bare does not index the
+    ones they share, so these count as silent for both.
+    """
     plan = allocation(band, percent)
     seg = ((h >> np.uint64(32)) * np.uint64(plan.segments) >> np.uint64(32)).astype(np.int64)
     value = W.mix(h + np.uint64(0x5851F42D4C957F2D))
@@ -159,7 +163,7 @@ def context_keys(h: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, in
         if not bare:
             inside &= count[seg] > 1
         keys = np.unique(np.concatenate([keys, W.mix((sums[seg[inside]] - value[inside]) ^ tag[seg[inside]])]))
-    return keys, 0 if bare else silent
+    return keys, silent
 
 
 def contexts(h: np.ndarray, percent: int) -> list[int]:
@@ -283,9 +287,10 @@ def _count(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def _indexed(h: np.ndarray, percent: int, known: np.ndarray, times: np.ndarray):
     """For each context, the keys of a set that go to the index: (context, keys, wildcards, which are large).
 
-    Similar sets agree in ``agree`` segments, of which ``silent`` ones have no keys. With fewer
-    shared keys than the rest there is nothing to find; and of the most frequent ones as many
-    may be left out as leave one that both must index. Small ones are all sent, to be counted.
+    Similar sets agree in ``agree`` segments, of which ``silent`` ones may have no common keys. With
+    fewer shared keys than the rest there is nothing to find; and of the most frequent ones as many
+    may be left out as leave one that both must index. Small ones are all sent, to be counted. One
+    common key is the least for a bare set: a partner that is not bare has some of its own.
     """
     for c in contexts(h, percent):
         keys, silent = context_keys(h, c, percent)

@@ -219,6 +219,37 @@ def test_similar_sets_agree_in_enough_segments(monkeypatch, percent, doubled):
     assert tried > 50
 
 
+@pytest.mark.parametrize("percent", [60, 70, 80, 90])
+def test_small_sets_that_lack_segments_are_candidates(percent):
+    """All elements in few segments, so that one set or both index their empty segments."""
+    rng, tried = np.random.default_rng(percent), 0
+    for _ in range(3000):
+        places = rng.integers(0, 1 << 32, int(rng.integers(1, 4))).astype(np.uint64) << np.uint64(32)
+        a = np.unique(rng.choice(places, n := int(rng.integers(1, 14))) | rng.integers(0, 1 << 32, n).astype(np.uint64))
+        b = np.unique(np.concatenate([np.delete(a, rng.permutation(len(a))[: int(rng.integers(0, 2))]), rng.integers(0, 1 << 64, int(rng.integers(0, 4)), np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if not len(b) or np.array_equal(a, b) or 100 * common < percent * (len(a) + len(b) - common):
+            continue
+        tried += 1
+        keys, times = np.unique(np.concatenate([jaccard.context_keys(s, c, percent)[0] for s in (a, b) for c in jaccard.contexts(s, percent)]), return_counts=True)
+        sent = [{c: (k, w) for c, k, w, _ in jaccard._indexed(s, percent, keys[times > 1], times[times > 1].astype(np.uint8))} for s in (a, b)]
+        met = [(c, len(np.intersect1d(sent[0][c][0], sent[1][c][0]))) for c in sent[0].keys() & sent[1].keys()]
+        assert any(m and m >= jaccard.allocation(c, percent).agree - min(sent[0][c][1], sent[1][c][1]) for c, m in met)
+    assert tried > 50
+
+
+def test_short_documents_are_joined(spark):
+    """Five words in one of three segments, and the same five with one in another segment."""
+    word = [f"v{i}" for i in range(60)]
+    first = {w: int(next(jaccard.shingle_sets(pa.chunked_array([[w]]), 1))[0] >> np.uint64(32)) * 3 >> 32 for w in word}
+    same, other = [w for w in word if first[w] == 0], [w for w in word if first[w] == 1]
+    rows = [(2 * i + j, " ".join(same[i : i + 5] + other[i : i + j])) for i in range(0, 10, 5) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard.jaccard_components(df, width=1, percent=80).collect()]
+    same_rows(got, brute_components(rows, 1, 80))
+    assert len({r[2] for r in got}) == 2
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 3), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
