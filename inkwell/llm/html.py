@@ -3,8 +3,10 @@
 A page is cut into text nodes, each with its root-to-leaf tag path. Over each path the text
 length and the punctuation are summed and divided by the path's nodes; both ratios are smoothed
 along the page, fused by their product, and paths above a threshold (a share of the fused
-ratio's standard deviation) hold content. The main element is the deepest one that contains
-nearly all text of content nodes; its blocks, in page order, are the text. Elements that are
+ratio's standard deviation) hold content. The main element is the lowest common ancestor of all
+content nodes, or the article around it; its blocks, in page order, are the text, after the
+headings of the elements around it. So every content node is kept, with the headings and short
+blocks between: the ratios find the element, and remove nothing inside it. Elements that are
 never part of an article, by tag or by the words of class, id and role, are left out before.
 
 Null or empty html, and pages without content nodes, give the empty text. Broken markup is
@@ -37,6 +39,7 @@ MARKS = set(
     "social related recommended recommendations pagination pager toolbar skip contentinfo complementary search".split()
 )
 KEEP = {"html", "body", "main", "article"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -165,7 +168,7 @@ def content(found: list[tuple[str, _Element, int]], strictness: float = 0.2) ->
     return {p for p, f in zip(paths, fused, strict=True) if f >= limit}
 
 
-def extract(page: str | None, share: float = 0.9) -> str:
+def extract(page: str | None) -> str:
     """Main text of a page: blocks joined by line ends."""
     if not page:
         return ""
@@ -179,14 +182,23 @@ def extract(page: str | None, share: float = 0.9) -> str:
     if not total:
         return ""
     sums = np.concatenate([[0], np.cumsum(size)])
-    main = max((e for e in elements if sums[e.end] - sums[e.number] >= share * total), key=lambda e: e.depth)
+    main = max((e for e in elements if sums[e.end] - sums[e.number] == total), key=lambda e: e.depth)
     while main.parent and main.tag not in BLOCKS:
         main = main.parent
     if main.tag not in ("article", "main", "section", "div", "body", "td") and main.parent:
         main = main.parent  # a lone paragraph or heading stands for what is around it
+    around, e = set(), main
+    while e:
+        around.add(e.number)
+        e = e.parent
+    main = max((elements[i] for i in around if elements[i].tag == "article"), key=lambda e: e.depth, default=main)
+    titles = [False] * len(elements)  # within headings of the elements around
+    for e in elements[1 : main.number]:
+        outer = e.parent.parent if e.parent.tag == "hgroup" else e.parent
+        titles[e.number] = titles[e.parent.number] or e.tag in HEADINGS and outer.number in around
     blocks: dict[int, list[str]] = {}
     for t, e, b in found:
-        if main.number <= e.number < main.end:
+        if main.number <= e.number < main.end or titles[e.number]:
             blocks.setdefault(b, []).append(t)
     lines = (SPACE.sub(" ", "".join(x)).strip() for x in blocks.values())
     return "\n".join(x for x in lines if x)

@@ -352,6 +352,19 @@ PAGES = {
 }
 
 
+def test_html_keeps_all_content():
+    long = "".join(f"<p>Sentence {i}, of a long body, goes on and on. And on.</p>" for i in range(30))
+    body = "\n".join(f"Sentence {i}, of a long body, goes on and on. And on." for i in range(30))
+    menu = "<div><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></div>"
+    for page in (
+        f"<body>{menu}<article><h1>Headline</h1><div><p>An intro, of a sentence.</p></div><div>{long}</div></article>{menu}</body>",
+        f"<body>{menu}<article><div><h1>Headline</h1></div><div><p>An intro, of a sentence.</p>{long}</div></article>{menu}</body>",
+        f"<body>{menu}<div><h1>Headline</h1><div><p>An intro, of a sentence.</p><div>{long}</div></div></div>{menu}</body>",
+        f"<body>{menu}<div><hgroup><h1>Headline</h1></hgroup><section><section><p>An intro, of a sentence.</p></section>{long}</section></div></body>",
+    ):
+        assert html.extract(page) == f"Headline\nAn intro, of a sentence.\n{body}", page
+
+
 def test_html(spark):
     for page, want in PAGES.items():
         assert html.extract(page) == want, page
