@@ -344,6 +344,23 @@ def test_secrets(spark, rows):
     assert p[y].mean() > 0.85 and p[~y].mean() < 0.15
 
 
+def test_secrets_inside_long_runs(spark):
+    for n in (1, 48, 49, 72, 73, 500):
+        cut = secrets.parts(7, 7 + n)
+        assert set().union(*(range(a, b) for a, b in cut)) == set(range(7, 7 + n)) and all(b - a <= secrets.PART for a, b in cut)
+    text = "aa/" + "b" * 100 + "/cc"
+    assert secrets.widened(text, (0, len(text)), [(24, 72, 0.8), (48, 96, 0.9)]) == [(3, 103, 0.9)]
+    rng = np.random.default_rng(5)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = ["".join(rng.choice(letters, 40)) for _ in range(50)]
+    texts = [f"see cdn.example.com/assets/v2/{k}/img/logo-large-2024.png for it" for k in keys]
+    plain = [f"see cdn.example.com/assets/v{i}/" + "/".join("".join(rng.choice(letters[26:52], 7)) for _ in range(6)) + "/logo-large-2024.png for it" for i in range(50)]
+    model = secrets.train(spark.createDataFrame([(1, "password = hunter22")], "doc_id long, text string"))
+    found = model.findings(texts + plain)[1]
+    assert sum(any(a <= t.index(k) and t.index(k) + 40 <= b for a, _, b, _ in x) for k, t, x in zip(keys, texts, found[:50], strict=True)) > 45
+    assert sum(map(bool, found[50:])) < 5
+
+
 PAGES = {
     "<html><body><header>Site name</header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><article><h1>Head&amp;line</h1><p>First, with  text.\n More.<p><b>Second &eacute;, still bold.</b></p><form>Mail: <input></form>"
     "<div class='user-comments'><p>Nice, really. Yes.</p></div></article><aside>Side, bar.</aside><footer>&copy; x</footer></body></html>": "Head&line\nFirst, with text. More.\nSecond é, still bold.",
