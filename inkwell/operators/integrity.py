@@ -49,3 +49,15 @@ def tail_recovery(spark: SparkSession, paths: list[str], **options: str) -> Data
                 )
 
     return df.mapInArrow(run, "file string, original_len long, recovered_len long, has_blocks boolean, errors_corrected long, ops array<struct<offset:bigint,state:string>>, n_segments long")
+
+
+def tail_recovery_at(cuts: DataFrame, path: str, **options: str) -> DataFrame:
+    """The plan for one file as if it ended at each of ``cut``; the file is read in place and not changed."""
+
+    def run(batches):
+        o = _Options({**options, "path": path})
+        for b in batches:
+            got = [(r["recovered_len"], r["has_blocks"]) for n in b.column("cut").to_pylist() for r in [recover_file(local(path), o, size=n)]]  # tails are not kept
+            yield pa.RecordBatch.from_arrays([b.column("cut"), pa.array([r[0] for r in got], pa.int64()), pa.array([r[1] for r in got], pa.bool_())], ["cut", "recovered_len", "has_blocks"])
+
+    return cuts.select(F.col("cut").cast("long").alias("cut")).mapInArrow(run, "cut long, recovered_len long, has_blocks boolean")

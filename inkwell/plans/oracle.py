@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.plans.queries import CUTS, HIGH, LOW
+from inkwell.plans.queries import CUTS, HIGH, LOW, STRIDE
 
 #: Events in blocks: h (one row for each event), lay (one row for each block, with places).
 BLOCKS = """
@@ -98,6 +98,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(cut AS BIGINT) AS cut,
                    CASE WHEN cut = e THEN e WHEN kind = 'B' AND cut >= mn_start + 29 THEN last_c + 41 ELSE mn_start END AS recovered_len,
                    cut = e OR kind = 'B' AND cut >= mn_start + 29 OR block_no > 0 AS has_blocks FROM y""",
+        "tail_recovery_whole": f"""WITH {BLOCKS},
+            l AS (SELECT max(block_no) AS b FROM lay),
+            cuts AS (SELECT block_no, mn_start + 1 + block_no * {STRIDE} % size AS cut FROM lay
+                     UNION SELECT block_no, unnest(range(mn_start + 1, mn_start + size + 1)) FROM lay, l WHERE block_no = b),
+            c AS (SELECT h.block_no, CAST(sum(17 + len) OVER (PARTITION BY h.block_no ORDER BY comp_no) AS BIGINT) AS c FROM h),
+            x AS (SELECT cut, block_no, any_value(kind) AS kind, any_value(mn_start) AS mn_start, any_value(size) AS size, coalesce(max(c.c) FILTER (mn_start + 29 + c.c <= cut), 0) AS whole
+                  FROM cuts JOIN lay USING (block_no) JOIN c USING (block_no) GROUP BY ALL)
+            SELECT CAST(cut AS BIGINT) AS cut,
+                   CAST(CASE WHEN cut = mn_start + size THEN cut WHEN kind = 'B' AND cut >= mn_start + 29 THEN mn_start + 29 + whole + 41 ELSE mn_start END AS BIGINT) AS recovered_len,
+                   cut = mn_start + size OR kind = 'B' AND cut >= mn_start + 29 OR block_no > 0 AS has_blocks FROM x""",
         "ecc_len": f"SELECT doc_id, {N} AS n_bytes, {CHUNKS} * 4 AS n_ecc, {N} AS n_message FROM documents",
         "ecc_parity": PARITY,
         "ecc_verify": f"SELECT doc_id, {CHUNKS} AS n_chunks, CASE WHEN doc_id % 4 > 0 THEN {CHUNKS} ELSE 0 END AS n_dirty FROM documents WHERE {N} > 0",

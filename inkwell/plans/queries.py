@@ -261,6 +261,23 @@ def tail_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUTS = tuple(range(12, 6000, 37))
 
 
+def tail_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered lengths of the whole journal cut once inside every block, and at every byte of the last one."""
+    path = _single_file(spark, sf_dir, "one")
+    source = [f for f in os.listdir(path) if f.endswith(".journal")][0]
+    size = F.col("block_end") - F.col("mn_start")
+    blocks = scan.read(spark, path, "blocks").select("block_no", "mn_start", "block_end")
+    last = blocks.orderBy(F.desc("mn_start")).limit(1)
+    inside = blocks.select((F.col("mn_start") + 1 + F.col("block_no") * STRIDE % size).alias("cut"))
+    tail = last.select(F.explode(F.sequence(F.col("mn_start") + 1, F.col("block_end"))).alias("cut"))
+    cuts = inside.union(tail).distinct().repartition(spark.sparkContext.defaultParallelism * 4)
+    return integrity.tail_recovery_at(cuts, f"{path}/{source}")
+
+
+#: Places of the cuts inside blocks move on by this from block to block.
+STRIDE = 37
+
+
 # Error correction
 
 
@@ -406,7 +423,7 @@ def stream_block_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     content_range_scan, range_bound_matrix, scan_from_hint, open_tail_scan, content_bytes, file_config, components, journal_roundtrip,
     journal_roundtrip_atomic, magic_scan, block_assign, frame_layout, block_times, block_summary, block_hash, block_states, integrity_summary,
-    integrity_errors, tail_recovery, ecc_len, ecc_parity, ecc_verify, ecc_correct, two_phase_repair, corrupt_segments, corruption_class,
+    integrity_errors, tail_recovery, tail_recovery_whole, ecc_len, ecc_parity, ecc_verify, ecc_correct, two_phase_repair, corrupt_segments, corruption_class,
     ecc_constants, tag_decode, header_pack, compress_decision, io_error_class, backoff_schedule, ts_monotonic_check, stream_tail, stream_append,
     stream_block_assign,
 )

@@ -464,10 +464,11 @@ class JournalDataSource(DataSource):
         return JournalStreamWriter(_Options(self.options))
 
 
-def recover_file(path: str, o: _Options, now: int = 0) -> dict:
-    """The tail that recovery would leave, read backwards in windows that double until a block closes."""
+def recover_file(path: str, o: _Options, now: int = 0, size: int | None = None) -> dict:
+    """The tail that recovery would leave, read backwards in windows that grow until a block closes;
+    with ``size``, as if the file ended there."""
     with _open(path, o) as f:
-        layout, size = _layout(f, o), os.path.getsize(path)
+        layout, size = _layout(f, o), os.path.getsize(path) if size is None else size
         window = 1 << 20
         while True:
             base = max(FILE_HEADER, size - window)

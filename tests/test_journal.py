@@ -15,6 +15,7 @@ from inkwell.operators import ecc, integrity, layout, scan
 from inkwell.operators.sequence import previous, ranged, running_max, running_sum
 from inkwell.sources.format import ConfigMismatch
 from inkwell.sources.journal import apply_recovery, check_file, manifest, segments
+from inkwell.sources.parser import Journal
 from tests.golden import LAYOUT, TS, golden
 
 OPS = T.StructType([
@@ -140,6 +141,27 @@ def test_published_cuts_and_damage(spark, tmp_path):
     assert scan.read(spark, path, "blocks").where("state = 'Closed'").count() == 59
 
 
+def test_tails_of_large_files(spark, tmp_path):
+    """Blocks before and after the first window of recovery, and one larger than it, cut at many places."""
+    ops, _ = make_ops(spark, ["atomic", "content", "content", "close", "content"] * 4)
+    big = F.when(F.col("seq").isin(5, 16), F.expr("cast(repeat('x', 2500000) as binary)")).otherwise(F.col("payload"))
+    ops = ops.withColumn("payload", big).withColumn("len", F.octet_length("payload").cast("long")).withColumn("comp_level", F.lit(None).cast("int"))
+    path = str(tmp_path / "j")
+    scan.enable(spark)
+    scan.frames(layout.assign_blocks(ops)).coalesce(1).sortWithinPartitions("block_no", "comp_no").write.format("journal").mode("append").save(path)
+    source = [f"{path}/{f}" for f in os.listdir(path) if f.endswith(".journal")][0]
+    blocks = scan.read(spark, path, "blocks", payload="false").orderBy("mn_start").collect()
+    assert blocks[-1].block_end == os.path.getsize(source) > 5_000_000
+    cuts = sorted({b.mn_start + 1 + i * (b.block_end - b.mn_start - 1) // 3 for b in blocks for i in range(4)})
+    got = {r.cut: r for r in integrity.tail_recovery_at(spark.createDataFrame([(c,) for c in cuts], "cut long"), source).collect()}
+    with open(source, "rb") as f:
+        data = f.read()
+    for c in cuts:
+        want = Journal(data[11:c], LAYOUT, 11, "sha256").recover()
+        assert (got[c].recovered_len, got[c].has_blocks) == (want["recovered_len"], want["has_blocks"]), c
+    assert all(got[b.block_end].recovered_len == b.block_end for b in blocks)
+
+
 def test_running_values(spark):
     df = ranged(spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v")).repartition(5), "k")
     s = running_sum(df, "v", "s", "k").orderBy("k").collect()
