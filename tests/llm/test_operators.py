@@ -344,6 +344,13 @@ def test_secrets(spark, rows):
     assert p[y].mean() > 0.85 and p[~y].mean() < 0.15
 
 
+def test_secrets_threshold_keeps_recall():
+    rng = np.random.default_rng(1)
+    for scores in (rng.random(200), rng.random(200) * 0.4, np.array([0.1] * 10 + [0.9] * 90), np.array([0.2])):
+        assert (scores >= secrets.recalling(scores, 0.95)).mean() >= 0.95
+    assert secrets.recalling(np.empty(0), 0.95) == 0.5
+
+
 def test_secrets_inside_long_runs(spark):
     for n in (1, 48, 49, 72, 73, 500):
         cut = secrets.parts(7, 7 + n)
