@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against a sharded reference index.
+"""Substring dedup by a sharded hash index of word windows.
 
 The reference is every document with a smaller id. Its index is cut into blocks (shards), which
 map each window of ``span`` words, as a 64-bit and a 32-bit hash, to its first holder: the
-smallest document and the place there. A document is parsed left to right: at a window that the
-index holds for a smaller document, a factor begins there and grows while the reference goes on
-in step; where it breaks, the next window is looked up anew, in whichever block holds it. All
-windows around a factor's borders are thus checked by themselves, so that factors of at least
-``span`` words cover exactly the duplicate windows.
+smallest document and the place there. Every window of a document is looked up, in whichever
+block holds it; the words of windows that the index holds for a smaller document are removed.
+This takes the place of greedy relative Lempel-Ziv parsing: factors are hits that go on in step,
+joined afterwards as a report; they decide nothing.
 
 Windows that no other document can hold are never looked up. Each window has an anchor, its
 smallest hash of ``K`` consecutive words; equal windows have equal anchors. A first exchange
