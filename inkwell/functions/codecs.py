@@ -28,9 +28,19 @@ class _Truncated:
 HASHES: dict[str, Callable] = {name: (lambda n=name: _Truncated(hashlib.new(n))) for name in ("sha256", "sha1", "sha512", "blake2b")}
 
 
+#: Hashes and codecs that callers added, which sessions send to the workers.
+ADDED: dict[str, dict] = {"hash": {}, "codec": {}}
+
+
 def register_hash(name: str, make: Callable) -> None:
-    """``make()`` returns an object with update, digest (20 bytes) and copy."""
-    HASHES[name] = make
+    """``make()`` returns an object with update, digest (20 bytes) and copy. Call it before ``session.enable``."""
+    HASHES[name] = ADDED["hash"][name] = make
+
+
+def adopt(added: dict[str, dict]) -> None:
+    """Takes over what another process registered."""
+    HASHES.update(added["hash"])
+    CODECS.update(added["codec"])
 
 
 def hash_bytes(name: str, *parts: bytes) -> bytes:
@@ -68,7 +78,8 @@ CODECS: dict[str, tuple[Callable[[int, bytes], bytes], Callable[[bytes, int], by
 
 
 def register_codec(name: str, compress: Callable, decompress: Callable) -> None:
-    CODECS[name] = compress, decompress
+    """``compress(level, data)`` and ``decompress(data, size)``. Call it before ``session.enable``."""
+    CODECS[name] = ADDED["codec"][name] = compress, decompress
 
 
 def stored(content: bytes, level: int | None, codec: str = "zstd") -> tuple[bytes, int | None]:

@@ -103,3 +103,56 @@ def retrying(config: RetryConfig = RetryConfig(), context: str | None = None):
         return inner
 
     return wrap
+
+
+class RetryingFile:
+    """A binary file whose every call is retried; after a transient error it goes on from where the call began."""
+
+    def __init__(self, path: str, mode: str = "rb", config: RetryConfig = RetryConfig(), opener: Callable = open, sleep: Callable[[float], None] = time.sleep):
+        self.path, self.config, self.sleep, self.at = path, config, sleep, 0
+        self.file = self._try(lambda: opener(path, mode, buffering=1 << 20), "open")
+
+    def _try(self, call: Callable, what: str):
+        return retry_call(call, self.config, f"{what} {self.path}", self.sleep)
+
+    def _from_here(self, call: Callable, what: str):
+        tried = False
+
+        def again():
+            nonlocal tried
+            if tried:  # a failed call may have moved the position
+                self.file.seek(self.at)
+            tried = True
+            return call()
+
+        out = self._try(again, what)
+        self.at = self.file.tell()
+        return out
+
+    def read(self, size: int = -1) -> bytes:
+        return self._from_here(lambda: self.file.read(size), "read")
+
+    def write(self, data: bytes) -> int:
+        return self._from_here(lambda: self.file.write(data), "write")
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = self._try(lambda: self.file.seek(to, whence), "seek")
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def truncate(self, size: int | None = None) -> int:
+        return self._try(lambda: self.file.truncate(size), "truncate")
+
+    def flush(self) -> None:
+        self._try(self.file.flush, "flush")
+
+    def close(self) -> None:
+        self._try(self.file.close, "close")
+
+    def __enter__(self) -> RetryingFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

@@ -1,7 +1,7 @@
 """Error correction over tables of content: parity, detection, correction, damage classes.
 
-Detection recomputes parity for whole batches with table gathers; only chunks that differ are
-decoded. Everything runs where the rows lie.
+Detection recomputes parity for whole batches with table gathers; chunks that differ are decoded
+together, a batch in each step. Everything runs where the rows lie, in one pass.
 """
 
 from __future__ import annotations
@@ -81,44 +81,67 @@ def plant(content: Column, errors: Column, n: int = 4) -> Column:
     return F.unhex(whole)
 
 
+def _mended(b: pa.RecordBatch, content: str, parity_col: str, n: int):
+    """(offsets, bytes after repair, row, chunk number, start, length, errors, dirty) of a batch's chunks."""
+    offsets, data = _bytes(b.column(content))
+    poff, pdata = _bytes(b.column(parity_col))
+    row, nth, start, size = _cut(offsets, n)
+    at = poff[:-1][row] + nth * n
+    have = pdata[at[:, None] + np.arange(n)] if len(at) else np.empty((0, n), np.uint8)
+    data = data.copy()
+    errors, dirty = rs.correct_chunks(data, start, size, have)
+    return offsets, data, row, nth, start, size, errors, dirty
+
+
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A binary array over one buffer."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _three(df: DataFrame, key: str, content: str, parity_col: str) -> list[Column]:
+    return [F.col(key).cast("long").alias(key), F.col(content).cast("binary").alias(content), F.col(parity_col).cast("binary").alias(parity_col)]
+
+
 def correct(df: DataFrame, key: str, content: str, parity_col: str = "parity", n: int = 4) -> DataFrame:
     """key, chunk_no, chunk_start, chunk_len, dirty, errors (corrected bytes, -1 beyond repair) and data after repair."""
 
     def run(batches):
         for b in batches:
-            offsets, data = _bytes(b.column(content))
-            poff, pdata = _bytes(b.column(parity_col))
-            row, nth, start, size = _cut(offsets, n)
-            at = poff[:-1][row] + nth * n
-            have = pdata[at[:, None] + np.arange(n)] if len(at) else np.empty((0, n), np.uint8)
-            dirty = (rs.parity_of_chunks(data, start, size, n) != have).any(1)
-            errors, fixed = np.zeros(len(row), np.int32), [data[s : s + m].tobytes() for s, m in zip(start.tolist(), size.tolist(), strict=True)]
-            for i in np.flatnonzero(dirty).tolist():
-                try:
-                    fixed[i], _, errors[i] = rs.correct(fixed[i], have[i].tobytes())
-                except rs.TooManyErrors:
-                    errors[i] = -1
+            offsets, data, row, nth, start, size, errors, dirty = _mended(b, content, parity_col, n)
+            chunks = _binary(np.append(start, offsets[-1]), data)  # chunks follow each other without gaps
             yield pa.RecordBatch.from_arrays(
-                [b.column(key).take(pa.array(row)), pa.array(nth, pa.int32()), pa.array(start - offsets[:-1][row], pa.int64()), pa.array(size, pa.int32()), pa.array(dirty), pa.array(errors), pa.array(fixed, pa.binary())],
+                [b.column(key).take(pa.array(row)), pa.array(nth, pa.int32()), pa.array(start - offsets[:-1][row], pa.int64()), pa.array(size, pa.int32()), pa.array(dirty), pa.array(errors), chunks],
                 [key, "chunk_no", "chunk_start", "chunk_len", "dirty", "errors", "data"],
             )
 
-    cols = [F.col(key).cast("long").alias(key), F.col(content).cast("binary").alias(content), F.col(parity_col).cast("binary").alias(parity_col)]
-    return df.select(*cols).mapInArrow(run, f"`{key}` long, chunk_no int, chunk_start long, chunk_len int, dirty boolean, errors int, data binary")
+    return df.select(*_three(df, key, content, parity_col)).mapInArrow(run, f"`{key}` long, chunk_no int, chunk_start long, chunk_len int, dirty boolean, errors int, data binary")
+
+
+def repaired(df: DataFrame, key: str, content: str, parity_col: str = "parity", n: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carried columns, whole content after repair, errors (bytes corrected) and damaged (chunks beyond repair) of every row."""
+
+    def run(batches):
+        for b in batches:
+            offsets, data, row, _, _, _, errors, _ = _mended(b, content, parity_col, n)
+            count = lambda w: pa.array(np.bincount(row, w, b.num_rows).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(key), *(b.column(c) for c in carry), _binary(offsets, data), count(np.maximum(errors, 0)), count(errors < 0)], [key, *carry, content, "errors", "damaged"]
+            )
+
+    src = df.select(*_three(df, key, content, parity_col), *carry)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.select(*carry).schema)
+    return src.mapInArrow(run, f"`{key}` long, {kinds}`{content}` binary, errors long, damaged long")
 
 
 def two_phase(df: DataFrame, key: str, content: str, digest: str, n: int = 4) -> DataFrame:
     """Hash first, codewords only where it differs, and hash again after repair: a decoder beyond its
     radius may find a wrong codeword, so a repair counts only if the hash agrees.
 
-    Adds first_ok, errors, damaged (chunks beyond repair) and repaired_ok.
+    key, first_ok, errors, damaged (chunks beyond repair) and repaired_ok, in one pass over the rows.
     """
     same = lambda c: F.sha2(c, 256) == F.col(digest)
-    clean = df.where(same(F.col(content))).select(key, F.lit(True).alias("first_ok"), F.lit(0).cast("long").alias("errors"), F.lit(0).cast("long").alias("damaged"), F.lit(True).alias("repaired_ok"))
-    dirty = df.where(~same(F.col(content)))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("data").alias("d")))), lambda x: x["d"]), "")
-    fixed = correct(dirty, key, content, n=n).groupBy(key).agg(
-        F.sum(F.greatest("errors", F.lit(0))).cast("long").alias("errors"), F.sum((F.col("errors") < 0).cast("long")).alias("damaged"), F.unhex(whole).alias("_fixed")
-    )
-    again = fixed.join(dirty.select(key, digest), key).select(key, F.lit(False).alias("first_ok"), "errors", "damaged", same(F.col("_fixed")).alias("repaired_ok"))
-    return clean.unionByName(again)
+    # Rows that agree go through with no content, hence no chunks to check.
+    first = df.select(key, "parity", digest, F.col(content).cast("binary").alias(content)).withColumn("first_ok", F.coalesce(same(F.col(content)), F.lit(False)))
+    fixed = repaired(first.withColumn(content, F.when(~F.col("first_ok"), F.col(content))), key, content, n=n, carry=(digest, "first_ok"))
+    again = F.col("first_ok") | F.coalesce(same(F.col(content)), F.lit(False))
+    return fixed.select(key, "first_ok", "errors", "damaged", again.alias("repaired_ok"))

@@ -52,12 +52,18 @@ def tail_recovery(spark: SparkSession, paths: list[str], **options: str) -> Data
 
 
 def tail_recovery_at(cuts: DataFrame, path: str, **options: str) -> DataFrame:
-    """The plan for one file as if it ended at each of ``cut``; the file is read in place and not changed."""
+    """The plan for one file as if it ended at each of ``cut``; where ``cuts`` has a column ``flips`` (array of places),
+    as if these bytes were inverted. The file is read in place and not changed."""
+    kinds = pa.schema([("cut", pa.int64()), ("recovered_len", pa.int64()), ("has_blocks", pa.bool_()), ("errors_corrected", pa.int64()), ("n_segments", pa.int64())])
 
     def run(batches):
         o = _Options({**options, "path": path})
         for b in batches:
-            got = [(r["recovered_len"], r["has_blocks"]) for n in b.column("cut").to_pylist() for r in [recover_file(local(path), o, size=n)]]  # tails are not kept
-            yield pa.RecordBatch.from_arrays([b.column("cut"), pa.array([r[0] for r in got], pa.int64()), pa.array([r[1] for r in got], pa.bool_())], ["cut", "recovered_len", "has_blocks"])
+            out = []
+            for n, flips in zip(b.column("cut").to_pylist(), b.column("flips").to_pylist(), strict=True):
+                r = recover_file(local(path), o, size=n, flips=dict.fromkeys(flips or (), 0xFF))
+                out.append({"cut": n, "recovered_len": r["recovered_len"], "has_blocks": r["has_blocks"], "errors_corrected": r["errors_corrected"], "n_segments": len(r["segments"])})  # tails are not kept
+            yield pa.RecordBatch.from_pylist(out, kinds)
 
-    return cuts.select(F.col("cut").cast("long").alias("cut")).mapInArrow(run, "cut long, recovered_len long, has_blocks boolean")
+    flips = F.col("flips") if "flips" in cuts.columns else F.lit(None)
+    return cuts.select(F.col("cut").cast("long").alias("cut"), flips.cast("array<long>").alias("flips")).mapInArrow(run, "cut long, recovered_len long, has_blocks boolean, errors_corrected long, n_segments long")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.sequence import PART, previous, ranged, running_max, running_sum
+from inkwell.operators.sequence import PART, fixed, in_ranges, local_window, ranged, running_sum
 from inkwell.sources.format import Layout
 
 
@@ -25,17 +25,38 @@ def assign_blocks(ops: DataFrame, order: str = "seq") -> DataFrame:
     An atomic write is a block of its own and closes an open one; content goes on in the open
     block; a close ends it. Close rows belong to no block and are left out.
     """
-    df = ranged(ops.withColumn("_alone", (F.col("op") != "content")), order)
-    df = previous(df, "_alone", "_after", order)
-    begins = F.col("_after").isNull() | F.col("_alone") | F.col("_after")
-    df = df.withColumn("_begin", F.when(begins & (F.col("op") != "close"), 1).otherwise(0)).withColumn("_row", F.when(F.col("op") != "close", 1).otherwise(0))
-    df = running_sum(df, "_begin", "_before", order)
-    df = running_sum(df, "_row", "_pos", order)
-    df = running_max(df.withColumn("_first", F.when(F.col("_begin") == 1, F.col("_pos"))), "_first", "_start", order)
-    return df.where("op <> 'close'").select(
+    w = local_window(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = (
+        in_ranges(ops.withColumn("_alone", F.col("op") != "content").withColumn("_row", (F.col("op") != "close").cast("int")), order)
+        .withColumn("_n", F.row_number().over(w))
+        .withColumn("_after", F.lag("_alone").over(w))
+        # Whether the first row of a range begins a block depends on the range before: it is left open here.
+        .withColumn("_begin", F.when((F.col("_n") > 1) & (F.col("_alone") | F.col("_after")), F.col("_row")).otherwise(F.lit(0)))
+        .withColumn("_pos", F.sum("_row").over(so_far) - F.col("_row"))
+        .withColumn("_begins", F.sum("_begin").over(so_far))
+        .withColumn("_start", F.max(F.when(F.col("_begin") == 1, F.col("_pos"))).over(so_far))
+    )
+    local = fixed(local.drop("_after", "_begin"))
+    # One row for each range carries all four values over its border.
+    facts = local.groupBy(PART).agg(
+        F.max_by("_alone", "_n").alias("last"), F.min_by(F.struct("_alone", "_row"), "_n").alias("head"),
+        F.max("_begins").alias("begins"), F.sum("_row").alias("rows"), F.max("_start").alias("start"),
+    )
+    by = Window.orderBy(PART)
+    past = by.rowsBetween(Window.unboundedPreceding, -1)
+    after = F.lag("last").over(by)
+    opens = F.when(F.col("head._alone") | F.coalesce(after, F.lit(True)), F.col("head._row")).otherwise(F.lit(0))
+    facts = facts.withColumn("_opens", opens).withColumn("_rows", F.coalesce(F.sum("rows").over(past), F.lit(0)))
+    begun = F.coalesce(F.col("start") + F.col("_rows"), F.when(F.col("_opens") == 1, F.col("_rows")))
+    facts = facts.withColumn("_begun", begun).select(
+        PART, "_opens", "_rows", F.coalesce(F.sum(F.col("begins") + F.col("_opens")).over(past), F.lit(0)).alias("_blocks"), F.max("_begun").over(past).alias("_held")
+    )
+    start = F.coalesce(F.col("_start") + F.col("_rows"), F.when(F.col("_opens") == 1, F.col("_rows")), F.col("_held"))
+    return local.join(F.broadcast(facts), PART).where("op <> 'close'").select(
         *ops.columns,
-        (F.col("_before") + F.col("_begin") - 1).cast("long").alias("block_no"),
-        (F.col("_pos") - F.col("_start")).cast("int").alias("comp_no"),
+        (F.col("_blocks") + F.col("_opens") + F.col("_begins") - 1).cast("long").alias("block_no"),
+        (F.col("_rows") + F.col("_pos") - start).cast("int").alias("comp_no"),
         F.when(F.col("op") == "atomic", "A").otherwise("B").alias("kind"),
     )
 

@@ -24,9 +24,14 @@ def fixed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """Rows in ranges of the order key, with the range's number; fixed only once written."""
+    return df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id())
+
+
 def ranged(df: DataFrame, *order: str) -> DataFrame:
-    """Rows in ranges of the order key, with the range's number."""
-    return fixed(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+    """Rows in ranges of the order key, with the range's number, written."""
+    return fixed(in_ranges(df, *order))
 
 
 def local_window(*order: str):
@@ -48,7 +53,10 @@ def running_sum(df: DataFrame, value: str, out: str, *order: str) -> DataFrame:
 def previous(df: DataFrame, value: str, out: str, order: str) -> DataFrame:
     """``value`` of the row before each row in the order, null for the first; ``df`` is ranged."""
     last = _carried(df.groupBy(PART).agg(F.max_by(value, order).alias("v")), {"_carry": F.lag("v").over(Window.orderBy(PART))})
-    return df.join(F.broadcast(last), PART).withColumn(out, F.coalesce(F.lag(value).over(local_window(order)), F.col("_carry"))).drop("_carry")
+    w = local_window(order)
+    # The carried value is for the first row of a range only: elsewhere a null is the value itself.
+    before = F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag(value).over(w))
+    return df.join(F.broadcast(last), PART).withColumn(out, before).drop("_carry")
 
 
 def running_max(df: DataFrame, value: str, out: str, *order: str) -> DataFrame:

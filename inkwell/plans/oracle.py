@@ -81,6 +81,10 @@ def oracle_sql() -> dict[str, str]:
         "journal_roundtrip_atomic": "SELECT doc_id, sha256(text) AS sha, true AS ecc, 'A' AS block_kind FROM documents",
         "magic_scan": f"SELECT doc_id, CAST(doc_id % 3 = 0 AS BIGINT) AS n_found, CASE WHEN doc_id % 3 = 0 THEN {N} ELSE -1 END AS first_at FROM documents",
         "block_assign": f"WITH {BLOCKS} SELECT event_id, block_no, comp_no, CASE WHEN a THEN 'A' ELSE 'B' END AS kind FROM h",
+        "block_assign_close": """WITH e AS (SELECT event_id, event_type = 'error' AS a, event_type = 'signup' AS c FROM events),
+            f AS (SELECT *, CASE WHEN NOT c AND (a OR coalesce(lag(a OR c) OVER (ORDER BY event_id), true)) THEN 1 ELSE 0 END AS s FROM e),
+            g AS (SELECT *, CAST(sum(s) OVER (ORDER BY event_id) - 1 AS BIGINT) AS block_no FROM f)
+            SELECT event_id, block_no, row_number() OVER (PARTITION BY block_no ORDER BY event_id) - 1 AS comp_no, CASE WHEN a THEN 'A' ELSE 'B' END AS kind FROM g WHERE NOT c""",
         "frame_layout": f"WITH {BLOCKS} SELECT block_no, kind, mn_start, mn_start + 12 AS block_start, mn_start + size AS block_end, n_components FROM lay",
         "block_times": f"WITH {BLOCKS} SELECT block_no, mn_start + 12 AS block_start, start_ts FROM lay",
         "block_summary": f"WITH {BLOCKS} SELECT block_no, kind, start_ts, end_ts, n_components, content_bytes FROM bl",
@@ -89,6 +93,19 @@ def oracle_sql() -> dict[str, str]:
         "integrity_summary": f"""WITH {BLOCKS} SELECT count(*) AS num_blocks, CAST(sum(content_bytes) AS BIGINT) AS data_contents, CAST(sum(content_bytes) AS BIGINT) AS data_size_on_disk,
             CAST(0 AS BIGINT) AS errors_corrected, CAST(11 + sum(size) AS BIGINT) AS file_len_checked FROM bl""",
         "integrity_errors": f"WITH {BLOCKS} SELECT 'Corruption' AS error, mn_start + 12 AS error_at, 'StartHeader' AS component FROM lay WHERE block_no = 20",
+        "integrity_damaged": f"""WITH {BLOCKS}, z AS (SELECT block_no, arg_min(len, comp_no) AS len0 FROM h GROUP BY block_no)
+            SELECT block_no, kind, 'Closed' AS state, CAST([0, 1, 0, 2, 1][block_no % 5 + 1] AS BIGINT) AS errors_corrected,
+                   CAST(CASE WHEN block_no % 5 = 2 AND len0 > 0 THEN n_components ELSE 0 END AS BIGINT) AS n_segments FROM bl JOIN z USING (block_no)""",
+        "integrity_summary_damaged": f"""WITH {BLOCKS} SELECT count(*) AS num_blocks, CAST(sum(content_bytes) AS BIGINT) AS data_contents,
+            CAST(sum([0, 1, 0, 2, 1][block_no % 5 + 1]) AS BIGINT) AS errors_corrected, CAST(11 + sum(size) AS BIGINT) AS file_len_checked FROM bl""",
+        "damaged_segments": f"""WITH {BLOCKS}, z AS (SELECT block_no, arg_min(len, comp_no) AS len0 FROM h GROUP BY block_no)
+            SELECT block_no, CASE WHEN kind = 'A' THEN 'Corrupt' ELSE 'MaybeCorrupt' END AS kind, CAST(len AS BIGINT) AS data_len,
+                   CAST(mn_start + 29 + CASE WHEN kind = 'A' THEN 0 ELSE sum(17 + len) OVER (PARTITION BY block_no ORDER BY comp_no) - len END AS BIGINT) AS data_start
+            FROM h JOIN lay USING (block_no) JOIN z USING (block_no) WHERE block_no % 5 = 2 AND len0 > 0""",
+        "recovery_damaged": f"""WITH {BLOCKS}, z AS (SELECT block_no, arg_min(len, comp_no) AS len0 FROM h GROUP BY block_no)
+            SELECT mn_start + size AS cut, CAST(CASE WHEN block_no % 3 = 0 THEN mn_start ELSE mn_start + size END AS BIGINT) AS recovered_len, block_no > 0 AS has_blocks,
+                   CAST(CASE WHEN block_no % 3 = 2 THEN 2 ELSE 0 END AS BIGINT) AS errors_corrected,
+                   CAST(CASE WHEN block_no % 3 = 1 AND len0 > 0 THEN n_components ELSE 0 END AS BIGINT) AS n_segments FROM lay JOIN z USING (block_no)""",
         "tail_recovery": f"""WITH {BLOCKS},
             c AS (SELECT h.block_no, CAST(mn_start + 29 + sum(17 + len) OVER (PARTITION BY h.block_no ORDER BY comp_no) AS BIGINT) AS c
                   FROM h JOIN lay USING (block_no) WHERE kind = 'B' UNION ALL SELECT block_no, mn_start + 29 FROM lay WHERE kind = 'B'),
@@ -111,8 +128,9 @@ def oracle_sql() -> dict[str, str]:
         "ecc_len": f"SELECT doc_id, {N} AS n_bytes, {CHUNKS} * 4 AS n_ecc, {N} AS n_message FROM documents",
         "ecc_parity": PARITY,
         "ecc_verify": f"SELECT doc_id, {CHUNKS} AS n_chunks, CASE WHEN doc_id % 4 > 0 THEN {CHUNKS} ELSE 0 END AS n_dirty FROM documents WHERE {N} > 0",
-        "ecc_correct": f"""SELECT doc_id, CAST(({CHUNKS} - 1) * (doc_id % 4) + least(doc_id % 4, {N} - 251 * ({CHUNKS} - 1)) AS BIGINT) AS errors, sha256(text) AS sha
-            FROM documents WHERE doc_id % 4 < 3 AND {N} > 0""",
+        "ecc_correct": f"""SELECT doc_id, restored, CASE WHEN restored THEN errors END AS errors, CASE WHEN restored THEN sha END AS sha
+            FROM (SELECT doc_id, doc_id % 4 < 3 OR {N} < 3 AS restored, CAST(({CHUNKS} - 1) * (doc_id % 4) + least(doc_id % 4, {N} - 251 * ({CHUNKS} - 1)) AS BIGINT) AS errors, sha256(text) AS sha
+            FROM documents WHERE {N} > 0)""",
         "two_phase_repair": f"SELECT doc_id, doc_id % 4 = 0 OR {N} = 0 AS first_ok, doc_id % 4 < 3 OR {N} < 3 AS repaired_ok FROM documents",
         "corrupt_segments": bad,
         "corruption_class": f"SELECT kind, count(*) AS n, CAST(sum(data_len) AS BIGINT) AS bytes FROM ({bad}) GROUP BY kind",
@@ -130,6 +148,8 @@ def oracle_sql() -> dict[str, str]:
         "backoff_schedule": "SELECT CAST(a AS INTEGER) AS attempt, CAST(least(50 * 2 ** (a - 1), 5000) AS BIGINT) AS delay_ms FROM range(1, 10) t(a)",
         "ts_monotonic_check": """SELECT o_orderkey, ts, prev_ts FROM (
             SELECT o_orderkey, epoch_us(o_orderdate) AS ts, lag(epoch_us(o_orderdate)) OVER (ORDER BY o_orderkey) AS prev_ts FROM orders) WHERE ts < prev_ts""",
+        "ts_monotonic_nulls": """SELECT o_orderkey, ts, prev_ts FROM (
+            SELECT o_orderkey, ts, lag(ts) OVER (ORDER BY o_orderkey) AS prev_ts FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN epoch_us(o_orderdate) END AS ts FROM orders)) WHERE ts < prev_ts""",
         "stream_tail": "SELECT epoch_us(ts) AS ts, props FROM events",
         "stream_append": "SELECT turn AS ts, sha256(text) AS sha, true AS ecc FROM conversations",
         "stream_block_assign": """WITH e AS (SELECT user_id % 4 AS journal, event_id AS seq, event_type = 'error' AS a FROM events),

@@ -150,8 +150,7 @@ def content_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First bytes of every segment, checked."""
-    path = journal(spark, sf_dir, "documents")
-    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.journal").load(path).select(F.substring("content", 1, 11).alias("h"))
+    df = scan.read(spark, journal(spark, sf_dir, "documents"), "config").select(F.col("head").alias("h"))
     good = F.col("h") == F.unhex(F.lit(Layout(4).file_header().hex()))
     return df.agg(F.every(good).alias("matches"), F.max(F.conv(F.hex(F.substring("h", 11, 1)), 16, 10).cast("int")).alias("ecc_len"))
 
@@ -195,6 +194,13 @@ def block_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned_events(spark, sf_dir).select(F.col("seq").alias("event_id"), "block_no", F.col("comp_no").cast("long").alias("comp_no"), "kind")
 
 
+def block_assign_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block assignment with explicit closes: errors are atomic, signups close, all else is content."""
+    kind = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "close").alias("c"))
+    ops = event_ops(spark, sf_dir).join(kind, "seq").withColumn("op", F.coalesce("c", "op")).drop("c")
+    return layout.assign_blocks(ops).select(F.col("seq").alias("event_id"), "block_no", F.col("comp_no").cast("long").alias("comp_no"), "kind")
+
+
 def _event_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.frame_layout(layout.block_summary(assigned_events(spark, sf_dir)))
 
@@ -271,9 +277,79 @@ def tail_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = blocks.select((F.col("mn_start") + 1 + F.col("block_no") * STRIDE % size).alias("cut"))
     tail = last.select(F.explode(F.sequence(F.col("mn_start") + 1, F.col("block_end"))).alias("cut"))
     cuts = inside.union(tail).distinct().repartition(spark.sparkContext.defaultParallelism * 4)
+    return integrity.tail_recovery_at(cuts, f"{path}/{source}").select("cut", "recovered_len", "has_blocks")
+
+
+def _first_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a file with the place and length of their first component's content."""
+    first = scan.read(spark, path, payload="false").where("comp_no = 0").select("block_no", "data_start", "data_len")
+    return scan.read(spark, path, "blocks").select("block_no", "kind", "mn_start", "block_start", "block_end").join(first, "block_no")
+
+
+def recovery_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal cut at the end of every block, the last block damaged: in turn its start header beyond
+    repair, a byte of its content, two bytes of its hash."""
+    path = _single_file(spark, sf_dir, "one")
+    source = [f for f in os.listdir(path) if f.endswith(".journal")][0]
+    b, turn = _first_parts(spark, path), F.col("block_no") % 3
+    at = lambda c, *n: F.array(*(F.col(c) + i for i in n))
+    content = F.when(F.col("data_len") > 0, at("data_start", 0)).otherwise(F.array().cast("array<long>"))
+    flips = F.when(turn == 0, at("block_start", 0, 1, 2)).when(turn == 1, content).otherwise(at("block_end", -24, -20))
+    cuts = b.select(F.col("block_end").alias("cut"), flips.alias("flips")).repartition(spark.sparkContext.defaultParallelism * 4)
     return integrity.tail_recovery_at(cuts, f"{path}/{source}")
 
 
+def _damaged_events(spark: SparkSession, sf_dir: str) -> str:
+    """The events' journal as one file, damaged block by block in turn: not at all, one byte of the start
+    header, one byte of content, two bytes of the magic number, one byte of the hash."""
+    path = _single_file(spark, sf_dir, "one")
+    target = f"{path}-worn"
+    if not os.path.isdir(target):
+        b, turn = _first_parts(spark, path), F.col("block_no") % 5
+        at = lambda c, *n: F.array(*(F.col(c) + i for i in n))
+        places = F.when(turn == 1, at("block_start", 3)).when((turn == 2) & (F.col("data_len") > 0), at("data_start", 0)).when(turn == 3, at("mn_start", 1, 9)).when(turn == 4, at("block_end", -22))
+        source = f"{path}/{[f for f in os.listdir(path) if f.endswith('.journal')][0]}"
+
+        def run(batches):
+            """One task copies the file and inverts the bytes in the copy, which appears only when it is whole."""
+            import pyarrow as pa
+
+            part = f"{target}-{uuid.uuid4().hex}"
+            os.makedirs(part)
+            shutil.copyfile(source, f"{part}/a.journal")
+            n = 0
+            with open(source, "rb") as old, open(f"{part}/a.journal", "r+b") as new:
+                for x in batches:
+                    for i in x.column("at").to_pylist():
+                        old.seek(i)
+                        new.seek(i)
+                        new.write(bytes([old.read(1)[0] ^ 0xFF]))
+                        n += 1
+            yield pa.RecordBatch.from_pydict({"n": [n], "part": [part]})
+
+        made = b.select(F.explode(places).alias("at")).coalesce(1).mapInArrow(run, "n long, part string").collect()
+        os.replace(made[0].part, target)
+    return target
+
+
+def integrity_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of a damaged journal: state, bytes corrected, segments reported."""
+    path = _damaged_events(spark, sf_dir)
+    s = scan.read(spark, path, "segments").groupBy("block_no").agg(F.count("*").alias("n_segments"))
+    b = scan.read(spark, path, "blocks").select("block_no", "kind", "state", "errors_corrected")
+    return b.join(s, "block_no", "left").select("block_no", "kind", "state", "errors_corrected", F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"))
+
+
+def damaged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content whose hash disagrees and that has no parity: atomic blocks alone, best-effort blocks as a whole."""
+    return scan.read(spark, _damaged_events(spark, sf_dir), "segments").select("block_no", "kind", "data_start", "data_len")
+
+
+def integrity_summary_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = integrity.integrity_summary(scan.read(spark, _damaged_events(spark, sf_dir), "blocks"))
+    return s.select("num_blocks", F.col("data_contents").cast("long"), F.col("errors_corrected").cast("long"), "file_len_checked")
+
+
 #: Places of the cuts inside blocks move on by this from block to block.
 STRIDE = 37
 
@@ -304,10 +380,10 @@ def ecc_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ecc_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with at most two bad bytes in each chunk, repaired."""
-    c = ecc.correct(_planted(spark, sf_dir).where("doc_id % 4 < 3"), "doc_id", "text")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("data").alias("d")))), lambda x: x["d"]), "")
-    return c.groupBy("doc_id").agg(F.sum("errors").cast("long").alias("errors"), F.sha2(F.unhex(whole), 256).alias("sha"))
+    """All documents after repair: bytes corrected and content where it came back, which three bad bytes in a chunk rule out."""
+    r = ecc.repaired(_planted(spark, sf_dir), "doc_id", "text", carry=("sha",)).where(F.octet_length("text") > 0)
+    back = F.sha2("text", 256) == F.col("sha")
+    return r.select("doc_id", back.alias("restored"), F.when(back, F.col("errors")).alias("errors"), F.when(back, F.col("sha")).alias("sha"))
 
 
 def two_phase_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,6 +460,13 @@ def ts_monotonic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.ts_violations(o, "ts", "o_orderkey").select("o_orderkey", "ts", "prev_ts")
 
 
+def ts_monotonic_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where open orders have no date: a row after one without a date violates nothing."""
+    date = F.when(F.col("o_orderstatus") != "O", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", date.alias("ts"))
+    return streams.ts_violations(o, "ts", "o_orderkey").select("o_orderkey", "ts", "prev_ts")
+
+
 def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A journal that grows between two runs of one stream: all components, each once."""
     base = f"{local(shared_dir(spark))}/streams/{uuid.uuid4().hex}"
@@ -422,9 +505,9 @@ def stream_block_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     content_range_scan, range_bound_matrix, scan_from_hint, open_tail_scan, content_bytes, file_config, components, journal_roundtrip,
-    journal_roundtrip_atomic, magic_scan, block_assign, frame_layout, block_times, block_summary, block_hash, block_states, integrity_summary,
-    integrity_errors, tail_recovery, tail_recovery_whole, ecc_len, ecc_parity, ecc_verify, ecc_correct, two_phase_repair, corrupt_segments, corruption_class,
-    ecc_constants, tag_decode, header_pack, compress_decision, io_error_class, backoff_schedule, ts_monotonic_check, stream_tail, stream_append,
+    journal_roundtrip_atomic, magic_scan, block_assign, block_assign_close, frame_layout, block_times, block_summary, block_hash, block_states, integrity_summary,
+    integrity_errors, integrity_damaged, integrity_summary_damaged, damaged_segments, recovery_damaged, tail_recovery, tail_recovery_whole, ecc_len, ecc_parity, ecc_verify, ecc_correct, two_phase_repair, corrupt_segments, corruption_class,
+    ecc_constants, tag_decode, header_pack, compress_decision, io_error_class, backoff_schedule, ts_monotonic_check, ts_monotonic_nulls, stream_tail, stream_append,
     stream_block_assign,
 )
 

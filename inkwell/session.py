@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from inkwell.sources.journal import JournalDataSource
+from inkwell.sources.journal import source
 
 CONF = {"spark.sql.session.timeZone": "UTC", "spark.sql.python.filterPushdown.enabled": "true", "spark.sql.adaptive.enabled": "true"}
 
@@ -22,18 +22,22 @@ def builder() -> SparkSession.Builder:
 
 
 def enable(spark: SparkSession) -> SparkSession:
-    """The journal source and its settings in an existing session."""
+    """The journal source and its settings in an existing session, with the hashes and codecs registered so far."""
     for k, v in CONF.items():
         spark.conf.set(k, v)
-    spark.dataSource.register(JournalDataSource)
+    spark.dataSource.register(source())
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors see; a temporary folder only where that is unset."""
+    """``spark.checkpoint.dir``, which all executors see. Where it is unset a local master gets a
+    temporary folder; a cluster, whose machines don't share one, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

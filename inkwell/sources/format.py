@@ -12,8 +12,8 @@ from functools import lru_cache
 
 from inkwell.functions import codecs, rs
 
-#: Fixed values of the file format.
-MAGIC = b"docufort"
+#: Fixed values of the file format: the bytes of the magic number, the version.
+MAGIC = bytes([100, 111, 99, 117, 102, 111, 114, 116])
 VERSION = b"V1"
 ECC_LENGTHS = (2, 4, 6, 8, 16, 32)
 TAGS = {

@@ -2,8 +2,10 @@
 
 A table is a directory of segment files, each a whole journal, in order of name; single files
 and files of other writers are read as well. The writer puts whole blocks into a segment for
-each task and publishes them on commit, with one manifest line for each segment (bytes, blocks,
-range of times), by which later scans skip segments. Segments without a manifest line are read
+each task and publishes them on commit by one manifest, written last, with a line for each
+segment (bytes, blocks, range of times), by which later scans skip segments. Manifests alone say
+which segments are seen: what a commit that was cut off moved into place is not, nor is what a
+later overwrite names as replaced. Files of other writers have no manifest line; they are read
 whole, or cut at block borders found by a walk over headers if they are large.
 
 Python data sources have no column pruning, hence the option ``payload=false``.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +37,7 @@ from pyspark.sql.datasource import (
 )
 
 from inkwell.functions import codecs
-from inkwell.functions.retry import RetryConfig, retry_call
+from inkwell.functions.retry import FileSystemError, RetryConfig, RetryingFile
 from inkwell.sources.format import ECC_FLAG, FILE_HEADER, HEADER, TAGS, Layout, read_config, signed
 from inkwell.sources.parser import Block, Journal
 
@@ -43,6 +46,7 @@ SCHEMAS = {
     "blocks": "file string, block_no long, kind string, mn_start long, block_start long, start_ts long, end_ts long, block_end long, n_components int, errors_corrected long, stored_hash binary, computed_hash binary, state string, state_at long, component_tag string, data_contents long, data_size_on_disk long",
     "segments": "file string, block_no long, kind string, data_start long, data_len long, chunk_start long, chunk_ecc_start long, ecc_start long",
     "chunks": "file string, block_no long, comp_no int, chunk_no int, data binary, parity binary",
+    "config": "file string, head binary",
 }
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
 INPUT = "block_no long, kind string, comp_no int, block_ts long, end_ts long, ts long, ecc boolean, level int, payload binary"
@@ -56,23 +60,42 @@ def local(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
 
 
-def segments(path: str) -> list[str]:
-    """Segment files in order; a single file is its own only segment."""
-    path = local(path)
-    if os.path.isfile(path):
-        return [path]
-    return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith(("_", "."))) if os.path.isdir(path) else []
+OWN = "segment-"
 
 
-def manifest(path: str) -> dict[str, dict]:
-    """Published facts of segments by file name."""
+def _manifests(path: str) -> dict[str, dict]:
+    """Manifests in force by name: those that no other one names as replaced."""
     top, out = os.path.join(local(path), "_manifest"), {}
     if os.path.isdir(top):
         for name in sorted(os.listdir(top)):
             if name.endswith(".json"):
-                with open(os.path.join(top, name)) as f:
-                    out.update(json.load(f))
-    return out
+                try:
+                    with RetryingFile(os.path.join(top, name)) as f:
+                        out[name] = json.loads(f.read())
+                except FileSystemError as e:
+                    if e.variant != "FileNotFound":  # else replaced and deleted in the meantime
+                        raise
+    gone = {x for m in out.values() for x in m["replaced"]}
+    return {name: m for name, m in out.items() if name not in gone}
+
+
+def manifest(path: str) -> dict[str, dict]:
+    """Published facts of segments by file name."""
+    return {k: v for m in _manifests(path).values() for k, v in m["segments"].items()}
+
+
+def segments(path: str) -> list[str]:
+    """Visible segment files in order: published ones and those of other writers. A single file is its own only segment."""
+    path = local(path)
+    if os.path.isfile(path):
+        return [path]
+    if not os.path.isdir(path):
+        return []
+    held = _manifests(path)
+    known = {k for m in held.values() for k in m["segments"]}
+    gone = {x for m in held.values() for x in m["replaced"]}
+    other = (f for f in os.listdir(path) if not f.startswith(("_", ".", OWN)) and f not in gone)
+    return [os.path.join(path, f) for f in sorted({*known, *other})]
 
 
 @dataclass
@@ -134,7 +157,8 @@ def light_walk(handle, layout: Layout, pos: int, end: int) -> Iterator[tuple[int
 
 
 class _Options:
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], added: dict | None = None):
+        self.added = added or codecs.ADDED
         low = {k.lower(): v for k, v in options.items()}
         flag = lambda k, d: str(low.get(k, d)).lower() == "true"
         self.path = low.get("path", "")
@@ -148,9 +172,13 @@ class _Options:
         self.level = int(low["level"]) if "level" in low else None
         self.tries = RetryConfig(max_attempts=int(low.get("maxattempts", 5)))
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        codecs.adopt(self.added)
+
 
-def _open(path: str, o: _Options):
-    return retry_call(lambda: open(path, "rb"), o.tries)
+def _open(path: str, o: _Options, mode: str = "rb") -> RetryingFile:
+    return RetryingFile(path, mode, o.tries)
 
 
 def _layout(handle, o: _Options) -> Layout:
@@ -192,6 +220,9 @@ def read_range(part: Range, o: _Options, low: int | None = None, high: int | Non
     """Rows of the blocks in a range; with bounds on times, blocks outside are passed over by their headers."""
     schema = arrow_schema(SCHEMAS[o.view])
     with _open(part.file, o) as f:
+        if o.view == "config":
+            yield pa.RecordBatch.from_pylist([{"file": part.file, "head": f.read(FILE_HEADER)}], schema)
+            return
         layout = _layout(f, o)
         rows: list[dict] = []
         held = 0
@@ -233,6 +264,9 @@ class JournalReader(DataSourceReader):
         out = []
         known = manifest(self.o.path) if not os.path.isfile(local(self.o.path)) else {}
         for file in segments(self.o.path):
+            if self.o.view == "config":
+                out.append(Range(file, 0, FILE_HEADER, 0))
+                continue
             size = os.path.getsize(file)
             facts = known.get(os.path.basename(file))
             if facts and facts["bytes"] == size and self.o.hint is None:
@@ -262,8 +296,9 @@ class JournalReader(DataSourceReader):
         cuts = [(FILE_HEADER, 0), *map(tuple, facts["cuts"]), (facts["bytes"], facts["blocks"])]
         return [Range(file, a, b, no) for (a, no), (b, _) in zip(cuts, cuts[1:], strict=False)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from read_range(partition, self.o, self.low, self.high)
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # none at all where every segment is pruned, or there is no segment
+            yield from read_range(partition, self.o, self.low, self.high)
 
 
 class PushingReader(JournalReader):
@@ -296,7 +331,7 @@ def write_segment(rows: Iterator, path: str, o: _Options) -> Written:
     cut = FILE_HEADER
     first = None
     key, hasher, end_ts = None, None, 0
-    with retry_call(lambda: open(staged, "wb"), o.tries) as f:
+    with _open(staged, o, "wb") as f:
         f.write(layout.file_header())
 
         def close() -> None:
@@ -335,25 +370,41 @@ def write_segment(rows: Iterator, path: str, o: _Options) -> Written:
     if first is None:
         os.remove(staged)
         return Written(None, None, None)
-    return Written(staged, f"segment-{first:020d}-{uuid.uuid4().hex[:8]}.journal", facts)
+    return Written(staged, f"{OWN}{first:020d}-{uuid.uuid4().hex[:8]}.journal", facts)
+
 
+def publish(path: str, messages: list[Written | None], name: str, overwrite: bool = False) -> None:
+    """Moves staged segments into place, then writes the manifest that makes all of them visible at once.
 
-def publish(path: str, messages: list[Written | None], name: str) -> None:
-    """Moves staged segments into place, then adds their manifest; a manifest that exists was published before."""
-    top = os.path.join(local(path), "_manifest")
+    A manifest of this name that exists was published before: the segments are dropped. After a
+    commit that was cut off before its manifest, its segments are never seen, and the next commit
+    of the same name publishes its own. An overwrite's manifest names those it replaces, so a
+    reader sees either all of the old segments or all of the new ones.
+    """
+    path = local(path)
+    top = os.path.join(path, "_manifest")
     os.makedirs(top, exist_ok=True)
     target = os.path.join(top, f"{name}.json")
     if os.path.exists(target):
         discard(messages)
         return
+    old, files = [], []
+    if overwrite:
+        files = segments(path)
+        old = [*_manifests(path), *(f for f in map(os.path.basename, files) if not f.startswith(OWN))]
     done = {}
     for m in messages:
         if m is not None and m.staged:
-            os.replace(m.staged, os.path.join(local(path), m.name))
+            os.replace(m.staged, os.path.join(path, m.name))
             done[m.name] = m.facts
-    with open(target + ".tmp", "w") as f:
-        json.dump(done, f)
+    with RetryingFile(target + ".tmp", "wb") as f:
+        f.write(json.dumps({"segments": done, "replaced": old}).encode())
     os.replace(target + ".tmp", target)
+    for file in files:
+        os.remove(file)
+    for x in old:
+        if os.path.exists(os.path.join(top, x)):
+            os.remove(os.path.join(top, x))
 
 
 def discard(messages: list[Written | None]) -> None:
@@ -370,13 +421,7 @@ class JournalWriter(DataSourceWriter):
         return write_segment(iterator, self.o.path, self.o)
 
     def commit(self, messages) -> None:
-        if self.overwrite:
-            for file in segments(self.o.path):
-                os.remove(file)
-            top = os.path.join(local(self.o.path), "_manifest")
-            for name in os.listdir(top) if os.path.isdir(top) else []:
-                os.remove(os.path.join(top, name))
-        publish(self.o.path, messages, f"batch-{uuid.uuid4().hex}")
+        publish(self.o.path, messages, f"batch-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", self.overwrite)
 
     def abort(self, messages) -> None:
         discard(messages)
@@ -432,41 +477,55 @@ class JournalStreamReader(DataSourceStreamReader):
                 out.append(Range(file, at, stop, no))
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from read_range(partition, self.o)
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:
+            yield from read_range(partition, self.o)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class JournalDataSource(DataSource):
+    #: Hashes and codecs of the session that registered the source.
+    added: dict | None = None
+
+    def _parsed(self) -> _Options:
+        if self.added:
+            codecs.adopt(self.added)
+        return _Options(self.options, self.added)
+
     @classmethod
     def name(cls) -> str:
         return "journal"
 
     def schema(self) -> str:
-        return SCHEMAS[_Options(self.options).view]
+        return SCHEMAS[self._parsed().view]
 
     def reader(self, schema) -> JournalReader:
         from pyspark.sql import SparkSession
 
         session = SparkSession.getActiveSession()
         push = self.options.get("pushdown") or (session.conf.get("spark.sql.python.filterPushdown.enabled", "false") if session else "false")
-        return (PushingReader if str(push).lower() == "true" else JournalReader)(_Options(self.options))
+        return (PushingReader if str(push).lower() == "true" else JournalReader)(self._parsed())
 
     def writer(self, schema, overwrite: bool) -> JournalWriter:
-        return JournalWriter(_Options(self.options), overwrite)
+        return JournalWriter(self._parsed(), overwrite)
 
     def streamReader(self, schema) -> JournalStreamReader:
-        return JournalStreamReader(_Options(self.options))
+        return JournalStreamReader(self._parsed())
 
     def streamWriter(self, schema, overwrite: bool) -> JournalStreamWriter:
-        return JournalStreamWriter(_Options(self.options))
+        return JournalStreamWriter(self._parsed())
+
+
+def source() -> type[JournalDataSource]:
+    """The source as a class of its own that carries what is registered by now to every process it is sent to."""
+    return type("JournalDataSource", (JournalDataSource,), {"added": {k: dict(v) for k, v in codecs.ADDED.items()}, "__module__": "__main__"})
 
 
-def recover_file(path: str, o: _Options, now: int = 0, size: int | None = None) -> dict:
+def recover_file(path: str, o: _Options, now: int = 0, size: int | None = None, flips: dict[int, int] | None = None) -> dict:
     """The tail that recovery would leave, read backwards in windows that grow until a block closes;
-    with ``size``, as if the file ended there."""
+    with ``size``, as if the file ended there, with ``flips``, as if the bytes at these places were XORed."""
     with _open(path, o) as f:
         layout, size = _layout(f, o), os.path.getsize(path) if size is None else size
         window = 1 << 20
@@ -474,6 +533,9 @@ def recover_file(path: str, o: _Options, now: int = 0, size: int | None = None)
             base = max(FILE_HEADER, size - window)
             f.seek(base)
             j = Journal(f.read(size - base), layout, base, o.hash_name)
+            for at, bits in (flips or {}).items():
+                if base <= at < size:
+                    j.data[at - base] ^= bits
             out = j.recover(now)
             if out["has_blocks"] or base == FILE_HEADER:
                 return out | {"tail_from": base, "tail": bytes(j.data)}
@@ -484,7 +546,7 @@ def apply_recovery(path: str, options: dict[str, str] | None = None, now: int |
     """Truncates or closes the tail of one file as planned: the explicit action beside the pure plan."""
     o = _Options({**(options or {}), "path": path})
     plan = recover_file(local(path), o, codecs.now_micros() if now is None else now)
-    with open(local(path), "r+b") as f:
+    with _open(local(path), o, "r+b") as f:
         f.seek(plan["tail_from"])
         f.write(plan["tail"])
         f.truncate(plan["recovered_len"] if plan["has_blocks"] else min(plan["recovered_len"], FILE_HEADER))

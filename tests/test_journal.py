@@ -5,14 +5,17 @@ from __future__ import annotations
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.functions.retry import FatalError, RetryConfig, TransientError, classify, retry_call, retrying
+from inkwell.functions import codecs, rs
+from inkwell.functions.retry import FatalError, RetryConfig, RetryingFile, TransientError, classify, retry_call, retrying
 from inkwell.functions.rs import ecc_size
 from inkwell.operators import ecc, integrity, layout, scan
 from inkwell.operators.sequence import previous, ranged, running_max, running_sum
+from inkwell.sources import journal
 from inkwell.sources.format import ConfigMismatch
 from inkwell.sources.journal import apply_recovery, check_file, manifest, segments
 from inkwell.sources.parser import Journal
@@ -182,6 +185,132 @@ def test_repair_of_columns(spark):
     assert all(r.repaired_ok for r in t) and sum(r.first_ok for r in t) == 1
 
 
+def test_previous_keeps_nulls(spark):
+    """Nulls at the start, inside and at the borders of ranges."""
+    values = [None, 3, None, None, 5, 1, None, 7, 2, None] * 5
+    df = ranged(spark.createDataFrame(list(enumerate(values)), "k long, v long").repartition(5), "k")
+    assert [r.p for r in previous(df, "v", "p", "k").orderBy("k").collect()] == [None, *values[:-1]]
+
+
+@pytest.mark.parametrize("kinds", [["close"] * 9, ["content"] * 9, ["atomic"] * 5 + ["close"] * 5 + ["content"] * 5, ["close", "content"] * 8])
+def test_block_assignment_over_range_borders(spark, kinds):
+    ops, _ = make_ops(spark, kinds)
+    got = layout.assign_blocks(ops.repartition(6)).orderBy("seq").select("block_no", "comp_no", "kind").collect()
+    assert [tuple(r) for r in got] == reference_blocks(kinds)
+
+
+def test_commit_cut_off_before_its_manifest_shows_nothing_twice(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "j")
+    o = journal._Options({"path": path})
+    rows = [T.Row(block_no=i, kind="A", comp_no=0, block_ts=i, end_ts=i, ts=i, ecc=False, level=None, payload=b"x") for i in range(3)]
+    write = lambda: [journal.write_segment(iter(rows), path, o)]
+
+    def dies(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(journal.json, "dumps", dies)
+        journal.publish(path, write(), "epoch-000000000007")
+    assert segments(path) == [] and scan.read(spark, path).count() == 0
+    for _ in range(2):  # the retry, and a retry of a commit that was whole
+        journal.publish(path, write(), "epoch-000000000007")
+        assert sorted(r.ts for r in scan.read(spark, path).select("ts").collect()) == [0, 1, 2]
+    with open(f"{path}/other.bin", "wb") as f:
+        f.write(golden())
+    assert scan.read(spark, path).count() == 8
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(journal.os, "remove", dies)
+        journal.publish(path, write(), "batch-1", overwrite=True)
+    assert scan.read(spark, path).count() == 3  # the old files are still there, but replaced
+
+
+def test_registered_hash_and_codec_reach_the_workers(spark, tmp_path):
+    from tests.blake3 import Blake3
+
+    codecs.register_hash("blake3-test", Blake3)
+    codecs.register_codec("turned", lambda level, data: data[: len(data) // 2], lambda data, size: data * 2)
+    scan.enable(spark)
+    f = str(tmp_path / "g.journal")
+    with open(f, "wb") as h:
+        h.write(golden())
+    b = scan.read(spark, f, "blocks", hash="blake3-test").collect()
+    assert len(b) == 3 and all(x.stored_hash == x.computed_hash for x in b)
+    ops, _ = make_ops(spark, ["atomic", "content"] * 4)
+    ops = ops.withColumn("payload", F.lit(b"ab" * 400)).withColumn("len", F.lit(800).cast("long")).withColumn("comp_level", F.lit(1))
+    scan.write_operations(ops, str(tmp_path / "c"), hash="blake3-test", codec="turned")
+    got = scan.read(spark, str(tmp_path / "c"), hash="blake3-test", codec="turned").collect()
+    assert len(got) == 8 and all(bytes(r.payload) == b"ab" * 400 and r.data_len == 404 for r in got)
+
+
+def test_retries_of_reads_and_writes(tmp_path):
+    f = str(tmp_path / "x")
+
+    class Flaky:
+        """Every second read or write fails after it has moved the position."""
+
+        def __init__(self, path, mode, buffering):
+            self.inner, self.calls = open(path, mode), 0  # noqa: SIM115
+
+        def __getattr__(self, name):
+            real = getattr(self.inner, name)
+
+            def call(*a):
+                self.calls += name in ("read", "write")
+                if name in ("read", "write") and self.calls % 2:
+                    real(*(x[: len(x) // 2] if name == "write" else 3 for x in a))
+                    raise InterruptedError(4, name)
+                return real(*a)
+
+            return call
+
+    config = RetryConfig(initial_ms=0)
+    with RetryingFile(f, "w+b", config, Flaky) as h:
+        for part in (b"hello ", b"wide ", b"world"):
+            h.write(part)
+        h.seek(6)
+        assert h.read(4) == b"wide" and h.tell() == 10
+    with RetryingFile(f, "rb", config) as h:
+        assert h.read() == b"hello wide world"
+    with pytest.raises(FatalError):
+        RetryingFile(str(tmp_path / "none"))
+
+
+def test_compression_is_kept_only_where_it_saves(spark, tmp_path):
+    """The stored form of every page against the codec applied by hand."""
+    import zstandard
+
+    pages = [(i, x) for i, x in enumerate([b"", b"ab", b"ab" * 9, b"ab" * 900, os.urandom(300), b"<p>text</p>" * 30 + os.urandom(20)])]
+    df = spark.createDataFrame([(i, "A", 0, i, i, i, False, 3, x) for i, x in pages], "block_no long, kind string, comp_no int, block_ts long, end_ts long, ts long, ecc boolean, level int, payload binary")
+    scan.write_frames(df, str(tmp_path / "p"))
+    got = {r.ts: r for r in scan.read(spark, str(tmp_path / "p")).collect()}
+    for i, x in pages:
+        size = len(zstandard.ZstdCompressor(level=3).compress(x)) + 4
+        want = (True, size, len(x)) if size < len(x) else (False, len(x), None)
+        assert (got[i].compressed, got[i].data_len, got[i].orig_len) == want and bytes(got[i].payload) == x
+
+
+@pytest.mark.parametrize("n", [2, 4, 6, 8, 16, 32])
+def test_many_codewords_at_once_decode_as_one_by_one(n):
+    rnd = random.Random(n)
+    parts, parity, want = [], [], []
+    for _ in range(150):
+        data = bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, 256 - n)))
+        word = bytearray(data + rs.encode(data, n))
+        for i in rnd.sample(range(len(word)), min(rnd.randrange(n // 2 + 3), len(word))):
+            word[i] ^= rnd.randrange(1, 256)
+        parts.append(bytes(word[: len(data)]))
+        parity.append(bytes(word[len(data) :]))
+        try:
+            fixed, _, errors = rs.correct(parts[-1], parity[-1])
+        except rs.TooManyErrors:
+            fixed, errors = parts[-1], -1
+        want.append((fixed, errors))
+    size = np.array([len(p) for p in parts])
+    at, data = np.cumsum(size) - size, np.frombuffer(b"".join(parts), np.uint8).copy()
+    errors, _ = rs.correct_chunks(data, at, size, np.frombuffer(b"".join(parity), np.uint8).reshape(-1, n))
+    assert [(data[a : a + m].tobytes(), int(e)) for a, m, e in zip(at, size, errors, strict=True)] == want
+
+
 def test_retry():
     assert RetryConfig().delays() == [50, 100, 200, 400]
     assert RetryConfig(max_attempts=10).delays()[-1] == 5000
