@@ -17,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset a local master gets a
+    temporary folder; a cluster, whose machines don't share one, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,7 +45,19 @@ def materialize(df: DataFrame) -> DataFrame:
         df.select("*").write.parquet(path)  # planned anew, under the setting
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

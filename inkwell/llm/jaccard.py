@@ -13,14 +13,21 @@ band. Spare units, a quarter of H, make similar sets agree in many segments at o
 That is what keeps chance agreements out. A first exchange counts how many classes hold each
 key. A class with fewer shared keys than similar sets must have in common leaves the join; of
 its keys, the most frequent ones, as many as may be missing, need not be indexed. Classes that
-meet in small groups of keys are paired and their common keys counted; large groups (families of
-near copies) are linked to their first class. Candidate clusters are then joined exactly by
-prefix filtering and counted intersections, in blocks of bounded size and pairs of blocks, so no
-link is lost and no unbounded group meets in one task. Only links that join two components are
-kept. Components are the smallest document reachable.
+meet in groups of at most ``SMALL`` under a key are paired and their common keys counted; larger
+groups (families of near copies) are linked to their first class, so that candidates are at most
+``SMALL - 1`` for each key a class sends.
+
+Candidate clusters are then joined exactly by prefix filtering and counted intersections. A cluster
+is cut into blocks of bounded size; each block is joined in itself and with one centre of the whole
+cluster. What is joined to the centre in its block needs no comparison with the like of other
+blocks; only sets that are not are compared with all other blocks, a block of them with a block
+of the cluster at a time. So no link is lost, no unbounded group meets in one task, and a family
+of near copies costs what its members cost. Only links that join two components are kept.
+Components are the smallest document reachable.
 
 Documents without words or text have an empty set and link with nothing. Rows without an id have
-no component. Rows of one id are one document. Repeated rows each give a row.
+no component. Rows of one id are one document. Repeated rows each give a row. An empty table gives
+an empty result; other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -35,12 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import words as W
-from inkwell.llm.common import id_text, materialize, slices, utf8
+from inkwell.llm.common import id_text, materialize, slices, spent, utf8
 from inkwell.llm.components import components
-from inkwell.llm.exchange import chunked, gathered, opened, packed, packed_schema, replied, resolved, scattered, shards
+from inkwell.llm.exchange import Chunks, chunked, gathered, packed_rows, replied, rescattered, resolved, scattered
 
 WIDTH, PERCENT = 3, 90
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 100_000
 
 
 def shingle_sets(column: pa.ChunkedArray, width: int = WIDTH):
@@ -250,7 +257,9 @@ CLASS = {"check": np.uint64, "low": np.int64}
 NAMED = {"keys": np.uint64, "check": np.uint64, "low": np.int64}
 COUNTED = {"times": np.uint8}
 SEEN = {"keys": np.uint64, "times": np.uint8}
-KEYED = {"row": np.uint32, "context": np.uint16, "wild": np.uint16, "large": np.uint8}
+KEYED = {"row": np.uint32, "context": np.uint16, "wild": np.uint32, "large": np.uint8}
+LEAD = {"row": np.uint32, "node": np.int64}
+PLACED = {"row": np.uint32, "node": np.int64, "component": np.int64, "parts": np.int32, "block": np.int32}
 #: A chunk has fewer rows than this many bits count: each weighs 64 bytes at least.
 ROW_BITS = 20
 #: Keys of more classes than this link them to their first; classes of others are paired.
@@ -345,10 +354,9 @@ def _paired(percent: int):
     return run
 
 
-def class_table(docs: DataFrame, key: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
+def class_table(docs: DataFrame, key: str, text: str, width: int) -> tuple[Chunks, DataFrame]:
     """(chunks, rows): for each document its set's size, its class, its place, and whether it leads the class."""
     chunks = chunked(id_text(docs, key, text), text)
-    n = shards(docs)
 
     def send(chunk, table):
         low: dict[tuple[int, int], int] = {}
@@ -364,129 +372,167 @@ def class_table(docs: DataFrame, key: str, text: str, width: int) -> tuple[DataF
         size, name, leads, done = [], [], [], set()
         for doc, h in zip(table.column(key).to_pylist(), shingle_sets(table.column(text), width), strict=True):
             size.append(len(h))
-            rep = owner[_identity(h)] if doc is not None and len(h) else None
+            k = _identity(h) if doc is not None and len(h) else None
+            rep = owner[k] if k else None
             name.append(rep if rep is not None else doc)
-            lead = rep is not None and rep == doc and (k := _identity(h)) not in done
-            if lead:
+            leads.append(rep is not None and rep == doc and k not in done)
+            if leads[-1]:
                 done.add(k)
-            leads.append(lead)
         columns = {"doc": table.column(key), "n": pa.array(size, pa.int64()), "class": pa.array(name, pa.int64()), "chunk": pa.array([chunk] * len(size), pa.int64())}
         yield from pa.table({**columns, "row": pa.array(range(len(size)), pa.int64()), "lead": pa.array(leads, pa.bool_())}).combine_chunks().to_batches()
 
-    named = replied(scattered(chunks, n, CLASS, send), CLASS, NAMED, _name_classes)
-    return chunks, materialize(resolved(chunks, named, NAMED, "doc long, n long, class long, chunk long, row long, lead boolean", finish))
+    named = replied(scattered(chunks, CLASS, send), CLASS, NAMED, _name_classes)
+    return chunks, materialize(resolved(chunks, [(named, NAMED)], "doc long, n long, class long, chunk long, row long, lead boolean", finish))
 
 
 def similarity_links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(rows, links): the class of each document, and links u, v between classes that connect all similar ones."""
     chunks, rows = class_table(docs, key, text, width)
-    n = shards(docs)
     leads = rows.where("lead").select("chunk", "row", F.col("class").alias("node"), "n")
-
-    counted = materialize(replied(_counting(chunks, leads, n, text, width, percent), COUNTED, SEEN, _count))
-    pairs = _indexing(chunks, leads, counted, n, text, width, percent).mapInArrow(_paired(percent), "u long, v long, context long, times long, lack long")
-    met = pairs.groupBy("u", "v", "context").agg(F.sum("times").alias("times"), F.max("lack").alias("lack")).where("times >= lack")
-    candidates = components(met.select("u", "v"))
-    place = F.shiftleft(F.col("chunk"), ROW_BITS) + F.col("row")
-    clustered = candidates.withColumnRenamed("node", "place").join(leads.withColumn("place", place), "place")
-    blocked = _blocks(materialize(clustered.drop("place")), block_tokens)
-    return rows, _joined_blocks(_sets_of(chunks, blocked, key, text, width), percent)
-
-
-def _counting(chunks: DataFrame, leads: DataFrame, n: int, text: str, width: int, percent: int) -> DataFrame:
-    """Every chunk's distinct keys and how many of its classes hold each."""
-
-    def run(left, right):
-        keys = [context_keys(h, c, percent)[0] for _, h, _ in _picked(left, right, text, width) for c in contexts(h, percent)]
-        row = None
-        if keys:
-            k, times = np.unique(np.concatenate(keys), return_counts=True)
-            row = packed(left.column("chunk")[0].as_py(), k, n, {"times": np.minimum(times, 255).astype(np.uint8)})
-        return pa.Table.from_batches([row]) if row is not None else pa.Table.from_pylist([], packed_schema(COUNTED))
-
-    return chunks.groupBy("chunk").cogroup(leads.groupBy("chunk")).applyInArrow(run, "part int, chunk long, keys binary, times binary").repartitionById(n, F.col("part"))
-
-
-def _indexing(chunks: DataFrame, leads: DataFrame, counted: DataFrame, n: int, text: str, width: int, percent: int) -> DataFrame:
-    """Every chunk's index entries, given the numbers of its keys."""
-
-    def run(left, right):
-        is_lead = right.column("row").is_valid()
-        told = right.filter(pc.invert(is_lead))
-        known = np.frombuffer(b"".join(x.as_buffer() for x in told.column("keys")), np.uint64)
-        times = np.frombuffer(b"".join(x.as_buffer() for x in told.column("times")), np.uint8)
-        order = np.argsort(known)
-        known, times = known[order], times[order]
+    packed = materialize(packed_rows(leads, LEAD))
+
+    def count(chunk, table, lead):
+        """A chunk's distinct keys and how many of its classes hold each."""
+        keys = [context_keys(h, c, percent)[0] for h, _, _ in _picked(table, lead, text, width) for c in contexts(h, percent)]
+        if not keys:
+            return np.empty(0, np.uint64), {}
+        k, times = np.unique(np.concatenate(keys), return_counts=True)
+        return k, {"times": np.minimum(times, 255).astype(np.uint8)}
+
+    def index(chunk, table, lead, counts):
+        """A chunk's index entries, given the numbers of its keys."""
+        order = np.argsort(counts["keys"])
+        known, times = counts["keys"][order], counts["times"][order]
         keys, columns = [], {c: [] for c in KEYED}
-        for _, h, i in _picked(left, right.filter(is_lead), text, width):
+        for h, row, _ in _picked(table, lead, text, width):
             for c, k, wild, large in _indexed(h, percent, known, times):
                 keys.append(k)
-                for name, x in (("row", i), ("context", c), ("wild", min(wild, 65535))):
+                for name, x in (("row", row), ("context", c), ("wild", wild)):
                     columns[name].append(np.full(len(k), x, KEYED[name]))
                 columns["large"].append(large.astype(np.uint8))
-        row = None
-        if keys:
-            row = packed(left.column("chunk")[0].as_py(), np.concatenate(keys), n, {c: np.concatenate(x) for c, x in columns.items()})
-        return pa.Table.from_batches([row]) if row is not None else pa.Table.from_pylist([], packed_schema(KEYED))
+        return (np.concatenate(keys), {c: np.concatenate(x) for c, x in columns.items()}) if keys else (np.empty(0, np.uint64), {})
 
-    none = F.lit(None)
-    both = leads.select("chunk", "row", none.cast("binary").alias("keys"), none.cast("binary").alias("times")).unionByName(counted.select("chunk", none.cast("long").alias("row"), "keys", "times"))
-    schema = "part int, chunk long, keys binary" + "".join(f", {c} binary" for c in KEYED)
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, schema).repartitionById(n, F.col("part"))
+    counted = materialize(replied(rescattered(chunks, [(packed, LEAD)], COUNTED, count), COUNTED, SEEN, _count))
+    pairs = rescattered(chunks, [(packed, LEAD), (counted, SEEN)], KEYED, index).mapInArrow(_paired(percent), "u long, v long, context long, times long, lack long")
+    met = materialize(pairs.groupBy("u", "v", "context").agg(F.sum("times").alias("times"), F.max("lack").alias("lack")).where("times >= lack").select("u", "v"))
+    spent(packed, counted)
+    candidates = components(met)
+    place = F.shiftleft(F.col("chunk"), ROW_BITS) + F.col("row")
+    clustered = materialize(candidates.withColumnRenamed("node", "place").join(leads.withColumn("place", place), "place").drop("place"))
+    spent(met)
+    return rows, _joined_blocks(materialize(_sets_of(chunks, _blocks(clustered, block_tokens), text, width)), percent, block_tokens)
 
 
-def _picked(chunk: pa.Table, rows: pa.Table, text: str, width: int):
-    """(wanted row as a dict, its set, its place) of some rows of a chunk; other texts are not parsed."""
-    if not chunk.num_rows or not rows.num_rows:
-        return
-    rows = rows.sort_by("row")
-    at = rows.column("row").to_numpy()
-    texts = opened(chunk.column("blob")[0].as_buffer()).column(text).take(at)
-    yield from zip(rows.to_pylist(), shingle_sets(texts, width), at.tolist(), strict=True)
+def _picked(table: pa.Table, rows: dict[str, np.ndarray], text: str, width: int):
+    """(set, row, place among ``rows``) of some rows of a chunk; other texts are not parsed."""
+    order = np.argsort(rows["row"], kind="stable")
+    at = rows["row"][order]
+    if len(at):
+        yield from zip(shingle_sets(table.column(text).take(pa.array(at)), width), at.tolist(), order.tolist(), strict=True)
 
 
 def _blocks(clustered: DataFrame, block_tokens: int) -> DataFrame:
-    """Clusters of more than ``block_tokens`` tokens are cut by a hash into blocks of about that
-    many; every pair of blocks of a cluster is joined."""
+    """Clusters of more than ``block_tokens`` tokens are cut by a hash into blocks of about that many."""
     total = clustered.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("int").alias("parts"))
     both = clustered.join(total, "component")
     return both.select("chunk", "row", "node", "component", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
 
 
-def _sets_of(chunks: DataFrame, blocked: DataFrame, key: str, text: str, width: int) -> DataFrame:
+SET = "component long, parts int, block int, node long, tokens binary"
+
+
+def _sets_of(chunks: Chunks, blocked: DataFrame, text: str, width: int) -> DataFrame:
     """component, parts, block, node and sorted set of every clustered class."""
     kinds = pa.schema([("component", pa.int64()), ("parts", pa.int32()), ("block", pa.int32()), ("node", pa.int64()), ("tokens", pa.binary())])
 
-    def run(left, right):
+    def finish(chunk, table, rows):
         out = {c: [] for c in kinds.names}
-        for r, h, _ in _picked(left, right, text, width):
+        for h, _, i in _picked(table, rows, text, width):
             for c in ("component", "parts", "block", "node"):
-                out[c].append(r[c])
+                out[c].append(rows[c][i])
             out["tokens"].append(h.tobytes())
-        return pa.Table.from_pydict(out, kinds)
+        yield pa.RecordBatch.from_pydict(out, kinds)
+
+    return resolved(chunks, [(packed_rows(blocked, PLACED), PLACED)], SET, finish)
 
-    return chunks.groupBy("chunk").cogroup(blocked.groupBy("chunk")).applyInArrow(run, "component long, parts int, block int, node long, tokens binary")
 
+def _opened_sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(nodes, sets, order) by rising node."""
+    nodes = table.column("node").to_numpy()
+    order = np.argsort(nodes, kind="stable")
+    tokens = table.column("tokens").to_pylist()
+    return nodes[order], [np.frombuffer(tokens[i], np.uint64) for i in order], order
 
-def _joined_blocks(sets: DataFrame, percent: int) -> DataFrame:
-    """Links within each block and across each pair of blocks of a cluster."""
-    i = F.col("block")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(i, j).alias("a"), F.greatest(i, j).alias("b")))
-    dealt = sets.withColumn("pair", F.explode(pairs)).select("component", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "block", "node", "tokens")
+
+LINKED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("component", pa.int64()), ("parts", pa.int32()), ("block", pa.int32()), ("node", pa.int64()), ("tokens", pa.binary())])
+
+
+def _centre(table: pa.Table) -> pa.Table:
+    """The set of a block whose tokens most of its sets hold; which one it is costs time, not links."""
+    nodes, sets, order = _opened_sets(table)
+    tokens, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    begin = np.cumsum([0, *map(len, sets)])[:-1]
+    best = order[int((np.add.reduceat(often[inverse].astype(float), begin) / [len(x) for x in sets]).argmax())]
+    return table.select(["component", "parts", "block", "node", "tokens"]).slice(int(best), 1)
+
+
+def _joined_blocks(sets: DataFrame, percent: int, block_tokens: int) -> DataFrame:
+    """Links within each block and with its cluster's centre, then of what no link joins to the centre with all other blocks."""
+    many = F.col("parts") > 1
+    centres = sets.where(many & (F.col("block") == 0)).groupBy("component").applyInArrow(_centre, SET)
+    copies = centres.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def within(table: pa.Table) -> pa.Table:
+        out = {c: [] for c in LINKED.names}
+        nodes, sets, order = _opened_sets(table)
+        marked = table.column("centre").to_numpy(zero_copy_only=False)[order].astype(bool)
+        edges = forest(nodes, sets, percent) if len(nodes) > 1 else []
+        if table.column("parts")[0].as_py() > 1:
+            up = {n: n for n in nodes.tolist()}
+
+            def root(x):
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            for a, b in edges:
+                up[root(a)] = root(b)
+            top = root(int(nodes[np.flatnonzero(marked)[0]]))
+            facts = {c: table.column(c)[0].as_py() for c in ("component", "parts", "block")}
+            for i, n in enumerate(nodes.tolist()):
+                if not marked[i] and root(n) != top:
+                    for c, x in {"u": None, "v": None, **facts, "node": n, "tokens": sets[i].tobytes()}.items():
+                        out[c].append(x)
+        for c, x in zip(("u", "v"), zip(*edges, strict=True) if edges else ((), ()), strict=True):
+            out[c] = list(x) + out[c]
+        for c in LINKED.names[2:]:
+            out[c] = [None] * len(edges) + out[c]
+        return pa.Table.from_pydict(out, LINKED)
+
+    no = F.lit(False).alias("centre")
+    first = materialize(
+        sets.select("*", no).unionByName(copies.withColumn("centre", F.lit(True))).groupBy("component", "block").applyInArrow(within, "u long, v long, " + SET)
+    )
+    links = first.where("u is not null").select("u", "v")
+    apart = first.where("node is not null").drop("u", "v")
+    # Blocks of the sets apart, against every other block of their cluster.
+    needed = materialize(apart.groupBy("component").agg(F.ceil(F.sum(F.length("tokens")) / F.lit(8 * block_tokens)).cast("int").alias("rounds")))
+    if needed.isEmpty():
+        return links
+    theirs = apart.join(needed, "component").withColumn("round", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rounds")).cast("int"))
+    theirs = theirs.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> block")
+    ours = sets.join(needed, "component").withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).withColumn("at", F.col("block"))
+    pair = lambda df, side: df.select("component", "at", "round", "node", "tokens", F.lit(side).alias("side"))
     kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        if table.num_rows < 2:
-            return pa.Table.from_pydict({"u": [], "v": []}, kinds)
-        nodes, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        tokens = table.column("tokens").to_pylist()
-        sets = [np.frombuffer(tokens[i], np.uint64) for i in order]
-        across = table.column("a")[0].as_py() != table.column("b")[0].as_py()
-        edges = forest(nodes[order], sets, percent, block[order] if across else None)
+    def across(table: pa.Table) -> pa.Table:
+        nodes, sets, order = _opened_sets(table)
+        side = table.column("side").to_numpy()[order]
+        edges = forest(nodes, sets, percent, side) if side.any() and not side.all() else []
         return pa.Table.from_pydict({"u": [e[0] for e in edges], "v": [e[1] for e in edges]}, kinds)
 
-    return dealt.groupBy("component", "a", "b").applyInArrow(run, "u long, v long")
+    return links.union(pair(ours, 0).unionByName(pair(theirs, 1)).groupBy("component", "at", "round").applyInArrow(across, "u long, v long"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

@@ -1,16 +1,18 @@
 """Line dedup over a sharded minimal perfect hash.
 
-Each chunk of documents sends its distinct line keys, as two 64-bit hashes with the smallest
-and largest document id, to the shard of the first hash. A shard keeps the keys of at least two
-documents, builds a minimal perfect hash over them, and fills arrays at its slots: fingerprint
-(the second hash), owner (the smallest document) and count. The chunks' keys then probe the
-arrays in the shard, and those that hit, for a document other than the owner, are replied to
-the chunk, which drops the lines. Lines themselves never move; a line that a third of all
-documents hold is one key for each chunk.
+Each task sends its distinct line keys, as two 64-bit hashes with the smallest and largest
+document id, to the shard of the first hash. A shard keeps the keys of at least two documents,
+builds a minimal perfect hash over them, and publishes arrays at its slots: fingerprint (the second
+hash), count, and owner (the smallest document). That index is written; it is all that later steps
+know of other documents' lines. Every chunk of documents then probes the arrays with its own
+distinct keys, dealt to shards: a slot whose fingerprint agrees gives the owner, and the chunk
+drops the lines that another document owns. Lines themselves never move; a line that a third of
+all documents hold is one key for each task, and one probe for each chunk.
 
 A key is a line stripped of white space with ASCII letters lower-cased; keys of fewer than
 ``least`` code points never count. Null or empty texts are one empty line. Rows without a
-document id neither own nor lose lines. Repeated rows of one id are the same document.
+document id neither own nor lose lines. Repeated rows of one id are the same document. An empty
+table gives an empty result; columns of ``docs`` keep their names, the two new ones give way.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import words as W
 from inkwell.llm.common import fresh, id_text, slices, utf8
-from inkwell.llm.exchange import chunked, replied, resolved, scattered, shards
+from inkwell.llm.exchange import chunked, probed, published, resolved, scattered
 
 LEAST = 10
 CODES2 = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,6 +47,18 @@ class PerfectHash:
             base += int(bits.sum())
             left, level = left[~bits[at]], level + 1
 
+    @classmethod
+    def stored(cls, bits: np.ndarray, levels: np.ndarray) -> PerfectHash:
+        """From the bits of all levels, packed, and how many each level has."""
+        out = cls(np.empty(0, np.uint64))
+        flat, base = np.unpackbits(bits, count=int(levels.sum())).astype(bool), 0
+        for a, b in zip(np.cumsum(levels) - levels, np.cumsum(levels), strict=True):
+            part = flat[a:b]
+            out.levels.append((part, base + np.cumsum(part) - 1))
+            base += int(part.sum())
+        out.size = base
+        return out
+
     @staticmethod
     def _at(keys: np.ndarray, level: int, m: int) -> np.ndarray:
         return (W.mix(keys + np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (1 << 64) - 1)) % np.uint64(m)).astype(np.int64)
@@ -105,36 +119,52 @@ def _group(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
 
 
-SENT = {"check": np.uint64, "low": np.int64, "high": np.int64, "times": np.int32}
+SENT = {"check": np.uint64, "low": np.int64, "high": np.int64, "times": np.int64}
+PROBE = {"check": np.uint64}
 BACK = {"keys": np.uint64, "check": np.uint64, "owner": np.int64}
+#: A shard's index: bits of the perfect hash, bits in each level, arrays at its slots; then the keys
+#: whose first hash another key has, which no perfect hash can tell apart.
+INDEX = {"bits": np.uint8, "levels": np.int64, "prints": np.uint64, "counts": np.uint32, "owners": np.int64, "twin": np.uint64, "twin_print": np.uint64, "twin_owner": np.int64}
+
 
+def merged(keys: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Equal keys of a task as one."""
+    order, first = _group(keys, columns["check"])
+    return keys[order][first], {
+        "check": columns["check"][order][first], "low": np.minimum.reduceat(columns["low"][order], first), "high": np.maximum.reduceat(columns["high"][order], first),
+        "times": np.add.reduceat(columns["times"][order], first),
+    }
 
-def decide(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """A shard: keys of two documents or more go into the arrays, all keys probe them."""
-    h1, h2 = got["keys"], got["check"]
-    order, first = _group(h1, h2)
-    low, high = np.minimum.reduceat(got["low"][order], first), np.maximum.reduceat(got["high"][order], first)
-    times = np.add.reduceat(got["times"][order].astype(np.int64), first)
-    twice = low < high
-    k1, k2 = h1[order][first][twice], h2[order][first][twice]
-    owner, count = low[twice], times[twice]
-    # First hashes of distinct keys may be equal: all but one go to an exact side list.
+
+def index_of(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The arrays of a shard, over its keys of two documents or more."""
+    keys, c = merged(got["keys"], got)
+    twice = c["low"] < c["high"]
+    k1, k2, owner, count = keys[twice], c["check"][twice], c["low"][twice], c["times"][twice]
     lone = np.concatenate([[True], k1[1:] != k1[:-1]]) if len(k1) else np.empty(0, bool)
-    index = PerfectHash(k1[lone])
-    at = index.slot(k1[lone])
-    prints, owners, counts = np.zeros(index.size, np.uint64), np.zeros(index.size, np.int64), np.zeros(index.size, np.uint32)
-    prints[at], owners[at], counts[at] = k2[lone], owner[lone], np.minimum(count[lone], 0xFFFFFFFF)
-    slot = index.slot(h1)
+    mph = PerfectHash(k1[lone])
+    at = mph.slot(k1[lone])
+    prints, counts, owners = np.zeros(mph.size, np.uint64), np.zeros(mph.size, np.uint32), np.zeros(mph.size, np.int64)
+    prints[at], counts[at], owners[at] = k2[lone], np.minimum(count[lone], 0xFFFFFFFF), owner[lone]
+    levels = [bits for bits, _ in mph.levels]
+    bits = np.packbits(np.concatenate(levels)) if levels else np.empty(0, np.uint8)
+    return {"bits": bits, "levels": np.array([len(x) for x in levels], np.int64), "prints": prints, "counts": counts, "owners": owners, "twin": k1[~lone], "twin_print": k2[~lone], "twin_owner": owner[~lone]}
+
+
+def answer(index: dict[str, np.ndarray], probes: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Owners of the probed keys that the index holds."""
+    h1, h2 = probes["keys"], probes["check"]
+    mph = PerfectHash.stored(index["bits"], index["levels"])
+    slot = mph.slot(h1)
     hit = slot >= 0
-    hit[hit] = (prints[slot[hit]] == h2[hit]) & (counts[slot[hit]] > 1)
-    out = np.zeros(len(h1), np.int64)
-    out[hit] = owners[slot[hit]]
-    for a, b, o in zip(k1[~lone], k2[~lone], owner[~lone], strict=True):
+    hit[hit] = (index["prints"][slot[hit]] == h2[hit]) & (index["counts"][slot[hit]] > 1)
+    owner = np.zeros(len(h1), np.int64)
+    owner[hit] = index["owners"][slot[hit]]
+    for a, b, o in zip(index["twin"], index["twin_print"], index["twin_owner"], strict=True):
         same = (h1 == a) & (h2 == b)
         hit |= same
-        out[same] = o
-    hit &= got["high"] != out  # else the chunk holds the key in its owner only
-    return {"chunk": got["chunk"][hit], "keys": h1[hit], "check": h2[hit], "owner": out[hit]}
+        owner[same] = o
+    return {"chunk": probes["chunk"][hit], "keys": h1[hit], "check": h2[hit], "owner": owner[hit]}
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,19 +174,17 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     if docs.schema[key].dataType.simpleString() != "bigint":
         docs = docs.withColumn(key, F.col(key).cast("long"))
     chunks = chunked(docs, text)
-    n = shards(docs)
 
-    def send(chunk, table):
+    def own(chunk, table):
         parts = []
         for *_, row, keyed, h1, h2, doc in _all_keys(table, key, text):
             parts.append((h1[keyed], h2[keyed], doc[row[keyed]]))
         h1, h2, doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
-        if not len(h1):
-            return h1, {c: np.empty(0, t) for c, t in SENT.items()}
-        order, first = _group(h1, h2)
-        ends = np.append(first[1:], len(h1))
-        d = doc[order]
-        return h1[order][first], {"check": h2[order][first], "low": np.minimum.reduceat(d, first), "high": np.maximum.reduceat(d, first), "times": (ends - first).astype(np.int32)}
+        return merged(h1, {"check": h2, "low": doc, "high": doc, "times": np.ones(len(h1), np.int64)}) if len(h1) else (h1, {})
+
+    def probe(chunk, table):
+        keys, columns = own(chunk, table)
+        return keys, {c: columns[c] for c in PROBE if len(keys)}
 
     def finish(chunk, table, got):
         order = np.argsort(got["keys"], kind="stable")
@@ -186,10 +214,10 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         columns[text] = pa.array(texts, pa.string())
         yield from pa.table({**columns, made[0]: total, made[1]: lost}).combine_chunks().to_batches()
 
-    entries = scattered(chunks, n, SENT, send)
-    replies = replied(entries, SENT, BACK, decide)
+    index = published(scattered(chunks, SENT, own, merged), SENT, INDEX, index_of)
+    owners = probed(chunks, index, INDEX, scattered(chunks, PROBE, probe), PROBE, BACK, answer)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return resolved(chunks, replies, BACK, f"{fields}, `{made[0]}` long, `{made[1]}` long", finish)
+    return resolved(chunks, [(owners, BACK)], f"{fields}, `{made[0]}` long, `{made[1]}` long", finish)
 
 
 def digest_query(docs: DataFrame) -> DataFrame:

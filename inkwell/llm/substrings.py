@@ -1,21 +1,27 @@
-"""Substring dedup by a sharded hash index of word windows.
-
-The reference is every document with a smaller id. Its index is cut into blocks (shards), which
-map each window of ``span`` words, as a 64-bit and a 32-bit hash, to its first holder: the
-smallest document and the place there. Every window of a document is looked up, in whichever
-block holds it; the words of windows that the index holds for a smaller document are removed.
-This takes the place of greedy relative Lempel-Ziv parsing: factors are hits that go on in step,
-joined afterwards as a report; they decide nothing.
-
-Windows that no other document can hold are never looked up. Each window has an anchor, its
-smallest hash of ``K`` consecutive words; equal windows have equal anchors. A first exchange
-finds the anchors that two documents share; only windows under those go to the index. Both
-exchanges send each distinct key once for each chunk of documents, so a passage that a third of
-all documents hold weighs no more than the number of chunks.
-
-Words are runs of what is not white space, unchanged. Null texts have no words; texts of fewer
-than ``span`` words lose none. Rows without an id neither serve as reference nor lose words;
-repeated rows of one id are the same document.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+
+The reference is every document with a smaller id. It is cut into passages by anchors: the anchor
+of a window of ``span`` words is its smallest hash of ``K`` consecutive words, and the windows in
+a row that share one make a passage of at most ``2 * span - K`` words. Equal windows have equal
+anchors, so the passages of one anchor are all the text that a factor in any of them can come
+from. A reference block is a shard of anchors, with an index of the windows in its passages.
+
+Each passage is parsed from left to right against its block: the window at the cursor is looked
+up; if a smaller document holds it, the factor grows word by word along the reference's text as
+far as both agree, and the cursor moves to the first window the factor does not cover; else the
+cursor moves on by one. So every window is covered by a factor or was looked up, across the ends
+of factors as well, and what the factors cover is what is removed. Factors that go on in step in
+the next passage are joined into one.
+
+A first exchange finds the anchors that two documents share; passages under others meet nothing.
+Each chunk of documents sends a passage once, for the smallest document that holds it: for its
+other documents that one is the reference. A passage that a third of all documents hold thus weighs
+no more than the number of chunks.
+
+Words are runs of what is not white space, unchanged, compared by 32-bit hashes, window by window,
+under an equal 64-bit anchor. Null texts have no words; texts of fewer than ``span`` words lose
+none. Rows without an id neither serve as reference nor lose words; repeated rows of one id are the
+same document. An empty table gives an empty result; other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -27,9 +33,10 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import words as W
 from inkwell.llm.common import id_text, materialize, slices, utf8
-from inkwell.llm.exchange import chunked, replied, rescattered, resolved, scattered, shards
+from inkwell.llm.exchange import chunked, replied, rescattered, resolved, scattered
 
 SPAN, K = 13, 6
+MULTIPLIERS = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _ids(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
@@ -57,18 +64,6 @@ def _anchors(h: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndar
     return inside, at[inside], g
 
 
-def _windows(h: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the windows at some starts."""
-    if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    q1, q2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
-    a, b = h[starts], h[starts]
-    for j in range(1, span):
-        x = h[starts + j]
-        a, b = a * q1 + x, b * q2 + x
-    return W.mix(a), (W.mix(b) >> np.uint64(32)).astype(np.uint32)
-
-
 def _in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Whether each key is in the sorted array."""
     if not len(known):
@@ -87,9 +82,38 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def passages(h: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first word, words) of the passages of consecutive texts."""
+    starts, at, g = _anchors(h, row, span, k)
+    first = _runs(at)
+    last = np.append(first[1:], len(at)) - 1
+    begin = starts[first]
+    return g[at[first]], begin, starts[last[: len(first)]] + span - begin
+
+
+def _words_of(h: np.ndarray, begin: np.ndarray, size: np.ndarray, wide: int) -> np.ndarray:
+    """Hashes of each passage's words, zeros beyond its end."""
+    place = np.minimum(begin[:, None] + np.arange(wide), max(len(h) - 1, 0))
+    out = (h[place] >> np.uint64(32)).astype(np.uint32) if len(begin) else np.empty((0, wide), np.uint32)
+    out[np.arange(wide) >= size[:, None]] = 0
+    return out
+
+
+def _same(words: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of whole passages."""
+    q = MULTIPLIERS[: words.shape[1]]
+    one = (words * q).sum(1, dtype=np.uint64) + anchor
+    two = (words * MULTIPLIERS[100 : 100 + words.shape[1]]).sum(1, dtype=np.uint64)
+    return W.mix(one), W.mix(two + size.astype(np.uint64))
+
+
 ANCHOR = {"low": np.int64, "high": np.int64}
-WINDOW = {"check": np.uint32, "low": np.int64, "high": np.int64, "place": np.int32}
-FOUND = {"keys": np.uint64, "check": np.uint32, "owner": np.int64, "place": np.int32}
+SHARED = {"keys": np.uint64}
+FACTOR = {"doc": np.int64, "place": np.int32, "offset": np.uint8, "length": np.uint8, "ref": np.int64, "ref_at": np.int32}
+
+
+def _passage_kinds(wide: int) -> dict:
+    return {"doc": np.int64, "place": np.int32, "size": np.uint8, "words": np.dtype((np.uint32, (wide,)))}
 
 
 def shared_anchors(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -102,128 +126,166 @@ def shared_anchors(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"chunk": got["chunk"][order][on], "keys": keys[on]}
 
 
-def first_holders(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """A block of the index: first holder of each window, to chunks with a later one."""
-    order = np.lexsort((got["low"], got["check"], got["keys"]))
-    keys, check, low, place = (got[c][order] for c in ("keys", "check", "low", "place"))
-    first = _runs(keys, check)
-    size = np.diff(np.append(first, len(keys)))
-    owner, at = np.repeat(low[first], size), np.repeat(place[first], size)
-    later = got["high"][order] > owner
-    return {"chunk": got["chunk"][order][later], "keys": keys[later], "check": check[later], "owner": owner[later], "place": at[later]}
-
-
-def _distinct(keys: np.ndarray, check: np.ndarray | None, doc: np.ndarray, place: np.ndarray | None):
-    """Distinct keys of a chunk with smallest and largest document, and the place in the smallest."""
-    columns = [x for x in (place, doc, check, keys) if x is not None]
-    order = np.lexsort(columns)
-    k, d = keys[order], doc[order]
-    c = check[order] if check is not None else None
-    first = _runs(k, c) if c is not None else _runs(k)
-    out = {"low": d[first], "high": np.maximum.reduceat(d, first) if len(first) else d[:0]}
-    if c is not None:
-        out = {"check": c[first], **out, "place": place[order][first].astype(np.int32)}
-    return k[first], out
-
-
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
-    """key, n_words, n_removed, kept (words joined by one space), factors (start, length, reference document and start)."""
+def parsed(got: dict[str, np.ndarray], span: int) -> dict[str, np.ndarray]:
+    """A reference block: all its passages, each parsed against those of smaller documents."""
+    order = np.lexsort((got["place"], got["doc"], got["keys"]))
+    anchor, doc, place, size, words = (got[c][order] for c in ("keys", "doc", "place", "size", "words"))
+    size = size.astype(np.int64)
+    wide = words.shape[1]
+    # The index: first holder of every window, by a hash of its words.
+    key, entry, offset = [], [], []
+    for j in range(wide - span + 1):
+        on = np.flatnonzero(size >= j + span)
+        key.append(W.mix((words[on, j : j + span] * MULTIPLIERS[:span]).sum(1, dtype=np.uint64) + anchor[on]))
+        entry.append(on)
+        offset.append(np.full(len(on), j))
+    key, entry, offset = (np.concatenate(x) for x in (key, entry, offset))
+    by = np.lexsort((offset, entry, key))  # entries are in order of anchor and document
+    first = _runs(key[by])
+    index, holder, held_at = key[by][first], entry[by][first], offset[by][first]
+    asked = {(j): (entry[offset == j], key[offset == j]) for j in range(wide - span + 1)}
+    cursor = np.zeros(len(doc), np.int64)
+    out = {c: [] for c in ("entry", "offset", "length", "ref", "ref_at")}
+    for j, (e, k) in asked.items():
+        here = cursor[e] == j
+        e, k = e[here], k[here]
+        cursor[e] = j + 1
+        at = np.searchsorted(index, k)  # every window is in the index
+        ref, ref_from = holder[at], held_at[at]
+        smaller = doc[ref] < doc[e]
+        e, ref, ref_from = e[smaller], ref[smaller], ref_from[smaller]
+        # The factor grows along the reference's words while both go on and agree.
+        length, grows = np.zeros(len(e), np.int64), np.ones(len(e), bool)
+        for t in range(wide - j):
+            grows &= (j + t < size[e]) & (ref_from + t < size[ref])
+            grows[grows] = words[e[grows], j + t] == words[ref[grows], ref_from[grows] + t]
+            length += grows
+        whole = length >= span
+        e, ref, ref_from, length = e[whole], ref[whole], ref_from[whole], length[whole]
+        cursor[e] = j + length - span + 1
+        for c, x in zip(out, (e, np.full(len(e), j), length, doc[ref], place[ref] + ref_from), strict=True):
+            out[c].append(x)
+    e, *rest = (np.concatenate(x) for x in out.values())
+    return {"chunk": got["chunk"][order][e], "doc": doc[e], "place": place[e], **{c: x.astype(FACTOR[c]) for c, x in zip(("offset", "length", "ref", "ref_at"), rest, strict=True)}}
+
+
+def _joined_factors(start, length, ref, ref_at, row) -> list[np.ndarray]:
+    """Factors that go on in step in the same reference as one: (start, length, ref, ref_at, row)."""
+    order = np.lexsort((start, start - ref_at, ref, row))
+    start, length, ref, ref_at, row = (x[order] for x in (start, length, ref, ref_at, row))
+    end = start + length
+    # Within one row, reference and step, ends rise with starts: a factor that begins by then goes on.
+    new = np.ones(len(start), bool)
+    new[1:] = (row[1:] != row[:-1]) | (ref[1:] != ref[:-1]) | ((start - ref_at)[1:] != (start - ref_at)[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    return [start[first], end[last[: len(first)]] - start[first], ref[first], ref_at[first], row[first]]
+
+
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K, report: bool = True) -> DataFrame:
+    """key, n_words, n_removed, kept (words joined by one space) and, with ``report``, factors (start, length, reference document and start)."""
     src = id_text(docs, key, text)
     chunks = chunked(src, text)
-    n = shards(docs)
+    wide = 2 * span - k
+    kinds = _passage_kinds(wide)
 
     def send_anchors(chunk, table):
         doc, known = _ids(table, key)
-        parts = []
+        keys, docs_of = [], []
         for a, _, _, _, _, _, row, h in _parsed(table.column(text)):
-            starts, at, g = _anchors(h, row, span, k)
-            at = at[_runs(at)]
-            at = at[known[row[at] + a]]
-            parts.append(_distinct(g[at], None, doc[row[at] + a], None))
-        if not parts:
+            anchor, begin, _ = passages(h, row, span, k)
+            on = known[row[begin] + a]
+            keys.append(anchor[on])
+            docs_of.append(doc[row[begin] + a][on])
+        if not sum(map(len, keys)):
             return np.empty(0, np.uint64), {}
-        keys, low, high = (np.concatenate(x) for x in zip(*((p, c["low"], c["high"]) for p, c in parts), strict=True))
-        order = np.argsort(keys, kind="stable")
-        first = _runs(keys[order])
-        if not len(first):
-            return keys, {}
-        return keys[order][first], {"low": np.minimum.reduceat(low[order], first), "high": np.maximum.reduceat(high[order], first)}
-
-    def candidates(table, anchors):
-        """Windows under shared anchors: for ranges of rows, what _parsed yields and the windows' starts."""
-        anchors = np.sort(anchors)
-        for part in _parsed(table.column(text)):
-            row, h = part[6], part[7]
-            starts, at, g = _anchors(h, row, span, k)
-            new = np.zeros(len(at), bool)
-            new[_runs(at)] = True
-            on = _in(g[at[new]], anchors)
-            yield part, starts[on[np.cumsum(new) - 1]] if len(at) else starts
-
-    def send_windows(chunk, table, got):
-        doc, known = _ids(table, key)
-        parts = []
-        for (a, _, _, _, _, _, row, h), starts in candidates(table, got["keys"]):
-            starts = starts[known[row[starts] + a]]
-            h1, h2 = _windows(h, starts, span)
-            begin = np.searchsorted(row, row[starts])
-            parts.append((h1, h2, doc[row[starts] + a], (starts - begin).astype(np.int32)))
-        if parts:
-            return _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return np.empty(0, np.uint64), {}
-
-    def finish(chunk, table, got):
+        keys, d = np.concatenate(keys), np.concatenate(docs_of)
+        order = np.lexsort((d, keys))
+        keys, d = keys[order], d[order]
+        first = _runs(keys)
+        return keys[first], {"low": d[first], "high": d[np.append(first[1:], len(d)) - 1]}
+
+    def grouped(table, anchors):
+        """For ranges of rows: what _parsed yields, and of its passages under shared anchors (anchor, first word,
+        words, hashes, document, place); then all passages of the chunk in groups of equal ones, smallest document first."""
         doc, known = _ids(table, key)
-        order = np.lexsort((got["check"], got["keys"]))
-        keys, check, owner, place = (got[c][order] for c in FOUND)
+        anchors, ranges, parts = np.sort(anchors), [], []
+        for n, part in enumerate(_parsed(table.column(text))):
+            a, row, h = part[0], part[6], part[7]
+            anchor, begin, size = passages(h, row, span, k)
+            on = _in(anchor, anchors) & known[row[begin] + a]
+            anchor, begin, size = anchor[on], begin[on], size[on]
+            words = _words_of(h, begin, size, wide)
+            place = begin - np.searchsorted(row, row[begin])
+            ranges.append(part)
+            parts.append((anchor, words, size, doc[row[begin] + a], place, np.full(len(begin), n), begin, *_same(words, size, anchor)))
+        if not parts:
+            return ranges, None
+        anchor, words, size, d, place, n, begin, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((n, place, d, h2, h1))
+        first = _runs(h1[order], h2[order])
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        return ranges, (anchor[order], words[order], size[order], d[order], place[order], n[order], begin[order], first, group)
+
+    def send_passages(chunk, table, got):
+        _, all_ = grouped(table, got["keys"])
+        if all_ is None:
+            return np.empty(0, np.uint64), {}
+        anchor, words, size, d, place, _, _, first, _ = all_
+        return anchor[first], {"doc": d[first], "place": place[first].astype(np.int32), "size": size[first].astype(np.uint8), "words": words[first]}
+
+    def finish(chunk, table, got, factors):
+        ranges, all_ = grouped(table, got["keys"])
+        found = [[] for _ in ranges]
+        if all_ is not None:
+            anchor, words, size, d, place, n, begin, first, group = all_
+            # Passages of documents after the smallest of their group: that one is the reference for all of their words.
+            later = d > d[first][group]
+            copy = (n[later], begin[later], size[later], d[first][group][later], place[first][group][later])
+            # Passages of the smallest document: the factors found in the block.
+            code = lambda doc, at: doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)
+            own = np.flatnonzero(~later)
+            mine = code(d[first][group][own], place[first][group][own])
+            by = np.argsort(code(factors["doc"], factors["place"]), kind="stable")
+            told = code(factors["doc"], factors["place"])[by]
+            x, y = np.searchsorted(told, mine, "left"), np.searchsorted(told, mine, "right")
+            rep = np.repeat(own, y - x)
+            f = by[np.repeat(x - (np.cumsum(y - x) - (y - x)), y - x) + np.arange(int((y - x).sum()))] if len(rep) else np.empty(0, np.int64)
+            # Two documents' codes may be equal: the factor must be of this very document and place.
+            true = (factors["doc"][f] == d[rep]) & (factors["place"][f] == place[first][group][rep])
+            rep, f = rep[true], f[true]
+            parse = (n[rep], begin[rep] + factors["offset"][f], factors["length"][f].astype(np.int64), factors["ref"][f], factors["ref_at"][f].astype(np.int64))
+            for i in range(len(ranges)):
+                found[i] = [np.concatenate([c[1:][q][c[0] == i] for c in (copy, parse)]) for q in range(4)]
         out = {"n_words": [], "n_removed": [], "kept": [], "factors": []}
-        for a, rows, d, off, s, e, row, h in _parsed(table.column(text)):
-            # Any window may be asked for: those the index does not hold have no reply.
-            n_starts = max(0, len(h) - span + 1) if len(keys) else 0
-            starts = np.flatnonzero((row[:n_starts] == row[span - 1 : span - 1 + n_starts]) & known[row[:n_starts] + a])
-            h1, h2 = _windows(h, starts, span)
-            hit = np.zeros(len(starts), bool)
-            ref, ref_at = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-            if len(starts):
-                at = np.searchsorted(keys, h1)
-                more = np.ones(len(h1), bool)
-                while more.any():  # one round, unless two windows share a first hash
-                    here = np.minimum(at, len(keys) - 1)
-                    more &= (at < len(keys)) & (keys[here] == h1)
-                    good = more & (check[here] == h2) & (owner[here] < doc[row[starts] + a])
-                    hit |= good
-                    ref[good], ref_at[good] = owner[here[good]], place[here[good]]
-                    more &= check[here] != h2
-                    at = at + 1
-            starts, ref, ref_at = starts[hit], ref[hit], ref_at[hit]
+        for (_, rows, text_bytes, off, s, e, row, h), hits in zip(ranges, found, strict=True):
             edge = np.zeros(len(h) + 1, np.int64)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + span, -1)
+            if hits:
+                np.add.at(edge, hits[0], 1)
+                np.add.at(edge, hits[0] + hits[1], -1)
             gone = np.cumsum(edge)[:-1] > 0
-            size, lost = np.bincount(row, minlength=rows), np.bincount(row[gone], minlength=rows)
-            # Factors: windows that follow each other here and in the same reference.
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (ref[1:] != ref[:-1]) | (np.diff(ref_at) != 1) | (row[starts[1:]] != row[starts[:-1]])])) if len(starts) else starts
-            length = np.diff(np.append(cut, len(starts))) + span - 1
-            begin = np.concatenate([[0], np.cumsum(size)])
-            factors: list[list[dict]] = [[] for _ in range(rows)]
-            for c, m in zip(cut.tolist(), length.tolist(), strict=True):
-                r = int(row[starts[c]])
-                factors[r].append({"start": int(starts[c] - begin[r]), "length": m, "ref_doc": int(ref[c]), "ref_start": int(ref_at[c])})
-            out["n_words"].append(size)
-            out["n_removed"].append(lost)
-            out["kept"].append(_joined(d, off, s, e, row, ~gone))
-            out["factors"] += factors
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())]))
+            out["n_words"].append(np.bincount(row, minlength=rows))
+            out["n_removed"].append(np.bincount(row[gone], minlength=rows))
+            out["kept"].append(_joined(text_bytes, off, s, e, row, ~gone))
+            if report:
+                lists: list[list[dict]] = [[] for _ in range(rows)]
+                if hits:
+                    start, m, ref, at, r = _joined_factors(*hits, row[hits[0]])
+                    begin_of = np.searchsorted(row, np.arange(rows))
+                    for x in zip(r.tolist(), (start - begin_of[r]).tolist(), m.tolist(), ref.tolist(), at.tolist(), strict=True):
+                        lists[x[0]].append(dict(zip(("start", "length", "ref_doc", "ref_start"), x[1:], strict=True)))
+                out["factors"] += [sorted(x, key=lambda f: f["start"]) for x in lists]
         numbers = {c: pa.array(np.concatenate(out[c]).astype(np.int64)) for c in ("n_words", "n_removed")}
-        result = pa.table({key: table.column(key), **numbers, "kept": pa.chunked_array(out["kept"]), "factors": pa.array(out["factors"], kind)})
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())]))
+        extra = {"factors": pa.array(out["factors"], kind)} if report else {}
+        result = pa.table({key: table.column(key), **numbers, "kept": pa.chunked_array(out["kept"]), **extra})
         yield from result.combine_chunks().to_batches()
 
-    back = {"keys": np.uint64}
     # Each round's replies are written, which frees the files of its exchanges.
-    anchors = materialize(replied(scattered(chunks, n, ANCHOR, send_anchors), ANCHOR, back, shared_anchors))
-    found = materialize(replied(rescattered(chunks, anchors, back, n, WINDOW, send_windows), WINDOW, FOUND, first_holders))
-    schema = f"`{key}` long, n_words long, n_removed long, kept string, factors array<struct<start:bigint,length:bigint,ref_doc:bigint,ref_start:bigint>>"
-    return resolved(chunks, found, FOUND, schema, finish)
+    anchors = materialize(replied(scattered(chunks, ANCHOR, send_anchors), ANCHOR, SHARED, shared_anchors))
+    factors = materialize(replied(rescattered(chunks, [(anchors, SHARED)], kinds, send_passages), kinds, FACTOR, lambda got: parsed(got, span)))
+    schema = f"`{key}` long, n_words long, n_removed long, kept string" + (", factors array<struct<start:bigint,length:bigint,ref_doc:bigint,ref_start:bigint>>" if report else "")
+    return resolved(chunks, [(anchors, SHARED), (factors, FACTOR)], schema, finish)
 
 
 def _joined(d: np.ndarray, off: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray, keep: np.ndarray) -> pa.Array:
@@ -242,7 +304,7 @@ def _joined(d: np.ndarray, off: np.ndarray, s: np.ndarray, e: np.ndarray, row: n
 
 
 def digest_query(docs: DataFrame) -> DataFrame:
-    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring_dedup(docs, report=False).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def oracle(span: int = SPAN) -> str:

@@ -22,16 +22,9 @@ NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, b in enumerate((BASE, INVERSE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+#: Bytes whose prefix sums are held at once, and the powers of the base and of its inverse for them.
+BLOCK = 1 << 16
+POWERS, INVERSES = (np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(BLOCK, b, np.uint64))]) for b in (BASE, INVERSE))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,14 +36,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _sum(data: np.ndarray, codes: np.ndarray) -> np.uint64:
+    """The polynomial of a span of any length, block by block."""
+    total, shift = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for i in range(0, len(data), BLOCK):
+        part = data[i : i + BLOCK]
+        total += (codes[part] * POWERS[: len(part)]).sum(dtype=np.uint64) * shift
+        shift *= POWERS[BLOCK : BLOCK + 1]
+    return total[0]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = CODES) -> np.ndarray:
-    """Hash of data[start:end] for each pair."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    power, inverse = _grown(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """Hash of data[start:end] for each pair, in rising order of starts and of ends; memory is bounded by a block."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(ends, a + BLOCK, "right"))
+        if j <= i:
+            out[i] = _sum(data[a : int(ends[i])], codes)
+            i += 1
+            continue
+        b = int(ends[j - 1])
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(codes[data[a:b]] * POWERS[: b - a], out=sums[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = (sums[e] - sums[s]) * INVERSES[s]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -451,7 +451,7 @@ def test_token_counts_without_a_vocabulary(docs, rows):
 
 
 def test_chunks_keep_all_rows(docs, rows):
-    chunks = chunked(docs.select("doc_id", "text"), target=5000)
+    chunks = chunked(docs.select("doc_id", "text"), target=5000).df
     assert chunks.count() > 3 and chunks.agg(F.sum("rows")).first()[0] == len(rows)
 
 
