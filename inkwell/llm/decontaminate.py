@@ -7,14 +7,15 @@ is extended to the windows of ``span`` words that chose it, and these are compar
 further 64-bit hashes. Items of fewer than ``span`` words are one window of all their words,
 for which every run of that length is a fingerprint.
 
-The test set is indexed in blocks of at most ``block_bytes`` of text; each block is broadcast
-alone and held one at a time while a batch of documents passes, so memory is bounded by a block
-and documents are read once and never shuffled. Words: ASCII letters lower-cased, runs of
-letters, digits and all that is not ASCII.
+A test set of at most ``index_bytes`` of text, which is counted first, is one index that is sent to all
+executors; documents are read once and never shuffled. A larger one is dealt to shards: its
+fingerprints and its windows are published as sorted arrays; chunks of documents join their distinct
+fingerprints to the first, and the windows that chose those found to the second, so neither side is
+held whole anywhere. Words: ASCII letters lower-cased, runs of letters, digits and all that is not ASCII.
 
 Null and empty texts have no words and no hits. Items without words or with null text match
 nothing; an item without an id marks hits but is not listed; repeated items count once. Each
-document row gives one row. With no items, nothing is contaminated.
+document row gives one row. With no items, nothing is contaminated; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import words as W
-from inkwell.llm.common import fresh, id_text, slices, utf8
+from inkwell.llm.common import fresh, id_text, materialize, slices, spent, utf8
+from inkwell.llm.exchange import chunked, probed, published, rescattered, resolved, scattered
 
 K = 5
 
@@ -122,84 +124,220 @@ class Index:
                 yield t, starts, window
 
 
-def blocks(items: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = 16 << 20):
-    """Indexes of consecutive items, at most ``block_bytes`` of text each (one item at least)."""
-    held, size = [], 0
-    for r in id_text(items, key, text).where(F.col(text).isNotNull()).toLocalIterator(prefetchPartitions=True):
-        if held and size + len(r[1]) > block_bytes:
-            yield Index(held)
-            held, size = [], 0
-        held.append((r[0], r[1]))
-        size += len(r[1])
-    if held:
-        yield Index(held)
+class _Hits:
+    """What is found in the texts of a range of rows."""
 
+    def __init__(self, row: np.ndarray, rows: int):
+        self.row, self.rows = row, rows
+        self.edge = np.zeros(len(row) + 1, np.int64)
+        self.ids: list[set] = [set() for _ in range(rows)]
 
-def scan_texts(column: pa.Array, indexes) -> tuple[list[int], list[list[tuple[int, int]]], list[set]]:
-    """Of each text: words, hit spans in words (joined, end exclusive), ids of items found."""
+    def add(self, starts: np.ndarray, length: int) -> None:
+        np.add.at(self.edge, starts, 1)
+        np.add.at(self.edge, starts + length, -1)
+
+    def result(self) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+        """Of each text: words, hit spans in words (joined, end exclusive), ids of items found as text, sorted."""
+        row, hit = self.row, np.cumsum(self.edge)[:-1] > 0
+        size = np.bincount(row, minlength=self.rows)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        same = row[1:] == row[:-1]
+        starts = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & same])) if len(hit) else np.empty(0, np.int64)
+        stops = np.flatnonzero(hit & ~np.concatenate([hit[1:] & same, [False]])) + 1 if len(hit) else starts
+        own: list[list[dict]] = [[] for _ in range(self.rows)]
+        for x, y in zip(starts, stops, strict=True):
+            r = row[x]
+            own[r].append({"start": int(x - begin[r]), "end": int(y - begin[r])})
+        return size.tolist(), own, [sorted(str(i) for i in x if i is not None) for x in self.ids]
+
+
+def _words(column):
+    """For ranges of rows: (first row, rows, row of each word, word hashes)."""
     offsets, data = utf8(column)
-    n_words, spans, found = [], [], []
     for a, b in slices(offsets):
         off, d = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
         s, e, row = W.word_spans(d, off, W.ALNUM)
-        h = W.span_hashes(d, s, e, W.LOWER_CODES)
-        size = np.bincount(row, minlength=b - a)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        edge = np.zeros(len(h) + 1, np.int64)
-        ids: list[set] = [set() for _ in range(b - a)]
-        for index in indexes():
-            for t, starts, window in index.scan(h, row):
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + t.length, -1)
-                for r, w in np.unique(np.stack([row[starts], window], 1), axis=0):
-                    ids[r].update(index.ids[i] for i in t.items[t.first[w] : t.first[w + 1]])
-        hit = np.cumsum(edge)[:-1] > 0
-        starts = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (row[1:] == row[:-1])])) if len(hit) else np.empty(0, np.int64)
-        stops = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (row[1:] == row[:-1]), [False]])) + 1 if len(hit) else starts
-        own: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
-        for x, y in zip(starts, stops, strict=True):
-            r = row[x]
-            own[r].append((int(x - begin[r]), int(y - begin[r])))
-        n_words += size.tolist()
-        spans += own
-        found += [{i for i in x if i is not None} for x in ids]
-    return n_words, spans, found
+        yield a, b - a, row, W.span_hashes(d, s, e, W.LOWER_CODES)
+
+
+def scan_texts(column: pa.Array, index: Index) -> list[tuple]:
+    """Results of ranges of rows, given the whole index."""
+    out = []
+    for _, rows, row, h in _words(column):
+        hits = _Hits(row, rows)
+        for t, starts, window in index.scan(h, row):
+            hits.add(starts, t.length)
+            for r, w in np.unique(np.stack([row[starts], window], 1), axis=0):
+                hits.ids[r].update(index.ids[i] for i in t.items[t.first[w] : t.first[w + 1]])
+        out.append(hits.result())
+    return out
+
+
+# A test set in shards
+
+PRINTS = {"keys": np.uint64}
+WINDOW = {"check": np.uint64}
+ITEM = {"check": np.uint64, "item": np.int64, "known": np.uint8}
+FOUND = {"keys": np.uint64, **ITEM}
+LISTS = {"keys": np.uint64, **ITEM}
+
+
+def _tagged(keys: np.ndarray, m: int) -> np.ndarray:
+    return W.mix(keys + np.uint64(m))
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block_bytes: int = 16 << 20) -> DataFrame:
+def _windows(h: np.ndarray, starts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    return _tagged(_at(h, starts, m, 1), m), _at(h, starts, m, 2)
+
+
+def _inside(row: np.ndarray, m: int) -> np.ndarray:
+    n = max(0, len(row) - m + 1)
+    return row[:n] == row[m - 1 : m - 1 + n]
+
+
+def _each_item(table: pa.Table, span: int):
+    """(id or None, its words' hashes, window length) of every item with words."""
+    ids = table.column("item").to_pylist()
+    for a, rows, row, h in _words(table.column("text")):
+        begin = np.searchsorted(row, np.arange(rows + 1))
+        for i in range(rows):
+            x = h[begin[i] : begin[i + 1]]
+            if len(x):
+                yield ids[a + i], x, min(len(x), span)
+
+
+def _none() -> tuple[np.ndarray, dict]:
+    return np.empty(0, np.uint64), {}
+
+
+def _sharded(src: DataFrame, whole: str, items: DataFrame, span: int, schema: str, finish) -> DataFrame:
+    """Documents against a test set that is dealt to shards."""
+    tests, chunks = chunked(items), chunked(src, whole)
+    n = max(tests.shards, chunks.shards)
+    tests, chunks = type(tests)(tests.df, tests.tasks, n), type(chunks)(chunks.df, chunks.tasks, n)
+
+    def lengths(batches):
+        for b in batches:
+            found = {m for blob in b.column("blob") for _, _, m in _each_item(pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks(), span)}
+            yield pa.RecordBatch.from_pydict({"m": sorted(found)}, pa.schema([("m", pa.int32())]))
+
+    sizes = sorted(r.m for r in tests.df.select("blob").mapInArrow(lengths, "m int").distinct().collect())  # ``span`` at most
+
+    def item_prints(chunk, table):
+        keys = [_tagged(g[chosen], m) for _, x, m in _each_item(table, span) for chosen, g in [_chosen(x, m)]]
+        return (np.unique(np.concatenate(keys)), {}) if keys else _none()
+
+    def item_windows(chunk, table):
+        keys, check, item, known = [], [], [], []
+        for i, x, m in _each_item(table, span):
+            k, c = _windows(x, np.arange(len(x) - m + 1), m)
+            keys.append(k)
+            check.append(c)
+            item.append(np.full(len(k), i if i is not None else 0))
+            known.append(np.full(len(k), i is not None, np.uint8))
+        return (np.concatenate(keys), {"check": np.concatenate(check), "item": np.concatenate(item), "known": np.concatenate(known)}) if keys else _none()
+
+    def doc_prints(chunk, table):
+        keys = []
+        for _, _, row, h in _words(table.column(whole)):
+            for m in sizes:
+                chosen, g = _chosen(h, m) if len(h) >= m else (np.empty(0, np.int64), np.empty(0, np.uint64))
+                keys.append(_tagged(g[np.unique(chosen[_inside(row, m)])], m))
+        return (np.unique(np.concatenate(keys)), {}) if keys else _none()
+
+    def likely(table, prints):
+        """(range, window length, starts) of the windows whose fingerprint the test set has."""
+        known = np.sort(prints)
+        for part in _words(table.column(whole)):
+            row, h = part[2], part[3]
+            for m in sizes if len(known) else ():
+                if len(h) < m:
+                    continue
+                chosen, g = _chosen(h, m)
+                key = _tagged(g, m)
+                on = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+                yield part, m, np.flatnonzero(on[chosen] & _inside(row, m))
+
+    def doc_windows(chunk, table, prints):
+        parts = [_windows(part[3], starts, m) for part, m, starts in likely(table, prints["keys"])]
+        if not parts:
+            return _none()
+        keys, check = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((check, keys))
+        keys, check = keys[order], check[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])]) if len(keys) else np.empty(0, bool)
+        return keys[new], {"check": check[new]}
+
+    def lists(got):
+        """Windows in order, each once for each of its items."""
+        rows = np.unique(np.rec.fromarrays([got["keys"], got["check"], got["known"], got["item"]], names="keys,check,known,item"))
+        return {c: np.ascontiguousarray(rows[c]) for c in LISTS}
+
+    def seen(index, probes):
+        at = np.minimum(np.searchsorted(index["keys"], probes["keys"]), len(index["keys"]) - 1)
+        on = index["keys"][at] == probes["keys"]
+        return {"chunk": probes["chunk"][on], "keys": probes["keys"][on]}
+
+    def listed(index, probes):
+        x, y = np.searchsorted(index["keys"], probes["keys"], "left"), np.searchsorted(index["keys"], probes["keys"], "right")
+        rep = np.repeat(np.arange(len(x)), y - x)
+        at = np.repeat(x - (np.cumsum(y - x) - (y - x)), y - x) + np.arange(len(rep))
+        same = index["check"][at] == probes["check"][rep]
+        rep, at = rep[same], at[same]
+        return {"chunk": probes["chunk"][rep], **{c: index[c][at] for c in LISTS}}
+
+    distinct = lambda keys, columns: (np.unique(keys), columns)
+    prints = published(scattered(tests, {}, item_prints, distinct), {}, PRINTS, lambda got: {"keys": np.unique(got["keys"])})
+    met = materialize(probed(chunks, prints, PRINTS, scattered(chunks, {}, doc_prints), {}, PRINTS, seen))
+    spent(prints)
+    index = published(scattered(tests, ITEM, item_windows), ITEM, LISTS, lists)
+    found = materialize(probed(chunks, index, LISTS, rescattered(chunks, [(met, PRINTS)], WINDOW, doc_windows), WINDOW, FOUND, listed))
+    spent(index, tests.df)
+
+    def done(chunk, table, prints, got):
+        order = np.lexsort((got["check"], got["keys"]))
+        keys, check, item, known = (got[c][order] for c in FOUND)
+        hits = {part[0]: _Hits(part[2], part[1]) for part in _words(table.column(whole))}
+        for part, m, starts in likely(table, prints["keys"]):
+            k, c = _windows(part[3], starts, m)
+            x, y = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+            for s, t, i, j in zip(starts.tolist(), c.tolist(), x.tolist(), y.tolist(), strict=True):
+                on = [q for q in range(i, j) if check[q] == t]
+                if on:
+                    hits[part[0]].add(np.array([s]), m)
+                    hits[part[0]].ids[part[2][s]].update(int(item[q]) for q in on if known[q])
+        yield from finish(table, [h.result() for h in hits.values()])
+
+    return resolved(chunks, [(met, PRINTS), (found, FOUND)], schema, done)
+
+
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), span: int = 10, index_bytes: int = 32 << 20) -> DataFrame:
     """key, carried columns, n_words, spans (array of start and end words), items (array of ids as text, sorted).
 
     The last three get underscores where carried columns have their names.
     """
-    context = docs.sparkSession.sparkContext
-    held = [context.broadcast(i) for i in blocks(items, block_bytes=block_bytes)]
-
-    def indexes():
-        for b in held:
-            yield b.value
-            if len(held) > 1:
-                b.__dict__.pop("_value", None)  # only one block stays in memory
-
     names = [key, *carry]
     whole, *made = (fresh(c, names) for c in ("text", "n_words", "spans", "items"))
     src = docs.select(*names, F.col(text).cast("string").alias(whole))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema)
+    schema = f"{fields}, `{made[0]}` long, `{made[1]}` array<struct<start:bigint,end:bigint>>, `{made[2]}` array<string>"
+
+    def finish(table, results):
+        n, spans, found = ([x for r in results for x in r[i]] for i in range(3))
+        arrays = [*(table.column(c) for c in names), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))]
+        yield from pa.Table.from_arrays(arrays, [*names, *made]).combine_chunks().to_batches()
+
+    tests = id_text(items, "item_id", "text").where(F.col("text").isNotNull()).withColumnRenamed("item_id", "item")
+    if (tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > index_bytes:
+        return _sharded(src, whole, tests, span, schema, finish)
+    held = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in tests.collect()], span))
 
     def run(batches):
         for b in batches:
-            n, spans, found = scan_texts(b.column(whole), indexes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(c) for c in names),
-                    pa.array(n, pa.int64()),
-                    pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], kind),
-                    pa.array([sorted(map(str, f)) for f in found], pa.list_(pa.string())),
-                ],
-                [*names, *made],
-            )
+            yield from finish(b, scan_texts(b.column(whole), held.value))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema)
-    return src.mapInArrow(run, f"{fields}, `{made[0]}` long, `{made[1]}` array<struct<start:bigint,end:bigint>>, `{made[2]}` array<string>")
+    return src.mapInArrow(run, schema)
 
 
 def digest_query(docs: DataFrame, items: DataFrame) -> DataFrame:

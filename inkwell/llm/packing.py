@@ -16,7 +16,8 @@ broadcast.
 
 Documents longer than the largest length are cut; ``eos`` tokens follow each document. Null and
 empty texts have no tokens: one row, length 0, no bin. Repeated rows are packed as often as they
-occur. An empty table gives an empty result.
+occur. Rows without an id are packed like others. An empty table gives an empty result; only the id
+and the text are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -150,9 +151,10 @@ def pack(counts: DataFrame, key: str = "doc_id", capacities: tuple[int, ...] = C
         counts.select(F.col(key).alias("k"), total.alias("t"))
         .select("k", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("t") / top) - 1, F.lit(0)).cast("long"))).alias("piece"))
         .select("k", "piece", (F.col("piece") * top).alias("start"), F.least(F.col("t") - F.col("piece") * top, F.lit(top)).cast("long").alias("length"))
-        .withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(salts)).cast("int"))
+        # Salts go by row, not by id: rows without an id, or of one repeated id, are spread as well.
+        .withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     )
-    pieces = materialize(pieces)  # counted and ranked from the same rows
+    pieces = materialize(pieces)  # counted and ranked from the same rows, salts fixed
     by_salt = pieces.where("length > 0").groupBy("length", "salt").count()
     # At most (largest length) x salts rows, whatever the input.
     by_salt = by_salt.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))

@@ -126,16 +126,21 @@ def test_perfect_hash():
     assert lines.PerfectHash(keys[:0]).slot(keys[:3]).tolist() == [-1, -1, -1]
 
 
-@pytest.mark.parametrize("block", [16 << 20, 40])
-def test_decontamination(spark, docs, rows, block):
+@pytest.mark.parametrize("size", [32 << 20, 40])
+def test_decontamination(spark, docs, rows, size):
+    """The test set as one index, and dealt to shards."""
     texts = [r[1] for r in rows if r[1] and len(words(r[1])) > 30]
     items = [(1, " ".join(words(texts[0])[3:20])), (2, "w1 W2"), (2, "w1 W2"), (3, None), (4, ""), (5, "zzz"), (None, " ".join(words(texts[1])[:12])), (10, "É"), (11, " ".join(words(texts[0])[3:20]))]
     df = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.contamination(docs.select("doc_id", "text"), df, block_bytes=block)
+    out = decontaminate.contamination(docs.select("doc_id", "text"), df, index_bytes=size)
     got = [(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) for r in out.collect()]
     same_rows(got, [(r[0], *decontaminate.brute_force(r[1], items)[:3]) for r in rows])
     none = decontaminate.digest_query(docs.select("doc_id", "text"), df.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
+    assert decontaminate.contamination(docs.limit(0), df, index_bytes=size).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(1).alias("spans"), F.lit("x").alias("n_words"))
+    named = decontaminate.contamination(clash, df, carry=("spans", "n_words"), index_bytes=size)
+    assert named.columns == ["doc_id", "spans", "n_words", "n_words_", "spans_", "items"] and named.where("spans = 1 and n_words = 'x'").count() == len(rows)
 
 
 def test_substring_dedup(docs, rows):
@@ -445,6 +450,44 @@ def test_packing_matches_item_by_item_best_fit():
     assert int(plan.bins[:, 1].sum()) == len(spaces)
 
 
+def best_cost(pieces: list[int], caps: tuple[int, ...], cost) -> float:
+    """Least cost of any split of the pieces into bins, each as small as its contents allow."""
+    if not pieces:
+        return 0.0
+    first, rest = pieces[0], pieces[1:]
+    found = []
+    for mask in range(1 << len(rest)):
+        mine = first + sum(x for i, x in enumerate(rest) if mask >> i & 1)
+        if mine <= caps[-1]:
+            found.append(cost(next(c for c in caps if c >= mine)) + best_cost([x for i, x in enumerate(rest) if not mask >> i & 1], caps, cost))
+    return min(found)
+
+
+def test_packing_over_several_sizes_against_brute_force():
+    rng, caps, total, least = np.random.default_rng(6), (8, 16, 32), 0.0, 0.0
+    cost = lambda c: c + 3 + c * c / 64
+    for _ in range(60):
+        pieces = rng.integers(1, 33, int(rng.integers(1, 8))).tolist()
+        plan = packing.make_plan({n: pieces.count(n) for n in set(pieces)}, caps, 3, 64)
+        used = float(sum(n * cost(c) for _, n, c, _ in plan.bins))
+        assert int((plan.bins[:, 1] * plan.bins[:, 3]).sum()) == sum(pieces)
+        best = best_cost(pieces, caps, cost)
+        assert best - 1e-9 <= used <= 1.35 * best
+        # Never worse than the best single size, filled best-fit decreasing.
+        total, least = total + used, least + best
+    assert total <= 1.05 * least
+
+
+def test_packing_without_ids_or_with_one(spark):
+    """Salts go by row, so equal ids spread; all rows are placed."""
+    rows = [(None, 5, 1)] * 400 + [(7, 5, 1)] * 400 + [(None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, capacity int").repartition(2)
+    got = packing.pack(df, capacities=(16, 32)).collect()
+    assert len(got) == 801 and sum(r.length for r in got) == 800 * 6
+    places = [(r.bin_id, r.bin_offset) for r in got if r.length]
+    assert len(set(places)) == 800
+
+
 def test_token_counts_without_a_vocabulary(docs, rows):
     got = [tuple(r) for r in packing.token_counts(docs, None).collect()]
     same_rows(got, [(r[0], len((r[1] or "").encode())) for r in rows])
