@@ -1,25 +1,30 @@
 """HTML main-text extraction by tag-path ratios.
 
-A page is cut into text nodes, each with its root-to-leaf tag path. Over each path the text
-length and the punctuation are summed and divided by the path's nodes; both ratios are smoothed
-along the page, fused by their product, and paths above a threshold (a share of the fused
-ratio's standard deviation) hold content. The main element is the lowest common ancestor of all
-content nodes, or the article around it; its blocks, in page order, are the text, after the
-headings of the elements around it. So every content node is kept, with the headings and short
-blocks between: the ratios find the element, and remove nothing inside it. Elements that are
-never part of an article, by tag or by the words of class, id and role, are left out before.
-
-Null or empty html, and pages without content nodes, give the empty text. Broken markup is
-read leniently: implied end tags, unclosed inline tags, stray end tags. Each row gives one row.
+A page is cut into blocks of text, each with its root-to-leaf tag path. Over each path text length
+and punctuation are summed (text in links counts a tenth, its punctuation nothing) and divided by
+the path's blocks; the fused ratio grows with both. Ratios are smoothed along the path: a path takes
+most of its score from the path of the element that holds it and from that very element, or from
+the article around if that has more, so that headings, captions and list items go with the text
+around them. Blocks are content where the path's score reaches a threshold, a share of the page's
+largest score; a heading also goes with content that follows it. All content blocks are the text, in page order.
+
+What elements are called is a weak prior on the score of their paths: a class, id or role that is
+made of the words of ``MARKS`` alone (and of ``NEUTRAL`` ones), and paths whose text is mostly
+links. Elements that by their tag are never part of an article, such as nav, aside or form, are
+left out before; a header is, outside of an article.
+
+Null or empty html, and pages without content, give the empty text. Broken markup is read
+leniently: implied end tags, unclosed inline tags, stray end tags. Each row gives one row, repeated
+ones too; an empty table gives an empty result; other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -38,7 +43,13 @@ MARKS = set(
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations pagination pager toolbar skip contentinfo complementary search".split()
 )
+NEUTRAL = set(
+    "site page main top bottom left right user reader visitor global primary secondary box list item items block wrap wrapper container content inner outer "
+    "section area panel bar post posts article articles news form text message links link button buttons icons media header unit slot module region".split()
+)
 KEEP = {"html", "body", "main", "article"}
+#: Elements whose blocks count as text of what is around them.
+WITHIN = set("ul ol li dl dt dd menu table thead tbody tfoot tr td th caption blockquote figure figcaption pre hgroup header details summary center address p h1 h2 h3 h4 h5 h6".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -57,31 +68,76 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，¿¡]")
 
 
 class _Element:
-    __slots__ = ("dead", "depth", "end", "number", "parent", "path", "tag")
+    __slots__ = ("dead", "link", "parent", "path", "tag")
 
-    def __init__(self, tag, parent, number, dead, path):
-        self.tag, self.parent, self.number, self.dead, self.end, self.path = tag, parent, number, dead, number, path
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag, parent, dead, link, path):
+        self.tag, self.parent, self.dead, self.link, self.path = tag, parent, dead, link, path
 
 
 def _marked(attrs: str) -> bool:
-    return bool(attrs) and any(w in MARKS for _, v in ATTRS.findall(attrs) for w in SPLIT.split(v.lower()))
+    """Whether a class, id or role says by all of its words that this is not the article."""
+    for _, value in ATTRS.findall(attrs) if attrs else ():
+        for name in value.lower().strip("\"'").split():
+            words = [w for w in SPLIT.split(name) if w]
+            if any(w in MARKS for w in words) and all(w in MARKS or w in NEUTRAL for w in words):
+                return True
+    return False
+
+
+@dataclass
+class _Path:
+    """A root-to-leaf tag path, numbered in order; ``marked`` elements have paths of their own."""
 
+    tag: str
+    parent: int
+    marked: bool  # this element or one around it
+    block: bool
+    text: float = 0.0
+    dots: float = 0.0
+    links: float = 0.0
+    blocks: int = 0
+    sums: list = field(default_factory=lambda: [0.0, 0.0, 0])  # of all paths below, but marked ones
 
-def nodes(page: str) -> tuple[list[tuple[str, _Element, int]], list[_Element]]:
-    """Text nodes (text, element, block number) outside of dead elements, and all elements."""
-    top = _Element("", None, 0, False, 0)
-    elements, here, out = [top], top, []
-    paths: dict[tuple[int, str], int] = {}  # a path is numbered by its parent's and its last tag
+
+@dataclass
+class _Block:
+    path: int
+    holder: _Element  # the nearest element around that is more than a list, table, heading or paragraph
+    pieces: list = field(default_factory=list)
+    text: float = 0.0
+    dots: float = 0.0
+
+
+def blocks(page: str) -> tuple[list[_Block], list[_Path]]:
+    """Blocks of text outside of dead elements, in page order, and all paths."""
+    paths = [_Path("", -1, False, True)]
+    numbers: dict[tuple[int, str, bool], int] = {}
+    top = _Element("", None, False, False, 0)
+    here, out = top, []
     opened: Counter[str] = Counter()
-    block, at, n = 0, 0, len(page)
+    block, at, n, last = 0, 0, len(page), -1
 
     def text(piece: str) -> None:
-        if piece and not here.dead:
-            out.append((_html.unescape(piece), here, block))
+        nonlocal last
+        if not piece or here.dead:
+            return
+        if block != last or not out:
+            e = here
+            while not paths[e.path].block:
+                e = e.parent
+            path = e.path
+            while e.parent and e.tag in WITHIN:
+                e = e.parent
+            out.append(_Block(path, e))
+            last = block
+        piece = _html.unescape(piece)
+        out[-1].pieces.append(piece)
+        b, size = out[-1], len(piece.strip())
+        b.text += size * (0.1 if here.link else 1)
+        b.dots += 0 if here.link else len(PUNCTUATION.findall(piece))
+        paths[b.path].links += size if here.link else 0
 
     def leave(e: _Element) -> _Element:
-        e.end = len(elements)
         opened[e.tag] -= 1
         return e.parent
 
@@ -130,78 +186,70 @@ def nodes(page: str) -> tuple[list[tuple[str, _Element, int]], list[_Element]]:
                 while here is not last:
                     here = leave(here)
                 here = leave(last)
-        dead = here.dead or name in NEVER or name not in KEEP and _marked(attrs)
-        here = _Element(name, here, len(elements), dead, paths.setdefault((here.path, name), len(paths) + 1))
-        elements.append(here)
+        dead = here.dead or name in NEVER and not (name == "header" and opened["article"] > 0)
+        marked = name not in KEEP and _marked(attrs)
+        key = (here.path, name, marked)
+        if key not in numbers:
+            numbers[key] = len(paths)
+            paths.append(_Path(name, here.path, marked or paths[here.path].marked, name in BLOCKS))
+        here = _Element(name, here, dead, here.link or name == "a", numbers[key])
         opened[name] += 1
     text(page[at:])
-    while here:
-        here = leave(here)
-    return out, elements
-
-
-def _smooth(x: np.ndarray) -> np.ndarray:
-    """Gaussian over neighbours, one to either side."""
-    k = np.exp(-np.array([-1.0, 0.0, 1.0]) ** 2 / 0.5)
-    padded = np.pad(x, 1, mode="edge")
-    return (k[0] * padded[:-2] + k[1] * padded[1:-1] + k[2] * padded[2:]) / k.sum()
-
-
-def content(found: list[tuple[str, _Element, int]], strictness: float = 0.2) -> set[int]:
-    """Paths whose fused ratio is above the threshold."""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for t, e, _ in found:
-        bare = t.strip()
-        if bare:
-            length[e.path] += len(bare)
-            marks[e.path] += len(PUNCTUATION.findall(bare))
-            count[e.path] += 1
-    if not count:
-        return set()
-    paths = list(count)
-    per = np.array([count[p] for p in paths], float)
-    text = np.array([length[p] for p in paths]) / per
-    dots = np.array([marks[p] for p in paths]) / per
-    # A path's own ratios count as much as its surroundings', so that menus beside an article stay low.
-    fused = np.sqrt(text * _smooth(text)) * np.sqrt((dots + 0.1) * (_smooth(dots) + 0.1))
-    limit = strictness * fused.std() if len(paths) > 1 else 0.0
-    return {p for p, f in zip(paths, fused, strict=True) if f >= limit}
-
-
-def extract(page: str | None) -> str:
-    """Main text of a page: blocks joined by line ends."""
+    return out, paths
+
+
+def _ratio(text: float, dots: float, count: int) -> float:
+    """Text and punctuation of each block, fused; text without any keeps a third."""
+    return text / count * (dots + count / 3) / (dots + count) if count else 0.0
+
+
+def scores(found: list[_Block], paths: list[_Path], prior: float = 0.02, linked: float = 0.3, own: float = 0.15) -> list[float]:
+    """Smoothed score of every block: of its path, and of its path's and its own surroundings."""
+    held: dict[_Element, list] = {}
+    for b in found:
+        p, q = paths[b.path], b.path
+        p.text, p.dots, p.blocks = p.text + b.text, p.dots + b.dots, p.blocks + 1
+        near = held.setdefault(b.holder, [0.0, 0.0, 0])
+        near[:] = near[0] + b.text, near[1] + b.dots, near[2] + 1
+        while q >= 0:
+            if not p.marked or paths[q].marked:
+                sums = paths[q].sums
+                sums[:] = sums[0] + b.text, sums[1] + b.dots, sums[2] + 1
+            q = paths[q].parent
+    out, known = [], {}
+    for b in found:
+        p = paths[b.path]
+        if (b.path, b.holder) not in known:
+            around = _ratio(*paths[b.holder.path].sums) ** (2 / 3) * _ratio(*held[b.holder]) ** (1 / 3)
+            q = b.holder.path
+            while q >= 0 and not p.marked:  # all that is in an article goes with it
+                if paths[q].tag in ("article", "main"):
+                    around = max(around, _ratio(*paths[q].sums))
+                q = paths[q].parent
+            score = _ratio(p.text, p.dots, p.blocks) ** own * around ** (1 - own)
+            if p.links > 1.5 * (p.text - p.links * 0.1) and p.tag not in HEADINGS:
+                score *= linked
+            known[b.path, b.holder] = score * prior if p.marked else score
+        out.append(known[b.path, b.holder])
+    return out
+
+
+def extract(page: str | None, strictness: float = 0.25) -> str:
+    """Main text of a page: content blocks joined by line ends."""
     if not page:
         return ""
-    found, elements = nodes(page)
-    paths = content(found)
-    size = [0] * (len(elements) + 1)
-    for t, e, _ in found:
-        if e.path in paths:
-            size[e.number] += len(t.strip())
-    total = sum(size)
-    if not total:
-        return ""
-    sums = np.concatenate([[0], np.cumsum(size)])
-    main = max((e for e in elements if sums[e.end] - sums[e.number] == total), key=lambda e: e.depth)
-    while main.parent and main.tag not in BLOCKS:
-        main = main.parent
-    if main.tag not in ("article", "main", "section", "div", "body", "td") and main.parent:
-        main = main.parent  # a lone paragraph or heading stands for what is around it
-    around, e = set(), main
-    while e:
-        around.add(e.number)
-        e = e.parent
-    main = max((elements[i] for i in around if elements[i].tag == "article"), key=lambda e: e.depth, default=main)
-    titles = [False] * len(elements)  # within headings of the elements around
-    for e in elements[1 : main.number]:
-        outer = e.parent.parent if e.parent.tag == "hgroup" else e.parent
-        titles[e.number] = titles[e.parent.number] or e.tag in HEADINGS and outer.number in around
-    blocks: dict[int, list[str]] = {}
-    for t, e, b in found:
-        if main.number <= e.number < main.end or titles[e.number]:
-            blocks.setdefault(b, []).append(t)
-    lines = (SPACE.sub(" ", "".join(x)).strip() for x in blocks.values())
-    return "\n".join(x for x in lines if x)
+    found, paths = blocks(page)
+    lines = [SPACE.sub(" ", "".join(b.pieces)).strip() for b in found]
+    found, lines = [b for b, x in zip(found, lines, strict=True) if x], [x for x in lines if x]
+    score = scores(found, paths)
+    limit = strictness * max(score, default=0.0)
+    keep, after = [], False
+    for b, x, s in zip(reversed(found), reversed(lines), reversed(score), strict=True):
+        p = paths[b.path]
+        after = s >= limit or after and p.tag in HEADINGS and not p.marked
+        if after:
+            keep.append(x)
+    return "\n".join(reversed(keep))
 
 
 def extraction(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

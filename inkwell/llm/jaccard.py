@@ -47,7 +47,8 @@ from inkwell.llm.components import components
 from inkwell.llm.exchange import Chunks, chunked, gathered, packed_rows, replied, rescattered, resolved, scattered
 
 WIDTH, PERCENT = 3, 90
-BLOCK_TOKENS = 100_000
+#: Tokens of a block at most, whatever its sets; and what a block of a family of smaller sets is cut to.
+BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 64
 
 
 def shingle_sets(column: pa.ChunkedArray, width: int = WIDTH):
@@ -432,8 +433,11 @@ def _picked(table: pa.Table, rows: dict[str, np.ndarray], text: str, width: int)
 
 
 def _blocks(clustered: DataFrame, block_tokens: int) -> DataFrame:
-    """Clusters of more than ``block_tokens`` tokens are cut by a hash into blocks of about that many."""
-    total = clustered.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("int").alias("parts"))
+    """Clusters are cut by a hash into blocks of about ``block_tokens / BLOCK_SETS`` tokens and ``BLOCK_SETS``
+    sets or more, so that a centre is chosen among some; and of ``block_tokens`` tokens in any case."""
+    cut = lambda most, of: F.ceil(of / F.lit(most))
+    fine = F.least(cut(max(1, block_tokens // BLOCK_SETS), F.sum("n")), cut(BLOCK_SETS, F.count("*")))
+    total = clustered.groupBy("component").agg(F.greatest(cut(block_tokens, F.sum("n")), fine).cast("int").alias("parts"))
     both = clustered.join(total, "component")
     return both.select("chunk", "row", "node", "component", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
 
