@@ -328,6 +328,44 @@ def test_toxicity(spark):
     assert out[900].predicted == out[901].predicted == 0 and out[902].predicted == 1 and out[None].held_out is False
     bare = toxicity.evaluate_query(docs, labs.limit(0))
     assert bare.count() == len(rows)
+    clash = docs.withColumn("toxic", F.lit(9)).withColumn("score", F.lit("x")).withColumn("k", F.lit(1))
+    assert toxicity.evaluate_query(clash.limit(0), labs).count() == 0
+    again = {r.doc_id: r.score for r in toxicity.evaluate_query(clash.union(clash), labs.withColumn("t", F.lit(1))).collect()}
+    assert again.keys() == out.keys() and all(0 <= s <= 1 for s in again.values())
+
+
+def made_votes(n: int = 6000, seed: int = 3):
+    """Votes of a hidden class: independent voters, one repeated five times, two that shut each other out; noisy labels."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < 0.3).astype(int)
+    vote = lambda hit, false: rng.random(n) < np.where(y, hit, false)
+    plain = [vote(0.6, 0.03) for _ in range(4)]
+    poor = vote(0.5, 0.3)
+    copies = [poor ^ (rng.random(n) < 0.01) for _ in range(5)]
+    either = vote(0.7, 0.05)
+    coin = rng.random(n) < 0.5
+    labels = np.where(rng.random(n) < 0.1, 1 - y, y)
+    return y, np.stack([*plain, *copies, either & coin, either & ~coin], 1), labels
+
+
+def test_label_model_estimates_accuracies_and_correlations():
+    y, votes, labels = made_votes()
+    q, right = toxicity.label_model(votes, np.ones(votes.shape[1], bool), labels)
+    assert ((q > 0.5) == y).mean() > 0.95 > (labels == y).mean()  # better than the labels it was given
+    true = np.array([y[v].mean() for v in votes.T])
+    assert np.abs(right[:-1] - true).max() < 0.06
+    parent = toxicity.dependencies(votes.astype(float), q)
+    edges = {tuple(sorted((j, int(p)))) for j, p in enumerate(parent) if p >= 0}
+    inside = {e for e in edges if 4 <= e[0] and e[1] <= 8}
+    assert len(inside) == 4 and (9, 10) in edges and len(edges) <= 7
+    # Counted as independent, the copies would outvote the rest.
+    alone, plain = toxicity.dependencies, lambda v, q: np.full(v.shape[1], -1)
+    try:
+        toxicity.dependencies = plain
+        naive, _ = toxicity.label_model(votes, np.ones(votes.shape[1], bool), labels)
+    finally:
+        toxicity.dependencies = alone
+    assert ((naive > 0.5) == y).mean() < ((q > 0.5) == y).mean()
 
 
 def test_secrets(spark, rows):
