@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import materialize, utf8
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Chunks of a task; with these and 20 bits for rows, 27 bits are left for tasks.
 CHUNK_BITS = 16
 SHARD_BYTES = 128 << 20

@@ -16,7 +16,9 @@ the next passage are joined into one.
 A first exchange finds the anchors that two documents share; passages under others meet nothing.
 Each chunk of documents sends a passage once, for the smallest document that holds it: for its
 other documents that one is the reference. A passage that a third of all documents hold thus weighs
-no more than the number of chunks.
+no more than the number of chunks. At its ends each document goes on in its own words, though, so
+the anchors there have many different passages: those of anchors with more than ``HOT`` are cut into
+their single windows, which are dealt to blocks each by its own words.
 
 Words are runs of what is not white space, unchanged, compared by 32-bit hashes, window by window,
 under an equal 64-bit anchor. Null texts have no words; texts of fewer than ``span`` words lose
@@ -36,6 +38,7 @@ from inkwell.llm.common import id_text, materialize, slices, utf8
 from inkwell.llm.exchange import chunked, replied, rescattered, resolved, scattered
 
 SPAN, K = 13, 6
+HOT = 32
 MULTIPLIERS = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -91,6 +94,17 @@ def passages(h: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndar
     return g[at[first]], begin, starts[last[: len(first)]] + span - begin
 
 
+def _cut_hot(h: np.ndarray, anchor: np.ndarray, begin: np.ndarray, size: np.ndarray, hot: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages with those under hot anchors as their single windows, each keyed by its words."""
+    on = _in(anchor, hot)
+    many = size[on] - span + 1
+    at = np.repeat(begin[on], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    key = np.repeat(anchor[on], many)
+    for j in range(span):
+        key = key * MULTIPLIERS[200] + h[at + j]
+    return np.concatenate([anchor[~on], W.mix(key)]), np.concatenate([begin[~on], at]), np.concatenate([size[~on], np.full(len(at), span)])
+
+
 def _words_of(h: np.ndarray, begin: np.ndarray, size: np.ndarray, wide: int) -> np.ndarray:
     """Hashes of each passage's words, zeros beyond its end."""
     place = np.minimum(begin[:, None] + np.arange(wide), max(len(h) - 1, 0))
@@ -107,8 +121,8 @@ def _same(words: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple[np.n
     return W.mix(one), W.mix(two + size.astype(np.uint64))
 
 
-ANCHOR = {"low": np.int64, "high": np.int64}
-SHARED = {"keys": np.uint64}
+ANCHOR = {"low": np.int64, "high": np.int64, "times": np.int32}
+SHARED = {"keys": np.uint64, "hot": np.uint8}
 FACTOR = {"doc": np.int64, "place": np.int32, "offset": np.uint8, "length": np.uint8, "ref": np.int64, "ref_at": np.int32}
 
 
@@ -117,13 +131,15 @@ def _passage_kinds(wide: int) -> dict:
 
 
 def shared_anchors(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Anchors that two documents hold, back to every chunk that holds them."""
+    """Anchors that two documents hold, back to every chunk that holds them, and whether they have many passages."""
     order = np.argsort(got["keys"], kind="stable")
     keys = got["keys"][order]
     first = _runs(keys)
     twice = np.minimum.reduceat(got["low"][order], first) < np.maximum.reduceat(got["high"][order], first)
-    on = np.repeat(twice, np.diff(np.append(first, len(keys))))
-    return {"chunk": got["chunk"][order][on], "keys": keys[on]}
+    hot = np.add.reduceat(got["times"][order].astype(np.int64), first) > HOT
+    size = np.diff(np.append(first, len(keys)))
+    on = np.repeat(twice, size)
+    return {"chunk": got["chunk"][order][on], "keys": keys[on], "hot": np.repeat(hot, size)[on].astype(np.uint8)}
 
 
 def parsed(got: dict[str, np.ndarray], span: int) -> dict[str, np.ndarray]:
@@ -191,30 +207,33 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
 
     def send_anchors(chunk, table):
         doc, known = _ids(table, key)
-        keys, docs_of = [], []
+        keys, docs_of, ends = [], [], []
         for a, _, _, _, _, _, row, h in _parsed(table.column(text)):
-            anchor, begin, _ = passages(h, row, span, k)
+            anchor, begin, size = passages(h, row, span, k)
             on = known[row[begin] + a]
             keys.append(anchor[on])
             docs_of.append(doc[row[begin] + a][on])
+            ends.append((h[begin] * MULTIPLIERS[0] + h[begin + size - 1])[on])  # passages differ mostly at their ends
         if not sum(map(len, keys)):
             return np.empty(0, np.uint64), {}
-        keys, d = np.concatenate(keys), np.concatenate(docs_of)
-        order = np.lexsort((d, keys))
-        keys, d = keys[order], d[order]
-        first = _runs(keys)
-        return keys[first], {"low": d[first], "high": d[np.append(first[1:], len(d)) - 1]}
+        keys, d, ends = np.concatenate(keys), np.concatenate(docs_of), np.concatenate(ends)
+        order = np.lexsort((ends, keys))
+        keys, d, ends = keys[order], d[order], ends[order]
+        first, other = _runs(keys), np.zeros(len(keys), np.int32)
+        other[_runs(keys, ends)] = 1
+        return keys[first], {"low": np.minimum.reduceat(d, first), "high": np.maximum.reduceat(d, first), "times": np.add.reduceat(other, first).astype(np.int32)}
 
     def grouped(table, anchors):
         """For ranges of rows: what _parsed yields, and of its passages under shared anchors (anchor, first word,
         words, hashes, document, place); then all passages of the chunk in groups of equal ones, smallest document first."""
         doc, known = _ids(table, key)
-        anchors, ranges, parts = np.sort(anchors), [], []
+        hot, anchors = np.sort(anchors["keys"][anchors["hot"] > 0]), np.sort(anchors["keys"])
+        ranges, parts = [], []
         for n, part in enumerate(_parsed(table.column(text))):
             a, row, h = part[0], part[6], part[7]
             anchor, begin, size = passages(h, row, span, k)
             on = _in(anchor, anchors) & known[row[begin] + a]
-            anchor, begin, size = anchor[on], begin[on], size[on]
+            anchor, begin, size = _cut_hot(h, anchor[on], begin[on], size[on], hot, span)
             words = _words_of(h, begin, size, wide)
             place = begin - np.searchsorted(row, row[begin])
             ranges.append(part)
@@ -228,14 +247,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
         return ranges, (anchor[order], words[order], size[order], d[order], place[order], n[order], begin[order], first, group)
 
     def send_passages(chunk, table, got):
-        _, all_ = grouped(table, got["keys"])
+        _, all_ = grouped(table, got)
         if all_ is None:
             return np.empty(0, np.uint64), {}
         anchor, words, size, d, place, _, _, first, _ = all_
         return anchor[first], {"doc": d[first], "place": place[first].astype(np.int32), "size": size[first].astype(np.uint8), "words": words[first]}
 
     def finish(chunk, table, got, factors):
-        ranges, all_ = grouped(table, got["keys"])
+        ranges, all_ = grouped(table, got)
         found = [[] for _ in ranges]
         if all_ is not None:
             anchor, words, size, d, place, n, begin, first, group = all_

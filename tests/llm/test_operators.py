@@ -143,7 +143,11 @@ def test_decontamination(spark, docs, rows, size):
     assert named.columns == ["doc_id", "spans", "n_words", "n_words_", "spans_", "items"] and named.where("spans = 1 and n_words = 'x'").count() == len(rows)
 
 
-def test_substring_dedup(docs, rows):
+@pytest.mark.parametrize("hot", [substrings.HOT, 0])
+def test_substring_dedup(docs, rows, hot, monkeypatch):
+    """With passages whole, and all cut into windows."""
+    real = substrings.shared_anchors
+    monkeypatch.setattr(substrings, "shared_anchors", lambda got: real(got | {"times": got["times"] * 99}) if hot == 0 else real(got))
     first = {}
     for r in rows:
         w = words(r[1])
