@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import pipeline
-from inkwell.llm.common import materialize, table
+from inkwell.llm.common import materialize, scratch, spent, table
 
 STAGES = [
     ("language_id", pipeline.language_stage),
@@ -20,10 +20,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again, and what its stage wrote besides is deleted."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
+        last = i == len(STAGES) - 1
+        with scratch() as tables:
+            out = stage(spark, docs, sf_dir)
+            docs = out if last else materialize(out)
+        if not last:
+            spent(*(t for t in tables if t is not docs))
     return docs
