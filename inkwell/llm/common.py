@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,24 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    for held in _held:
+        held.append(out)
     return out
 
 
+_held: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """A list of all tables written meanwhile."""
+    _held.append(tables := [])
+    try:
+        yield tables
+    finally:
+        _held[:] = [x for x in _held if x is not tables]
+
+
 def spent(*tables: DataFrame) -> None:
     """Deletes tables that ``materialize`` wrote and that nothing will read again."""
     for df in tables:

@@ -643,6 +643,18 @@ def test_pipeline_stages(spark, docs, rows):
     assert spoken.columns == table.columns and spoken.where("text is null").count() == 0
 
 
+@pytest.mark.parametrize(("documents", "items"), [(0, 1), (1, 0), (0, 0)])
+def test_pipeline_with_empty_tables(spark, tmp_path, documents, items):
+    import corpus_pipeline
+
+    text = "the cat sat on the mat and looked at all the birds " * 5
+    rows = [(1, text, "en", "s", len(text), "x"), (2, None, None, None, None, None)][: 2 * documents]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b c")][:items], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == ({1} if documents else set())
+
+
 def test_pipeline_run(spark, tmp_path, rows):
     """All stages in a row against brute force from the language stage's output on."""
     import corpus_pipeline
