@@ -88,7 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "frame_layout": f"WITH {BLOCKS} SELECT block_no, kind, mn_start, mn_start + 12 AS block_start, mn_start + size AS block_end, n_components FROM lay",
         "block_times": f"WITH {BLOCKS} SELECT block_no, mn_start + 12 AS block_start, start_ts FROM lay",
         "block_summary": f"WITH {BLOCKS} SELECT block_no, kind, start_ts, end_ts, n_components, content_bytes FROM bl",
-        "block_hash": "SELECT conv_id, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS sha FROM conversations GROUP BY conv_id",
+        "block_hash": "SELECT epoch_us(ts) AS start_ts, substr(sha256(props), 1, 40) AS stored, substr(sha256(props), 1, 40) AS computed FROM events WHERE event_type = 'error'",
         "block_states": f"WITH {BLOCKS} SELECT kind, 'Closed' AS state, count(*) AS n, CAST(sum(n_components) AS BIGINT) AS n_components, true AS hashes_agree FROM bl GROUP BY kind",
         "integrity_summary": f"""WITH {BLOCKS} SELECT count(*) AS num_blocks, CAST(sum(content_bytes) AS BIGINT) AS data_contents, CAST(sum(content_bytes) AS BIGINT) AS data_size_on_disk,
             CAST(0 AS BIGINT) AS errors_corrected, CAST(11 + sum(size) AS BIGINT) AS file_len_checked FROM bl""",

@@ -15,8 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions.retry import FATAL_CODES, RetryConfig, TRANSIENT_CODES, classify
-from inkwell.operators import ecc, integrity, layout, scan
+from inkwell.functions.retry import FATAL_CODES, RetryConfig, TRANSIENT_CODES
+from inkwell.operators import ecc, errors, integrity, layout, scan
 
 from inkwell.operators.sequence import fixed
 from inkwell.session import shared_dir
@@ -219,9 +219,9 @@ def block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 over the contents of each conversation's components in order."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    return c.select("conv_id", F.sha2(F.array_join(F.transform("x", lambda r: F.coalesce(r["text"], F.lit(""))), ""), 256).alias("sha"))
+    """Hashes of atomic blocks as they are stored in the events' journal, and as computed from its bytes."""
+    b = scan.read(spark, journal(spark, sf_dir, "events"), "blocks").where("kind = 'A'")
+    return b.select("start_ts", F.lower(F.hex("stored_hash")).alias("stored"), F.lower(F.hex("computed_hash")).alias("computed"))
 
 
 def block_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,12 +440,12 @@ def compress_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def io_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every error code of a lookup, joined to failed operations."""
+    """Failed operations, one for each known error and for unknown ones, joined to the classes of errors."""
     import errno
 
     names = [*FATAL_CODES, *(c for c in TRANSIENT_CODES if c != "EWOULDBLOCK"), "EPIPE"]
-    known = spark.createDataFrame([("Other", getattr(errno, n), n, *classify("Other", getattr(errno, n))) for n in names] + [(k, None, k, *classify(k, None)) for k in ("PermissionDenied", "NotFound", "Interrupted", "WouldBlock")], "kind string, os_error int, name string, class string, variant string")
-    return known.select("name", "class", "variant")
+    failed = [("Other", getattr(errno, n), n) for n in names] + [(k, None, k) for k in ("PermissionDenied", "NotFound", "Interrupted", "WouldBlock")]
+    return errors.categorized(spark.createDataFrame(failed, "kind string, os_error int, name string"), "kind", "os_error").select("name", "class", "variant")
 
 
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from inkwell.functions import codecs, rs
 from inkwell.functions.retry import FatalError, RetryConfig, RetryingFile, TransientError, classify, retry_call, retrying
 from inkwell.functions.rs import ecc_size
-from inkwell.operators import ecc, integrity, layout, scan
+from inkwell.operators import ecc, errors, integrity, layout, scan
 from inkwell.operators.sequence import previous, ranged, running_max, running_sum
 from inkwell.sources import journal
 from inkwell.sources.format import ConfigMismatch
@@ -333,6 +333,14 @@ def test_retry():
     assert classify("Other", 28) == ("fatal", "NoSpace") and classify("Other", 9999) == ("transient", "Other")
 
 
+def test_error_classes_as_a_join(spark):
+    import errno as codes_of
+
+    rows = [(k, c) for k in ("PermissionDenied", "NotFound", "Interrupted", "WouldBlock", "Other", None) for c in (None, 9999, *codes_of.errorcode)]
+    got = errors.categorized(spark.createDataFrame(rows, "kind string, os_error int"), "kind", "os_error").collect()
+    assert {(r.kind, r.os_error): (r["class"], r.variant) for r in got} == {(k, c): classify(k, c) for k, c in rows} and len(got) == len(rows)
+
+
 def test_layout_matches_bytes(spark, tmp_path):
     ops, _ = make_ops(spark, ["atomic", "content", "content", "close", "content"] * 6)
     ops = ops.withColumn("comp_level", F.lit(None).cast("int"))
