@@ -28,8 +28,8 @@ class _Truncated:
 HASHES: dict[str, Callable] = {name: (lambda n=name: _Truncated(hashlib.new(n))) for name in ("sha256", "sha1", "sha512", "blake2b")}
 
 
-#: Hashes and codecs that callers added, which sessions send to the workers.
-ADDED: dict[str, dict] = {"hash": {}, "codec": {}}
+#: Hashes, codecs and stores that callers added, which sessions send to the workers.
+ADDED: dict[str, dict] = {"hash": {}, "codec": {}, "store": {}}
 
 
 def register_hash(name: str, make: Callable) -> None:
@@ -41,6 +41,7 @@ def adopt(added: dict[str, dict]) -> None:
     """Takes over what another process registered."""
     HASHES.update(added["hash"])
     CODECS.update(added["codec"])
+    ADDED["store"].update(added["store"])
 
 
 def hash_bytes(name: str, *parts: bytes) -> bytes:

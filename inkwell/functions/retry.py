@@ -110,7 +110,7 @@ class RetryingFile:
 
     def __init__(self, path: str, mode: str = "rb", config: RetryConfig = RetryConfig(), opener: Callable = open, sleep: Callable[[float], None] = time.sleep):
         self.path, self.config, self.sleep, self.at = path, config, sleep, 0
-        self.file = self._try(lambda: opener(path, mode, buffering=1 << 20), "open")
+        self.file = self._try(lambda: opener(path, mode), "open")
 
     def _try(self, call: Callable, what: str):
         return retry_call(call, self.config, f"{what} {self.path}", self.sleep)
@@ -156,3 +156,19 @@ class RetryingFile:
 
     def __exit__(self, *_) -> None:
         self.close()
+
+
+#: The standard error that stands for each variant; what is not listed is a plain OSError.
+STANDARD = {
+    "PermissionDenied": PermissionError, "ReadOnlyFileSystem": PermissionError, "FileNotFound": FileNotFoundError,
+    "TemporarilyUnavailable": BlockingIOError, "LockContention": BlockingIOError, "Interrupted": InterruptedError,
+}
+
+
+def standard(error: FileSystemError) -> OSError:
+    """The error as a standard one, for callers that know no classes: of IoError the cause itself."""
+    if error.variant == "IoError" and isinstance(error.__cause__, OSError):
+        return error.__cause__
+    out = STANDARD.get(error.variant, OSError)(error.errno, str(error))
+    out.__cause__ = error
+    return out

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.sources.journal import _Options, local, recover_file, segments
+from inkwell.sources.journal import _Options, recover_file, segments
 
 
 def integrity_summary(blocks: DataFrame) -> DataFrame:
@@ -37,10 +37,12 @@ def tail_recovery(spark: SparkSession, paths: list[str], **options: str) -> Data
     files = [f for p in paths for f in segments(p)]
     df = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 4096)))
 
+    o = _Options({**options, "path": paths[0] if paths else ""})  # takes registered hashes and stores along
+
     def run(batches):
         for b in batches:
             for f in b.column("file").to_pylist():
-                r = recover_file(local(f), _Options({**options, "path": f}))
+                r = recover_file(f, o)
                 yield pa.RecordBatch.from_pylist(
                     [{"file": f, "original_len": r["original_len"], "recovered_len": r["recovered_len"], "has_blocks": r["has_blocks"], "errors_corrected": r["errors_corrected"],
                       "ops": [{"offset": a, "state": s} for a, s in r["ops"]], "n_segments": len(r["segments"])}],
@@ -56,12 +58,13 @@ def tail_recovery_at(cuts: DataFrame, path: str, **options: str) -> DataFrame:
     as if these bytes were inverted. The file is read in place and not changed."""
     kinds = pa.schema([("cut", pa.int64()), ("recovered_len", pa.int64()), ("has_blocks", pa.bool_()), ("errors_corrected", pa.int64()), ("n_segments", pa.int64())])
 
+    o = _Options({**options, "path": path})
+
     def run(batches):
-        o = _Options({**options, "path": path})
         for b in batches:
             out = []
             for n, flips in zip(b.column("cut").to_pylist(), b.column("flips").to_pylist(), strict=True):
-                r = recover_file(local(path), o, size=n, flips=dict.fromkeys(flips or (), 0xFF))
+                r = recover_file(path, o, size=n, flips=dict.fromkeys(flips or (), 0xFF))
                 out.append({"cut": n, "recovered_len": r["recovered_len"], "has_blocks": r["has_blocks"], "errors_corrected": r["errors_corrected"], "n_segments": len(r["segments"])})  # tails are not kept
             yield pa.RecordBatch.from_pylist(out, kinds)
 

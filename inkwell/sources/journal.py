@@ -1,11 +1,12 @@
 """The ``journal`` data source: batch and streaming reader and writer over directories of segments.
 
 A table is a directory of segment files, each a whole journal, in order of name; single files
-and files of other writers are read as well. The writer puts whole blocks into a segment for
-each task and publishes them on commit by one manifest, written last, with a line for each
+and files of other writers are read as well. Directories lie wherever ``store`` reaches. The writer
+puts whole blocks into a segment for each task, under a name of its own, and publishes them on
+commit by one manifest, written last, with a line for each
 segment (bytes, blocks, range of times), by which later scans skip segments. Manifests alone say
-which segments are seen: what a commit that was cut off moved into place is not, nor is what a
-later overwrite names as replaced. Files of other writers have no manifest line; they are read
+which segments are seen: what a task or commit that was cut off left behind is not, nor is what a
+later overwrite names as replaced; ``vacuum`` deletes it. Files of other writers have no manifest line; they are read
 whole, or cut at block borders found by a walk over headers if they are large.
 
 Python data sources have no column pruning, hence the option ``payload=false``.
@@ -14,11 +15,11 @@ Python data sources have no column pruning, hence the option ``payload=false``.
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql.datasource import (
@@ -40,6 +41,7 @@ from inkwell.functions import codecs
 from inkwell.functions.retry import FileSystemError, RetryConfig, RetryingFile
 from inkwell.sources.format import ECC_FLAG, FILE_HEADER, HEADER, TAGS, Layout, read_config, signed
 from inkwell.sources.parser import Block, Journal
+from inkwell.sources.store import at, local
 
 SCHEMAS = {
     "components": "file string, block_no long, block_kind string, block_start long, comp_no int, ts long, ts_raw binary, start_pos long, data_start long, data_len long, ecc boolean, compressed boolean, orig_len long, payload binary, state string",
@@ -56,25 +58,21 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
-def local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
-
-
 OWN = "segment-"
 
 
 def _manifests(path: str) -> dict[str, dict]:
     """Manifests in force by name: those that no other one names as replaced."""
-    top, out = os.path.join(local(path), "_manifest"), {}
-    if os.path.isdir(top):
-        for name in sorted(os.listdir(top)):
-            if name.endswith(".json"):
-                try:
-                    with RetryingFile(os.path.join(top, name)) as f:
-                        out[name] = json.loads(f.read())
-                except FileSystemError as e:
-                    if e.variant != "FileNotFound":  # else replaced and deleted in the meantime
-                        raise
+    store, top = at(f"{path}/_manifest")
+    out = {}
+    for name in store.names(top):
+        if name.endswith(".json"):
+            try:
+                with RetryingFile(f"{top}/{name}", opener=store.open) as f:
+                    out[name] = json.loads(f.read())
+            except FileSystemError as e:
+                if e.variant != "FileNotFound":  # else replaced and deleted in the meantime
+                    raise
     gone = {x for m in out.values() for x in m["replaced"]}
     return {name: m for name, m in out.items() if name not in gone}
 
@@ -86,16 +84,32 @@ def manifest(path: str) -> dict[str, dict]:
 
 def segments(path: str) -> list[str]:
     """Visible segment files in order: published ones and those of other writers. A single file is its own only segment."""
-    path = local(path)
-    if os.path.isfile(path):
-        return [path]
-    if not os.path.isdir(path):
-        return []
+    store, inside = at(path)
+    if store.is_file(inside):
+        return [path if store.remote else inside]
     held = _manifests(path)
     known = {k for m in held.values() for k in m["segments"]}
     gone = {x for m in held.values() for x in m["replaced"]}
-    other = (f for f in os.listdir(path) if not f.startswith(("_", ".", OWN)) and f not in gone)
-    return [os.path.join(path, f) for f in sorted({*known, *other})]
+    other = (f for f in store.names(inside) if not f.startswith(("_", ".", OWN)) and f not in gone)
+    top = (path if store.remote else inside).rstrip("/")
+    return [f"{top}/{f}" for f in sorted({*known, *other})]
+
+
+def vacuum(path: str, others_running: bool = True) -> int:
+    """Deletes segments that no manifest names; how many. Only while no write is running."""
+    if others_running:
+        raise ValueError("segments of running writes have no manifest yet: say that there are none")
+    store, inside = at(path)
+    known = manifest(path)
+    lost = [f for f in store.names(inside) if f.startswith(OWN) and f not in known]
+    for f in lost:
+        store.delete(f"{inside}/{f}")
+    return len(lost)
+
+
+def size_of(path: str) -> int:
+    store, inside = at(path)
+    return store.size(inside)
 
 
 @dataclass
@@ -178,7 +192,8 @@ class _Options:
 
 
 def _open(path: str, o: _Options, mode: str = "rb") -> RetryingFile:
-    return RetryingFile(path, mode, o.tries)
+    store, inside = at(path)
+    return RetryingFile(inside, mode, o.tries, store.open)
 
 
 def _layout(handle, o: _Options) -> Layout:
@@ -262,13 +277,13 @@ class JournalReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        known = manifest(self.o.path) if not os.path.isfile(local(self.o.path)) else {}
+        known = manifest(self.o.path)
         for file in segments(self.o.path):
             if self.o.view == "config":
                 out.append(Range(file, 0, FILE_HEADER, 0))
                 continue
-            size = os.path.getsize(file)
-            facts = known.get(os.path.basename(file))
+            size = size_of(file)
+            facts = known.get(file.rsplit("/", 1)[-1])
             if facts and facts["bytes"] == size and self.o.hint is None:
                 out += self._cut(file, facts)
                 continue
@@ -316,22 +331,24 @@ class PushingReader(JournalReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    staged: str | None
     name: str | None
     facts: dict | None
 
 
 def write_segment(rows: Iterator, path: str, o: _Options) -> Written:
-    """All rows of a task, whole blocks in order, as one staged segment."""
+    """All rows of a task, whole blocks in order, as one segment, which nobody sees before its manifest."""
+    rows = iter(rows)
+    head = next(rows, None)
+    if head is None:
+        return Written(None, None)
     layout = Layout(o.ecc_len or 4)
-    staging = os.path.join(local(path), "_staging")
-    os.makedirs(staging, exist_ok=True)
-    staged = os.path.join(staging, uuid.uuid4().hex)
+    store, inside = at(path)
+    store.folder(inside)
+    name = f"{OWN}{head.block_no:020d}-{uuid.uuid4().hex}.journal"
     facts = {"bytes": 0, "blocks": 0, "low": None, "high": None, "cuts": []}
     cut = FILE_HEADER
-    first = None
     key, hasher, end_ts = None, None, 0
-    with _open(staged, o, "wb") as f:
+    with _open(f"{path}/{name}", o, "wb") as f:
         f.write(layout.file_header())
 
         def close() -> None:
@@ -340,12 +357,11 @@ def write_segment(rows: Iterator, path: str, o: _Options) -> Written:
                 f.write(layout.close(end_ts, hasher.digest()))
                 hasher = None
 
-        for r in rows:
+        for r in chain([head], rows):
             data = bytes(r.payload) if r.payload is not None else b""
             level = r.level if r.level is not None else o.level
             if r.block_no != key:
                 close()
-                first = r.block_no if first is None else first
                 if f.tell() - cut >= o.split:  # a later scan may begin here
                     cut = f.tell()
                     facts["cuts"].append((cut, facts["blocks"]))
@@ -367,50 +383,43 @@ def write_segment(rows: Iterator, path: str, o: _Options) -> Written:
                 facts["high"] = t if facts["high"] is None else max(facts["high"], t)
         close()
         facts["bytes"] = f.tell()
-    if first is None:
-        os.remove(staged)
-        return Written(None, None, None)
-    return Written(staged, f"{OWN}{first:020d}-{uuid.uuid4().hex[:8]}.journal", facts)
+    return Written(name, facts)
 
 
 def publish(path: str, messages: list[Written | None], name: str, overwrite: bool = False) -> None:
-    """Moves staged segments into place, then writes the manifest that makes all of them visible at once.
+    """Writes the manifest that makes all segments visible at once.
 
     A manifest of this name that exists was published before: the segments are dropped. After a
     commit that was cut off before its manifest, its segments are never seen, and the next commit
     of the same name publishes its own. An overwrite's manifest names those it replaces, so a
     reader sees either all of the old segments or all of the new ones.
     """
-    path = local(path)
-    top = os.path.join(path, "_manifest")
-    os.makedirs(top, exist_ok=True)
-    target = os.path.join(top, f"{name}.json")
-    if os.path.exists(target):
-        discard(messages)
+    store, inside = at(path)
+    target = f"{inside}/_manifest/{name}.json"
+    store.folder(f"{inside}/_manifest")
+    if store.is_file(target):
+        discard(path, messages)
         return
     old, files = [], []
     if overwrite:
-        files = segments(path)
-        old = [*_manifests(path), *(f for f in map(os.path.basename, files) if not f.startswith(OWN))]
-    done = {}
-    for m in messages:
-        if m is not None and m.staged:
-            os.replace(m.staged, os.path.join(path, m.name))
-            done[m.name] = m.facts
-    with RetryingFile(target + ".tmp", "wb") as f:
+        files = [f.rsplit("/", 1)[-1] for f in segments(path)]
+        old = [*_manifests(path), *(f for f in files if not f.startswith(OWN))]
+    done = {m.name: m.facts for m in messages if m is not None and m.name}
+    part = f"{inside}/_manifest/{name}.part-{uuid.uuid4().hex}"
+    with RetryingFile(part, "wb", opener=store.open) as f:
         f.write(json.dumps({"segments": done, "replaced": old}).encode())
-    os.replace(target + ".tmp", target)
+    store.move(part, target)
     for file in files:
-        os.remove(file)
+        store.delete(f"{inside}/{file}")
     for x in old:
-        if os.path.exists(os.path.join(top, x)):
-            os.remove(os.path.join(top, x))
+        store.delete(f"{inside}/_manifest/{x}")
 
 
-def discard(messages: list[Written | None]) -> None:
+def discard(path: str, messages: list[Written | None]) -> None:
+    store, inside = at(path)
     for m in messages:
-        if m is not None and m.staged and os.path.exists(m.staged):
-            os.remove(m.staged)
+        if m is not None and m.name:
+            store.delete(f"{inside}/{m.name}")
 
 
 class JournalWriter(DataSourceWriter):
@@ -424,7 +433,7 @@ class JournalWriter(DataSourceWriter):
         publish(self.o.path, messages, f"batch-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", self.overwrite)
 
     def abort(self, messages) -> None:
-        discard(messages)
+        discard(self.o.path, messages)
 
 
 class JournalStreamWriter(DataSourceStreamWriter):
@@ -440,7 +449,7 @@ class JournalStreamWriter(DataSourceStreamWriter):
         publish(self.o.path, messages, f"epoch-{batchId:012d}")
 
     def abort(self, messages, batchId) -> None:
-        discard(messages)
+        discard(self.o.path, messages)
 
 
 class JournalStreamReader(DataSourceStreamReader):
@@ -454,10 +463,10 @@ class JournalStreamReader(DataSourceStreamReader):
 
     def _walk(self, file: str, start: int):
         with _open(file, self.o) as f:
-            if os.path.getsize(file) < FILE_HEADER:
+            if size_of(file) < FILE_HEADER:
                 return start, 0
             layout, end, n = _layout(f, self.o), start, 0
-            for _, end, _, _ in light_walk(f, layout, start, os.path.getsize(file)):
+            for _, end, _, _ in light_walk(f, layout, start, size_of(file)):
                 n += 1
             return end, n
 
@@ -527,7 +536,7 @@ def recover_file(path: str, o: _Options, now: int = 0, size: int | None = None,
     """The tail that recovery would leave, read backwards in windows that grow until a block closes;
     with ``size``, as if the file ended there, with ``flips``, as if the bytes at these places were XORed."""
     with _open(path, o) as f:
-        layout, size = _layout(f, o), os.path.getsize(path) if size is None else size
+        layout, size = _layout(f, o), size_of(path) if size is None else size
         window = 1 << 20
         while True:
             base = max(FILE_HEADER, size - window)
@@ -543,20 +552,36 @@ def recover_file(path: str, o: _Options, now: int = 0, size: int | None = None,
 
 
 def apply_recovery(path: str, options: dict[str, str] | None = None, now: int | None = None) -> dict:
-    """Truncates or closes the tail of one file as planned: the explicit action beside the pure plan."""
+    """Truncates or closes the tail of one file as planned: the explicit action beside the pure plan.
+
+    Local files are changed in place; elsewhere a whole new file takes the old one's place.
+    """
     o = _Options({**(options or {}), "path": path})
-    plan = recover_file(local(path), o, codecs.now_micros() if now is None else now)
-    with _open(local(path), o, "r+b") as f:
-        f.seek(plan["tail_from"])
-        f.write(plan["tail"])
-        f.truncate(plan["recovered_len"] if plan["has_blocks"] else min(plan["recovered_len"], FILE_HEADER))
+    plan = recover_file(path, o, codecs.now_micros() if now is None else now)
+    keep = plan["recovered_len"] if plan["has_blocks"] else min(plan["recovered_len"], FILE_HEADER)
+    store, inside = at(path)
+    if store.remote:
+        part = f"{inside}.part-{uuid.uuid4().hex}"
+        with _open(path, o) as old, RetryingFile(part, "wb", o.tries, store.open) as new:
+            left = min(plan["tail_from"], keep)
+            while left:
+                block = old.read(min(left, 1 << 20))
+                new.write(block)
+                left -= len(block)
+            new.write(plan["tail"][: max(0, keep - plan["tail_from"])])
+        store.move(part, inside)
+    else:
+        with _open(path, o, "r+b") as f:
+            f.seek(plan["tail_from"])
+            f.write(plan["tail"])
+            f.truncate(keep)
     return {k: v for k, v in plan.items() if k != "tail"}
 
 
 def check_file(path: str, **options) -> dict:
     """Integrity report of one file; raises on a config mismatch only."""
     o = _Options({**options, "path": path})
-    with _open(local(path), o) as f:
+    with _open(path, o) as f:
         layout = _layout(f, o)
         f.seek(FILE_HEADER)
         return Journal(f.read(), layout, FILE_HEADER, o.hash_name).integrity()

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions import codecs, rs
-from inkwell.functions.retry import FatalError, RetryConfig, RetryingFile, TransientError, classify, retry_call, retrying
+from inkwell.functions.retry import FatalError, RetryConfig, RetryingFile, TransientError, categorized, classify, retry_call, retrying, standard
 from inkwell.functions.rs import ecc_size
 from inkwell.operators import ecc, errors, integrity, layout, scan
 from inkwell.operators.sequence import previous, ranged, running_max, running_sum
-from inkwell.sources import journal
+from inkwell.sources import journal, store
 from inkwell.sources.format import ConfigMismatch
 from inkwell.sources.journal import apply_recovery, check_file, manifest, segments
 from inkwell.sources.parser import Journal
+from inkwell.streaming import streams
 from tests.golden import LAYOUT, TS, golden
 
 OPS = T.StructType([
@@ -219,11 +220,54 @@ def test_commit_cut_off_before_its_manifest_shows_nothing_twice(spark, tmp_path,
         f.write(golden())
     assert scan.read(spark, path).count() == 8
     with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
-        m.setattr(journal.os, "remove", dies)
+        m.setattr(store.Files, "delete", dies)
         journal.publish(path, write(), "batch-1", overwrite=True)
     assert scan.read(spark, path).count() == 3  # the old files are still there, but replaced
 
 
+def test_segments_without_a_manifest_are_vacuumed(spark, tmp_path):
+    path = str(tmp_path / "j")
+    ops, _ = make_ops(spark, ["atomic"] * 5)
+    scan.write_operations(ops, path)
+    with open(f"{path}/segment-lost.journal", "wb") as f:
+        f.write(golden())
+    assert scan.read(spark, path).count() == 5
+    with pytest.raises(ValueError):
+        journal.vacuum(path)
+    assert journal.vacuum(path, others_running=False) == 1 and scan.read(spark, path).count() == 5
+    ops.createOrReplaceTempView("ops")
+    scan.frames(layout.assign_blocks(ops.where("seq < 2"))).write.format("journal").mode("overwrite").save(path)
+    assert scan.read(spark, path).count() == 2 and len(segments(path)) <= 2
+
+
+def test_journals_in_other_file_systems(spark, tmp_path):
+    """A scheme that only pyarrow opens: written, scanned, streamed, checked and recovered."""
+    top = str(tmp_path / "far")
+    os.makedirs(top)
+
+    def far(uri):
+        from pyarrow.fs import LocalFileSystem, SubTreeFileSystem
+
+        return SubTreeFileSystem(top, LocalFileSystem()), uri.split("://", 1)[1]
+
+    store.register_store("far", far)
+    ops, rows = make_ops(spark, ["atomic", "content", "content", "close"] * 5)
+    scan.write_operations(ops, "far://table/j")
+    want = {r[2]: r[6] for r in rows if r[1] != "close"}
+    assert {r.ts: bytes(r.payload) for r in scan.read(spark, "far://table/j").collect()} == want
+    assert scan.read(spark, "far://table/j", splitBytes="2000").where("ts >= 1005 and ts < 1009").count() == 3
+    assert scan.read(spark, "far://table/j", "config").select("head").distinct().count() == 1
+    q = streams.tail(spark, "far://table/j").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
+    with open(f"{top}/one", "wb") as h:
+        h.write(golden()[:120])
+    (plan,) = integrity.tail_recovery(spark, ["far://one"]).collect()
+    assert (plan.original_len, plan.recovered_len) == (120, 143)
+    assert apply_recovery("far://one")["recovered_len"] == os.path.getsize(f"{top}/one") == 143
+    assert check_file("far://one")["num_blocks"] == 1
+
+
 def test_registered_hash_and_codec_reach_the_workers(spark, tmp_path):
     from tests.blake3 import Blake3
 
@@ -248,7 +292,7 @@ def test_retries_of_reads_and_writes(tmp_path):
     class Flaky:
         """Every second read or write fails after it has moved the position."""
 
-        def __init__(self, path, mode, buffering):
+        def __init__(self, path, mode):
             self.inner, self.calls = open(path, mode), 0  # noqa: SIM115
 
         def __getattr__(self, name):
@@ -301,14 +345,14 @@ def test_many_codewords_at_once_decode_as_one_by_one(n):
         parts.append(bytes(word[: len(data)]))
         parity.append(bytes(word[len(data) :]))
         try:
-            fixed, _, errors = rs.correct(parts[-1], parity[-1])
+            want.append(rs.correct(parts[-1], parity[-1]))
         except rs.TooManyErrors:
-            fixed, errors = parts[-1], -1
-        want.append((fixed, errors))
+            want.append((parts[-1], parity[-1], -1))
     size = np.array([len(p) for p in parts])
     at, data = np.cumsum(size) - size, np.frombuffer(b"".join(parts), np.uint8).copy()
-    errors, _ = rs.correct_chunks(data, at, size, np.frombuffer(b"".join(parity), np.uint8).reshape(-1, n))
-    assert [(data[a : a + m].tobytes(), int(e)) for a, m, e in zip(at, size, errors, strict=True)] == want
+    have = np.frombuffer(b"".join(parity), np.uint8).reshape(-1, n).copy()
+    errors, _ = rs.correct_chunks(data, at, size, have)
+    assert [(data[a : a + m].tobytes(), p.tobytes(), int(e)) for a, m, p, e in zip(at, size, have, errors, strict=True)] == want
 
 
 def test_retry():
@@ -330,6 +374,8 @@ def test_retry():
         retry_call(lambda: open("/does/not/exist"))
     with pytest.raises(TransientError):
         retry_call(lambda: (_ for _ in ()).throw(BlockingIOError(11, "x")), RetryConfig(max_attempts=2, initial_ms=0))
+    for cause, kind in ((FileNotFoundError(2, "x"), FileNotFoundError), (OSError(30, "x"), PermissionError), (OSError(28, "x"), OSError), (OSError(11, "x"), BlockingIOError), (OSError(35, "x"), BlockingIOError), (OSError(4, "x"), InterruptedError)):
+        assert type(standard(categorized(cause))) is kind
     assert classify("Other", 28) == ("fatal", "NoSpace") and classify("Other", 9999) == ("transient", "Other")
 
 
