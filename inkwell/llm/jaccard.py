@@ -20,8 +20,8 @@ groups (families of near copies) are linked to their first class, so that candid
 Candidate clusters are then joined exactly by prefix filtering and counted intersections. A cluster
 is cut into blocks of bounded size; each block is joined in itself and with one centre of the whole
 cluster. What is joined to the centre in its block needs no comparison with the like of other
-blocks; only sets that are not are compared with all other blocks, a block of them with a block
-of the cluster at a time. So no link is lost, no unbounded group meets in one task, and a family
+blocks; only sets that are not are compared with all of the cluster, a coarser block of them with
+one of the cluster at a time. So no link is lost, no unbounded group meets in one task, and a family
 of near copies costs what its members cost. Only links that join two components are kept.
 Components are the smallest document reachable.
 
@@ -47,7 +47,7 @@ from inkwell.llm.components import components
 from inkwell.llm.exchange import Chunks, chunked, gathered, packed_rows, replied, rescattered, resolved, scattered
 
 WIDTH, PERCENT = 3, 90
-#: Tokens of a block at most, whatever its sets; and what a block of a family of smaller sets is cut to.
+#: Tokens of a block at most, and about as many sets as the blocks of a family are cut to.
 BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 64
 
 
@@ -433,11 +433,9 @@ def _picked(table: pa.Table, rows: dict[str, np.ndarray], text: str, width: int)
 
 
 def _blocks(clustered: DataFrame, block_tokens: int) -> DataFrame:
-    """Clusters are cut by a hash into blocks of about ``block_tokens / BLOCK_SETS`` tokens and ``BLOCK_SETS``
-    sets or more, so that a centre is chosen among some; and of ``block_tokens`` tokens in any case."""
+    """Clusters are cut by a hash into blocks of about ``BLOCK_SETS`` sets, or fewer of more than ``block_tokens`` tokens."""
     cut = lambda most, of: F.ceil(of / F.lit(most))
-    fine = F.least(cut(max(1, block_tokens // BLOCK_SETS), F.sum("n")), cut(BLOCK_SETS, F.count("*")))
-    total = clustered.groupBy("component").agg(F.greatest(cut(block_tokens, F.sum("n")), fine).cast("int").alias("parts"))
+    total = clustered.groupBy("component").agg(F.greatest(cut(block_tokens, F.sum("n")), cut(BLOCK_SETS, F.count("*"))).cast("int").alias("parts"))
     both = clustered.join(total, "component")
     return both.select("chunk", "row", "node", "component", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
 
@@ -520,13 +518,16 @@ def _joined_blocks(sets: DataFrame, percent: int, block_tokens: int) -> DataFram
     )
     links = first.where("u is not null").select("u", "v")
     apart = first.where("node is not null").drop("u", "v")
-    # Blocks of the sets apart, against every other block of their cluster.
-    needed = materialize(apart.groupBy("component").agg(F.ceil(F.sum(F.length("tokens")) / F.lit(8 * block_tokens)).cast("int").alias("rounds")))
-    if needed.isEmpty():
+    # The sets apart against all of their cluster, both in coarse blocks of ``block_tokens`` tokens.
+    coarse = lambda df, name: df.groupBy("component").agg(F.ceil(F.sum(F.length("tokens")) / F.lit(8 * block_tokens)).cast("int").alias(name))
+    rounds = materialize(coarse(apart, "rounds"))
+    if rounds.isEmpty():
         return links
-    theirs = apart.join(needed, "component").withColumn("round", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rounds")).cast("int"))
-    theirs = theirs.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> block")
-    ours = sets.join(needed, "component").withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).withColumn("at", F.col("block"))
+    needed = materialize(coarse(sets.join(rounds.select("component"), "component", "left_semi"), "wide").join(rounds, "component"))
+    spent(rounds)
+    by = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    theirs = apart.join(needed, "component").withColumn("round", by(7, "rounds")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    ours = sets.join(needed, "component").withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).withColumn("at", by(9, "wide"))
     pair = lambda df, side: df.select("component", "at", "round", "node", "tokens", F.lit(side).alias("side"))
     kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 

@@ -265,7 +265,9 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 4: 4, 5: 4, **dict.fromkeys(range(20, 26), 20)}
 
 
-def test_large_families_are_joined(spark):
+@pytest.mark.parametrize("block", [2_000_000, 2000])
+def test_large_families_are_joined(spark, block):
+    """One family in several blocks, and chains whose ends are like no centre."""
     rng = np.random.default_rng(2)
     base = [f"t{i}" for i in range(150)]
     out = []
@@ -274,8 +276,12 @@ def test_large_families_are_joined(spark):
         for p in rng.permutation(150)[: int(rng.integers(0, 4))]:
             w[p] = f"e{i}x{p}"
         out.append((i, " ".join(w)))
+    w = list(base)
+    for i in range(200, 380):
+        w = [*w[1:], f"c{i}"]
+        out.append((i, " ".join(w)))
     df = spark.createDataFrame(out, "doc_id long, text string")
-    got = [tuple(r) for r in jaccard.jaccard_components(df).collect()]
+    got = [tuple(r) for r in jaccard.jaccard_components(df, block_tokens=block).collect()]
     same_rows(got, brute_components(out, 3, 90))
 
 
