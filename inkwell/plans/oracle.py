@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.plans.queries import CUTS, HIGH, LOW, STRIDE
+from inkwell.plans.queries import HIGH, LOW, STRIDE
 
 #: Events in blocks: h (one row for each event), lay (one row for each block, with places).
 BLOCKS = """
@@ -107,15 +107,6 @@ def oracle_sql() -> dict[str, str]:
                    CAST(CASE WHEN block_no % 3 = 2 THEN 2 ELSE 0 END AS BIGINT) AS errors_corrected,
                    CAST(CASE WHEN block_no % 3 = 1 AND len0 > 0 THEN n_components ELSE 0 END AS BIGINT) AS n_segments FROM lay JOIN z USING (block_no)""",
         "tail_recovery": f"""WITH {BLOCKS},
-            c AS (SELECT h.block_no, CAST(mn_start + 29 + sum(17 + len) OVER (PARTITION BY h.block_no ORDER BY comp_no) AS BIGINT) AS c
-                  FROM h JOIN lay USING (block_no) WHERE kind = 'B' UNION ALL SELECT block_no, mn_start + 29 FROM lay WHERE kind = 'B'),
-            cuts AS (SELECT unnest(range({CUTS[0]}, {CUTS[-1] + 1}, {CUTS[1] - CUTS[0]})) AS cut),
-            x AS (SELECT cut, lay.*, mn_start + size AS e FROM cuts JOIN lay ON cut > mn_start AND cut <= mn_start + size),
-            y AS (SELECT x.*, (SELECT max(c.c) FROM c WHERE c.block_no = x.block_no AND c.c <= x.cut) AS last_c FROM x)
-            SELECT CAST(cut AS BIGINT) AS cut,
-                   CASE WHEN cut = e THEN e WHEN kind = 'B' AND cut >= mn_start + 29 THEN last_c + 41 ELSE mn_start END AS recovered_len,
-                   cut = e OR kind = 'B' AND cut >= mn_start + 29 OR block_no > 0 AS has_blocks FROM y""",
-        "tail_recovery_whole": f"""WITH {BLOCKS},
             l AS (SELECT max(block_no) AS b FROM lay),
             cuts AS (SELECT block_no, mn_start + 1 + block_no * {STRIDE} % size AS cut FROM lay
                      UNION SELECT block_no, unnest(range(mn_start + 1, mn_start + size + 1)) FROM lay, l WHERE block_no = b),

@@ -249,25 +249,6 @@ def integrity_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tail_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recovered lengths of the journal cut at many places."""
-    path = _single_file(spark, sf_dir, "one")
-    target = f"{path}-cuts"
-    source = [f for f in os.listdir(path) if f.endswith(".journal")][0]
-    size = os.path.getsize(f"{path}/{source}")
-    os.makedirs(target, exist_ok=True)
-    with open(f"{path}/{source}", "rb") as f:
-        data = f.read(min(size, 1 << 16))
-    for cut in CUTS:
-        with open(f"{target}/cut-{cut:06d}", "wb") as f:
-            f.write(data[:cut])
-    df = integrity.tail_recovery(spark, [target])
-    return df.select(F.col("original_len").alias("cut"), F.col("recovered_len"), "has_blocks")
-
-
-CUTS = tuple(range(12, 6000, 37))
-
-
-def tail_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovered lengths of the whole journal cut once inside every block, and at every byte of the last one."""
     path = _single_file(spark, sf_dir, "one")
     source = [f for f in os.listdir(path) if f.endswith(".journal")][0]
@@ -506,7 +487,7 @@ def stream_block_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     content_range_scan, range_bound_matrix, scan_from_hint, open_tail_scan, content_bytes, file_config, components, journal_roundtrip,
     journal_roundtrip_atomic, magic_scan, block_assign, block_assign_close, frame_layout, block_times, block_summary, block_hash, block_states, integrity_summary,
-    integrity_errors, integrity_damaged, integrity_summary_damaged, damaged_segments, recovery_damaged, tail_recovery, tail_recovery_whole, ecc_len, ecc_parity, ecc_verify, ecc_correct, two_phase_repair, corrupt_segments, corruption_class,
+    integrity_errors, integrity_damaged, integrity_summary_damaged, damaged_segments, recovery_damaged, tail_recovery, ecc_len, ecc_parity, ecc_verify, ecc_correct, two_phase_repair, corrupt_segments, corruption_class,
     ecc_constants, tag_decode, header_pack, compress_decision, io_error_class, backoff_schedule, ts_monotonic_check, ts_monotonic_nulls, stream_tail, stream_append,
     stream_block_assign,
 )

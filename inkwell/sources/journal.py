@@ -537,7 +537,7 @@ def recover_file(path: str, o: _Options, now: int = 0, size: int | None = None,
     with ``size``, as if the file ended there, with ``flips``, as if the bytes at these places were XORed."""
     with _open(path, o) as f:
         layout, size = _layout(f, o), size_of(path) if size is None else size
-        window = 1 << 20
+        window = 1 << 16
         while True:
             base = max(FILE_HEADER, size - window)
             f.seek(base)
