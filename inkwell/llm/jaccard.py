@@ -20,8 +20,8 @@ groups (families of near copies) are linked to their first class, so that candid
 Candidate clusters are then joined exactly by prefix filtering and counted intersections. A cluster
 is cut into blocks of bounded size; each block is joined in itself and with one centre of the whole
 cluster. What is joined to the centre in its block needs no comparison with the like of other
-blocks; only sets that are not are compared with all of the cluster, a coarser block of them with
-one of the cluster at a time. So no link is lost, no unbounded group meets in one task, and a family
+blocks; only sets that are not are compared with all of the cluster, a block of them with one of
+the cluster at a time. So no link is lost, no unbounded group meets in one task, and a family
 of near copies costs what its members cost. Only links that join two components are kept.
 Components are the smallest document reachable.
 
@@ -518,13 +518,17 @@ def _joined_blocks(sets: DataFrame, percent: int, block_tokens: int) -> DataFram
     )
     links = first.where("u is not null").select("u", "v")
     apart = first.where("node is not null").drop("u", "v")
-    # The sets apart against all of their cluster, both in coarse blocks of ``block_tokens`` tokens.
-    coarse = lambda df, name: df.groupBy("component").agg(F.ceil(F.sum(F.length("tokens")) / F.lit(8 * block_tokens)).cast("int").alias(name))
-    rounds = materialize(coarse(apart, "rounds"))
-    if rounds.isEmpty():
+    # The sets apart against all of their cluster, which is cut into blocks of ``block_tokens`` tokens, or into
+    # finer ones as long as the copies of the sets apart, one for each, don't outweigh the cluster itself.
+    tokens = F.sum(F.length("tokens")) / F.lit(8)
+    blocks = lambda of: F.ceil(of / F.lit(block_tokens)).cast("int")
+    some = materialize(apart.groupBy("component").agg(tokens.alias("few")))
+    if some.isEmpty():
         return links
-    needed = materialize(coarse(sets.join(rounds.select("component"), "component", "left_semi"), "wide").join(rounds, "component"))
-    spent(rounds)
+    total = sets.join(some.select("component"), "component", "left_semi").groupBy("component").agg(tokens.alias("all"), F.max("parts").alias("parts"))
+    finer = F.least(F.col("parts"), F.ceil(F.col("all") / F.col("few"))).cast("int")
+    needed = materialize(total.join(some, "component").select("component", F.greatest(blocks(F.col("all")), finer).alias("wide"), blocks(F.col("few")).alias("rounds")))
+    spent(some)
     by = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     theirs = apart.join(needed, "component").withColumn("round", by(7, "rounds")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
     ours = sets.join(needed, "component").withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).withColumn("at", by(9, "wide"))
