@@ -49,6 +49,7 @@ from inkwell.llm.exchange import Chunks, chunked, gathered, packed_rows, replied
 WIDTH, PERCENT = 3, 90
 #: Tokens of a block at most, and about as many sets as the blocks of a family are cut to.
 BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 64
+COPIES = 8
 
 
 def shingle_sets(column: pa.ChunkedArray, width: int = WIDTH):
@@ -519,14 +520,14 @@ def _joined_blocks(sets: DataFrame, percent: int, block_tokens: int) -> DataFram
     links = first.where("u is not null").select("u", "v")
     apart = first.where("node is not null").drop("u", "v")
     # The sets apart against all of their cluster, which is cut into blocks of ``block_tokens`` tokens, or into
-    # finer ones as long as the copies of the sets apart, one for each, don't outweigh the cluster itself.
+    # finer ones as long as the copies of the sets apart, one for each, don't outweigh the cluster ``COPIES`` times.
     tokens = F.sum(F.length("tokens")) / F.lit(8)
     blocks = lambda of: F.ceil(of / F.lit(block_tokens)).cast("int")
     some = materialize(apart.groupBy("component").agg(tokens.alias("few")))
     if some.isEmpty():
         return links
     total = sets.join(some.select("component"), "component", "left_semi").groupBy("component").agg(tokens.alias("all"), F.max("parts").alias("parts"))
-    finer = F.least(F.col("parts"), F.ceil(F.col("all") / F.col("few"))).cast("int")
+    finer = F.least(F.col("parts"), F.ceil(F.lit(COPIES) * F.col("all") / F.col("few"))).cast("int")
     needed = materialize(total.join(some, "component").select("component", F.greatest(blocks(F.col("all")), finer).alias("wide"), blocks(F.col("few")).alias("rounds")))
     spent(some)
     by = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
