@@ -26,8 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
         held = context._jsc.sc().getCheckpointDir()
         if not held.isDefined() and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not held.isDefined():  # the setting itself cannot be changed in a running session
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="inkwell-"))
+            held = context._jsc.sc().getCheckpointDir()
+        path = held.get()
     return path.rstrip("/")
 
 
