@@ -119,7 +119,7 @@ def oracle_sql() -> dict[str, str]:
         "ecc_len": f"SELECT doc_id, {N} AS n_bytes, {CHUNKS} * 4 AS n_ecc, {N} AS n_message FROM documents",
         "ecc_parity": PARITY,
         "ecc_verify": f"SELECT doc_id, {CHUNKS} AS n_chunks, CASE WHEN doc_id % 4 > 0 THEN {CHUNKS} ELSE 0 END AS n_dirty FROM documents WHERE {N} > 0",
-        "ecc_correct": f"""SELECT doc_id, restored, CASE WHEN restored THEN errors END AS errors, CASE WHEN restored THEN sha END AS sha
+        "ecc_correct": f"""SELECT doc_id, restored, CASE WHEN restored THEN errors ELSE CAST(0 AS BIGINT) END AS errors, CASE WHEN restored THEN sha END AS sha
             FROM (SELECT doc_id, doc_id % 4 < 3 OR {N} < 3 AS restored, CAST(({CHUNKS} - 1) * (doc_id % 4) + least(doc_id % 4, {N} - 251 * ({CHUNKS} - 1)) AS BIGINT) AS errors, sha256(text) AS sha
             FROM documents WHERE {N} > 0)""",
         "two_phase_repair": f"SELECT doc_id, doc_id % 4 = 0 OR {N} = 0 AS first_ok, doc_id % 4 < 3 OR {N} < 3 AS repaired_ok FROM documents",

@@ -361,10 +361,10 @@ def ecc_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ecc_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents after repair: bytes corrected and content where it came back, which three bad bytes in a chunk rule out."""
+    """All documents after repair: bytes corrected (0 where content did not come back, which three bad bytes in a chunk rule out) and content."""
     r = ecc.repaired(_planted(spark, sf_dir), "doc_id", "text", carry=("sha",)).where(F.octet_length("text") > 0)
     back = F.sha2("text", 256) == F.col("sha")
-    return r.select("doc_id", back.alias("restored"), F.when(back, F.col("errors")).alias("errors"), F.when(back, F.col("sha")).alias("sha"))
+    return r.select("doc_id", back.alias("restored"), F.when(back, F.col("errors")).otherwise(0).cast("long").alias("errors"), F.when(back, F.col("sha")).alias("sha"))
 
 
 def two_phase_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
