@@ -11,11 +11,13 @@ units than H, similar sets agree in some segments; a cost model picks the alloca
 band. Spare units, a quarter of H, make similar sets agree in many segments at once.
 
 That is what keeps chance agreements out. A first exchange counts how many classes hold each
-key. A class with fewer shared keys than similar sets must have in common leaves the join; of
-its keys, the most frequent ones, as many as may be missing, need not be indexed. Classes that
-meet in groups of at most ``SMALL`` under a key are paired and their common keys counted; larger
-groups (families of near copies) are linked to their first class, so that candidates are at most
-``SMALL - 1`` for each key a class sends.
+key. A class with fewer shared keys than similar sets must have in common leaves the join. The
+shared keys of the others are dealt by a hash to one block fewer than similar sets have in common,
+so that these agree in two keys of some block: what is indexed is every two keys of a block. Sets that
+lack segments, and so may have fewer keys in common, also index coarser blocks, or at last single
+keys. Under an index entry every class is linked to the first one, and a class's equal links are
+made one where its chunk is: candidates are at most one for each entry that a class sends, and one for
+each class of a family, however large.
 
 Candidate clusters are then joined exactly by prefix filtering and counted intersections. A cluster
 is cut into blocks of bounded size; each block is joined in itself and with one centre of the whole
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import words as W
 from inkwell.llm.common import id_text, materialize, slices, spent, utf8
 from inkwell.llm.components import components
-from inkwell.llm.exchange import Chunks, chunked, gathered, packed_rows, replied, rescattered, resolved, scattered
+from inkwell.llm.exchange import CHUNK_BITS, Chunks, chunked, gathered, packed_rows, replied, rescattered, resolved, scattered
 
 WIDTH, PERCENT = 3, 90
 #: Tokens of a block at most, and about as many sets as the blocks of a family are cut to.
@@ -259,13 +261,12 @@ CLASS = {"check": np.uint64, "low": np.int64}
 NAMED = {"keys": np.uint64, "check": np.uint64, "low": np.int64}
 COUNTED = {"times": np.uint8}
 SEEN = {"keys": np.uint64, "times": np.uint8}
-KEYED = {"row": np.uint32, "context": np.uint16, "wild": np.uint32, "large": np.uint8}
+KEYED = {"row": np.uint32}
+LINK = {"row": np.uint32, "low": np.int64}
 LEAD = {"row": np.uint32, "node": np.int64}
 PLACED = {"row": np.uint32, "node": np.int64, "component": np.int64, "parts": np.int32, "block": np.int32}
 #: A chunk has fewer rows than this many bits count: each weighs 64 bytes at least.
 ROW_BITS = 20
-#: Keys of more classes than this link them to their first; classes of others are paired.
-SMALL = 64
 
 
 def _name_classes(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -295,65 +296,93 @@ def _count(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"chunk": got["chunk"][order][on], "keys": keys[on], "times": total[on].astype(np.uint8)}
 
 
-def _indexed(h: np.ndarray, percent: int, known: np.ndarray, times: np.ndarray):
-    """For each context, the keys of a set that go to the index: (context, keys, wildcards, which are large).
+def _twos(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """An entry for every two keys that a hash deals to the same one of ``blocks`` blocks."""
+    block = (W.mix(keys + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+    order = np.lexsort((keys, block))
+    keys, block = keys[order], block[order]
+    out = []
+    for d in range(1, len(keys)):
+        i = np.flatnonzero(block[d:] == block[:-d])
+        if not len(i):
+            break
+        out.append(W.mix(W.mix(keys[i] + np.uint64(blocks)) ^ keys[i + d]))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
 
-    Similar sets agree in ``agree`` segments, of which ``silent`` ones may have no common keys. With
-    fewer shared keys than the rest there is nothing to find; and of the most frequent ones as many
-    may be left out as leave one that both must index. Small ones are all sent, to be counted. One
-    common key is the least for a bare set: a partner that is not bare has some of its own.
+def _indexed(h: np.ndarray, percent: int, known: np.ndarray, times: np.ndarray):
+    """For each context, the shared keys of a set and what goes to the index: (context, keys, silent segments, entries).
+
+    Similar sets agree in ``agree`` segments, of which ``silent`` ones may have no common keys; with
+    fewer shared keys than the rest there is nothing to find. So they have as many keys in common as
+    the needier of both must have. With more than there are blocks, two of them meet in a block. A set whose
+    need is no larger than the number of blocks goes on to half as many, and then to its rarest
+    single keys, without as many of the most frequent ones as leave one that both index. What the needier
+    set indexes the other one does too. One common key is the least for a bare set: a partner that is
+    not bare has some of its own.
     """
     for c in contexts(h, percent):
         keys, silent = context_keys(h, c, percent)
         at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
         shared = known[at] == keys if len(known) else np.zeros(len(keys), bool)
         keys, often = keys[shared], times[at[shared]] if len(known) else times
-        least = max(1, allocation(c, percent).agree - silent)
+        agree = allocation(c, percent).agree
+        least = max(1, agree - silent)
         if len(keys) < least:
             continue
-        order = np.lexsort((keys, often))
-        keys, often = keys[order], often[order]
-        large = often > SMALL
-        send = ~large
-        send[: len(keys) - least + 1] = True
-        yield c, keys[send], silent + int(large.sum()), large[send]
+        entries = []
+        for blocks in (agree - 1, (agree - 1) // 2):
+            if blocks:
+                entries.append(_twos(keys, blocks))
+                if least > blocks:
+                    break
+        else:
+            entries.append(keys[np.lexsort((keys, often))][: len(keys) - least + 1])
+        yield c, keys, silent, np.unique(np.concatenate(entries))
+
+
+def _firsts(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The first class under each entry, once to every other class that sent one with it."""
+    node = (got["chunk"] << ROW_BITS) + got["row"]
+    order = np.lexsort((node, got["keys"]))
+    keys, node = got["keys"][order], node[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    low = np.repeat(node[first], np.diff(np.append(first, len(keys))))
+    node, low = _distinct(node[low != node], low[low != node])
+    return {"chunk": node >> ROW_BITS, "row": (node & ((1 << ROW_BITS) - 1)).astype(np.uint32), "low": low}
+
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of two columns."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return a[new], b[new]
+
+
+def _links(chunks: Chunks, firsts: DataFrame) -> DataFrame:
+    """u, v: every class's distinct links to first classes, from the replies of all shards to its task."""
 
-def _paired(percent: int):
     def run(batches):
-        """Pairs that meet under small keys with their number, and links to the first class of large keys."""
-        got = gathered(batches, KEYED)
-        if got is None:
-            return
-        node = (got["chunk"] << ROW_BITS) + got["row"]
-        order = np.lexsort((node, got["keys"]))
-        keys, node = got["keys"][order], node[order]
-        context, wild, large = (got[c][order] for c in ("context", "wild", "large"))
-        big = large > 0
-        k, n = keys[big], node[big]
-        if len(k):
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            low = np.repeat(n[first], np.diff(np.append(first, len(k))))
-            edges = np.unique(np.stack([low, n], 1)[low != n], axis=0)
-            if len(edges):
-                zero = np.zeros(len(edges), np.int64)
-                yield pa.RecordBatch.from_pydict({"u": edges[:, 0], "v": edges[:, 1], "context": zero - 1, "times": zero, "lack": zero})
-        keys, node, context, wild = keys[~big], node[~big], context[~big].astype(np.int64), wild[~big].astype(np.int64)
-        parts = []
-        for d in range(1, SMALL):
-            i = np.flatnonzero(keys[d:] == keys[:-d])
-            if not len(i):
-                break
-            parts.append(np.stack([node[i], node[i + d], context[i], np.minimum(wild[i], wild[i + d])], 1))
-        if not parts:
-            return
-        x = np.concatenate(parts)
-        x = x[x[:, 0] != x[:, 1]]
-        x, times = np.unique(x, axis=0, return_counts=True)
-        agree = np.array([allocation(c, percent).agree for c in range(int(x[:, 2].max(initial=0)) + 1)])
-        yield pa.RecordBatch.from_pydict({"u": x[:, 0], "v": x[:, 1], "context": x[:, 2], "times": times, "lack": agree[x[:, 2]] - x[:, 3]})
-
-    return run
+        task, held = None, []
+
+        def out():
+            chunk = (task << CHUNK_BITS) + np.concatenate([nth for nth, _, _ in held]).astype(np.int64)
+            node, low = _distinct((chunk << ROW_BITS) + np.concatenate([row for _, row, _ in held]), np.concatenate([low for _, _, low in held]))
+            return pa.RecordBatch.from_pydict({"u": low, "v": node})
+
+        for b in batches:
+            columns = [b.column(c) for c in ("nth", "row", "low")]
+            for i, t in enumerate(b.column("task").to_pylist()):
+                if t != task and held:
+                    yield out()
+                    held = []
+                task = t
+                held.append([np.frombuffer(x[i].as_buffer(), kind) for x, kind in zip(columns, (np.uint16, np.uint32, np.int64), strict=True)])
+        if held:
+            yield out()
+
+    return firsts.repartitionById(chunks.tasks, F.col("task")).sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
 def class_table(docs: DataFrame, key: str, text: str, width: int) -> tuple[Chunks, DataFrame]:
@@ -405,23 +434,19 @@ def similarity_links(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         """A chunk's index entries, given the numbers of its keys."""
         order = np.argsort(counts["keys"])
         known, times = counts["keys"][order], counts["times"][order]
-        keys, columns = [], {c: [] for c in KEYED}
+        keys, rows = [], []
         for h, row, _ in _picked(table, lead, text, width):
-            for c, k, wild, large in _indexed(h, percent, known, times):
-                keys.append(k)
-                for name, x in (("row", row), ("context", c), ("wild", wild)):
-                    columns[name].append(np.full(len(k), x, KEYED[name]))
-                columns["large"].append(large.astype(np.uint8))
-        return (np.concatenate(keys), {c: np.concatenate(x) for c, x in columns.items()}) if keys else (np.empty(0, np.uint64), {})
+            sent = [entries for _, _, _, entries in _indexed(h, percent, known, times)]
+            keys += sent
+            rows += [np.full(len(k), row, np.uint32) for k in sent]
+        return (np.concatenate(keys), {"row": np.concatenate(rows)}) if keys else (np.empty(0, np.uint64), {})
 
     counted = materialize(replied(rescattered(chunks, [(packed, LEAD)], COUNTED, count), COUNTED, SEEN, _count))
-    pairs = rescattered(chunks, [(packed, LEAD), (counted, SEEN)], KEYED, index).mapInArrow(_paired(percent), "u long, v long, context long, times long, lack long")
-    met = materialize(pairs.groupBy("u", "v", "context").agg(F.sum("times").alias("times"), F.max("lack").alias("lack")).where("times >= lack").select("u", "v"))
+    firsts = replied(rescattered(chunks, [(packed, LEAD), (counted, SEEN)], KEYED, index), KEYED, LINK, _firsts)
+    candidates = components(_links(chunks, firsts))
     spent(packed, counted)
-    candidates = components(met)
     place = F.shiftleft(F.col("chunk"), ROW_BITS) + F.col("row")
     clustered = materialize(candidates.withColumnRenamed("node", "place").join(leads.withColumn("place", place), "place").drop("place"))
-    spent(met)
     return rows, _joined_blocks(materialize(_sets_of(chunks, _blocks(clustered, block_tokens), text, width)), percent, block_tokens)
 
 

@@ -247,6 +247,49 @@ def test_small_sets_that_lack_segments_are_candidates(percent):
     assert tried > 50
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+@pytest.mark.parametrize("most", [14, 300])
+def test_similar_sets_have_an_index_entry_in_common(percent, most):
+    """Sets of all sizes, half of them with all elements in few segments."""
+    rng, tried = np.random.default_rng(percent + most), 0
+    for nth in range(1500):
+        places = rng.integers(0, 1 << 32, 3 if nth % 2 else 400).astype(np.uint64) << np.uint64(32)
+        a = np.unique(rng.choice(places, n := int(rng.integers(1, most))) | rng.integers(0, 1 << 32, n).astype(np.uint64))
+        k = int(rng.integers(0, max(2, len(a) * (100 - percent) // 80)))
+        b = np.unique(np.concatenate([np.delete(a, rng.permutation(len(a))[: k // 2]), rng.integers(0, 1 << 64, k - k // 2, np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if not len(b) or np.array_equal(a, b) or 100 * common < percent * (len(a) + len(b) - common):
+            continue
+        tried += 1
+        keys, times = np.unique(np.concatenate([jaccard.context_keys(s, c, percent)[0] for s in (a, b) for c in jaccard.contexts(s, percent)]), return_counts=True)
+        sent = [np.concatenate([np.empty(0, np.uint64), *(entries for _, _, _, entries in jaccard._indexed(s, percent, keys[times > 1], times[times > 1].astype(np.uint8)))]) for s in (a, b)]
+        assert len(np.intersect1d(*sent))
+    assert tried > 50
+
+
+def test_candidates_of_a_family_grow_with_its_size_only(spark, monkeypatch):
+    """A family of near copies is linked to its first classes, not in pairs."""
+    plain, seen = jaccard.components, []
+
+    def counted(edges, *rest):
+        seen.append(edges.count())
+        return plain(edges, *rest)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    rng, made = np.random.default_rng(4), []
+    for size in (12, 60):
+        rows = []
+        for i in range(size):
+            w = [f"t{j}" for j in range(150)]
+            w[int(rng.integers(150))] = f"e{i}"
+            rows.append((i, " ".join(w)))
+        seen.clear()
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        same_rows([tuple(r) for r in got], brute_components(rows, 3, 90))
+        made.append(seen[0])
+    assert made[1] <= 8 * made[0]
+
+
 def test_short_documents_are_joined(spark):
     """Five words in one of three segments, and the same five with one in another segment."""
     word = [f"v{i}" for i in range(60)]
