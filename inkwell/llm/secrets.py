@@ -7,15 +7,18 @@ characters and ``CONTEXT`` characters on either side. A run longer than ``PART``
 overlapping parts that cover all of it; the parts that score, widened to whole words, are the
 findings. One that a base finding covers is not listed again.
 
-The network learns from labelled findings: base findings of a bounded sample of documents, each
-also without its keyword and in another context, and generated credentials in generated contexts,
-against plain tokens (numbers, dates, versions, addresses, identifiers). Labelled rows are split
-in three: the network is trained on the first part, Platt scaling on the second calibrates its
-scores, and on the third the threshold is the largest that still recalls ``recall`` of findings.
+The network learns from labelled findings: base findings of all documents, each also without its
+keyword and in another context, and generated credentials in generated contexts, against plain
+tokens (numbers, dates, versions, addresses, identifiers). Equal windows are one row with their number.
+Labelled rows are split in three by a hash: the network is trained on the first part, Platt scaling on
+the second calibrates its scores, and on the third the threshold is the largest that still recalls
+``recall`` of all findings and of the generated ones alone. No labelled row is gathered on the driver: groups of rows are trained side by
+side and their weights averaged, round by round, and scores come as numbers for each ``1 / STEPS``.
+The rows of the table weigh as much as the generated ones at most.
 
 Null and empty texts have no findings. Each row, repeated ones too, gives one row; an empty table
 gives an empty result; other columns are not read, so none can clash. Offsets are code points, end
-exclusive. Nothing is shuffled.
+exclusive. Only labelled windows are shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import cnn
-from inkwell.llm.common import id_text, sampled
+from inkwell.llm.common import id_text, materialize, spent
 
 #: Fixed patterns; letters of ``assign`` keywords in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -43,6 +46,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT, PART = 24, 48
 LENGTH = CONTEXT + 1 + PART + 1 + CONTEXT
+#: Labelled windows of a group and groups at most, rounds of training and epochs of each.
+GROUP, GROUPS, ROUNDS, EPOCHS = 8192, 256, 5, 2
+#: Steps of one in which scores are counted.
+STEPS = 1024
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -175,8 +182,10 @@ class SecretModel:
     def probability(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.empty(0)
-        z = self.net.logits(x)
-        return 1 / (1 + np.exp(-np.clip(self.slope * (z[:, 1] - z[:, 0]) + self.shift, -30, 30)))
+        return self.calibrated(margins(self.net, x))
+
+    def calibrated(self, d: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * d + self.shift, -30, 30)))
 
     def findings(self, texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int, float]]]]:
         """Base spans of each text, and spans with scores that the network adds."""
@@ -222,13 +231,17 @@ def elsewhere(text: str, a: int, b: int, nth: int) -> tuple[str, int, int]:
     return before + value + after, len(before), len(before) + len(value)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = 2000, made: int = 4000, recall: float = 0.95) -> SecretModel:
-    """Fit on findings of about ``documents`` sampled rows and ``made`` generated ones."""
-    rows = sampled(id_text(docs, key, text).where(F.length(text) > 0), key, documents)
+def margins(net: cnn.ByteCNN, x: np.ndarray) -> np.ndarray:
+    z = net.logits(x)
+    return (z[:, 1] - z[:, 0]).astype(float)
+
+
+def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """x, y, n, fold: every distinct labelled window of all documents, with its number."""
 
     def gather(batches):
         for b in batches:
-            for k, t in zip(b.column(key).to_pylist(), b.column(text).to_pylist(), strict=True):
+            for t in b.column(text).to_pylist():
                 base = base_spans(t)
                 touched = lambda a, e: any(s < e and a < f for s, _, f in base)  # noqa: E731, B023
                 spans = [(t, a, e, 1) for a, _, e in base] + [(t, a, e, 0) for a, e in candidates(t) if not touched(a, e)]
@@ -236,34 +249,104 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: i
                 if spans:
                     spans = [(s, p, q, y) for s, a, e, y in spans for p, q in parts(a, e)]
                     x = [windows(s, [(a, e)])[0] for s, a, e, _ in spans]
-                    yield pa.RecordBatch.from_pydict({"k": [k] * len(spans), "x": [r.tobytes() for r in x], "y": [s[3] for s in spans]}, pa.schema([("k", pa.int64()), ("x", pa.binary()), ("y", pa.int32())]))
+                    yield pa.RecordBatch.from_pydict({"x": [r.tobytes() for r in x], "y": [s[3] for s in spans]}, pa.schema([("x", pa.binary()), ("y", pa.int32())]))
+
+    rows = id_text(docs, key, text).where(F.length(text) > 0).mapInArrow(gather, "x binary, y int")
+    return rows.groupBy("x", "y").agg(F.count("*").alias("n")).withColumn("fold", F.pmod(F.xxhash64("x", "y"), F.lit(5)).cast("int"))
+
+
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels and weights. Unlabelled runs may be secrets themselves: they weigh less than generated ones."""
+    x = np.frombuffer(b"".join(v.as_buffer() for v in batch.column("x")), np.uint8).reshape(-1, LENGTH)
+    y = batch.column("y").to_numpy().astype(np.int64)
+    return x, y, np.where(y == 1, 1.0, 0.2) * batch.column("n").to_numpy()
+
+
+def fitted(net: cnn.ByteCNN, rows: DataFrame, groups: int, x: np.ndarray, y: np.ndarray) -> cnn.ByteCNN:
+    """The network trained on all ``rows`` and on generated ``x`` and ``y``, which every group has besides its rows."""
+    names = ("emb", "conv", "bias", "out", "base")
+
+    def learn(batches):
+        held = [_opened(b) for b in batches if b.num_rows]
+        if held:
+            ours, labels, weight = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((labels, *ours.T[::-1]))
+            ours, labels, weight = ours[order], labels[order], weight[order]
+            weight = np.concatenate([np.ones(len(y)), weight * min(1.0, len(y) / weight.sum())])
+            now.train(np.concatenate([x, ours]), np.concatenate([y, labels]), epochs=EPOCHS, weights=weight, seed=nth)
+            yield pa.RecordBatch.from_pydict({"first": [ours[0].tobytes()], "rows": [len(ours)], "net": [np.concatenate([getattr(now, k).ravel() for k in names]).tobytes()]})
+
+    dealt = rows.select("x", "y", "n", F.pmod(F.xxhash64("y", "x"), F.lit(max(1, groups))).cast("int").alias("part"))
+    for nth in range(ROUNDS):
+        now = net
+        got = sorted(dealt.repartitionById(groups, F.col("part")).select("x", "y", "n").mapInArrow(learn, "first binary, rows long, net binary").collect(), key=lambda r: bytes(r.first)) if groups else []
+        if not got:
+            net.train(x, y, epochs=EPOCHS, seed=nth)
+            continue
+        mean = np.average([np.frombuffer(r.net, np.float32) for r in got], axis=0, weights=[r.rows for r in got]).astype(np.float32)
+        at = 0
+        for k in names:
+            size = getattr(net, k).size
+            setattr(net, k, mean[at : at + size].reshape(getattr(net, k).shape))
+            at += size
+    return net
+
+
+def _counted(net: cnn.ByteCNN, rows: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """For each fold and label, the least margin in each step, rising, with the number of windows and how many are distinct."""
+
+    def score(batches):
+        for b in batches:
+            if b.num_rows:
+                d = margins(net, _opened(b)[0])
+                yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("y"), b.column("n"), pa.array(d), pa.array(np.floor(d * STEPS).astype(np.int64))], ["fold", "y", "n", "d", "step"])
+
+    scored = rows.mapInArrow(score, "fold int, y int, n long, d double, step long")
+    out: dict[tuple[int, int], list] = {}
+    for r in scored.groupBy("fold", "y", "step").agg(F.min("d").alias("d"), F.sum("n").alias("n"), F.count("*").alias("m")).collect():
+        out.setdefault((r.fold, r.y), []).append((r.d, r.n, r.m))
+    return {k: np.array(sorted(v), float) for k, v in out.items()}
+
 
-    got = sorted(rows.mapInArrow(gather, "k long, x binary, y int").collect(), key=lambda r: (bytes(r.x), r.y, r.k if r.k is not None else -1))
-    # Unlabelled runs of the sample may be secrets themselves: they weigh less than generated ones.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", made: int = 4000, recall: float = 0.95) -> SecretModel:
+    """Fit on the findings of all documents and ``made`` generated ones."""
+    rows = materialize(labelled(docs, key, text))
     made_x, made_y = (a + b for a, b in zip(generated(made), embedded(made // 3), strict=True))
-    x = np.concatenate([np.stack([windows(t, [(a, b)])[0] for t, a, b in made_x]), *[np.frombuffer(r.x, np.uint8)[None] for r in got]])
-    y = np.array(made_y + [r.y for r in got])
-    weight = np.array([1.0] * len(made_y) + [1.0 if r.y else 0.2 for r in got])
+    x, y = np.concatenate([windows(t, [(a, b)]) for t, a, b in made_x]), np.array(made_y)
     order = np.random.default_rng(4).permutation(len(y))
     use, scale, last = np.split(order, [3 * len(y) // 5, 4 * len(y) // 5])
-    net = cnn.ByteCNN(2, LENGTH, widths=(2, 3, 5), filters=16, seed=8).train(x[use], y[use], epochs=10, weights=weight[use])
-    z = net.logits(x[scale])
-    d, t, w = (z[:, 1] - z[:, 0]).astype(float), y[scale], weight[scale]
-    slope, shift = 1.0, 0.0
+    learnt = rows.where("fold < 3")
+    n = learnt.count()
+    net = fitted(cnn.ByteCNN(2, LENGTH, widths=(2, 3, 5), filters=16, seed=8), learnt, min(GROUPS, -(-n // GROUP)), x[use], y[use])
+    found = _counted(net, rows.where("fold >= 3"))
+    spent(rows)
+    none = np.empty((0, 3))
+    theirs = {(fold, label): found.get((fold, label), none) for fold in (3, 4) for label in (0, 1)}
+    model = SecretModel(net, 1.0, 0.0, 0.5)
+    model.sizes = {"network": len(use) + n, **{k: len(own) + int(sum(theirs[fold, label][:, 2].sum() for label in (0, 1))) for k, own, fold in (("scale", scale, 3), ("threshold", last, 4))}}
+    d = np.concatenate([margins(net, x[scale]), theirs[3, 0][:, 0], theirs[3, 1][:, 0]])
+    t = np.concatenate([y[scale], np.zeros(len(theirs[3, 0])), np.ones(len(theirs[3, 1]))])
+    w = np.concatenate([0.2 * theirs[3, 0][:, 1], theirs[3, 1][:, 1]])
+    w = np.concatenate([np.ones(len(scale)), w * min(1.0, len(scale) / max(w.sum(), 1e-9))])
     for _ in range(200):  # Platt scaling
-        p = 1 / (1 + np.exp(-np.clip(slope * d + shift, -30, 30)))
+        p = model.calibrated(d)
         g = w * (p - t)
-        slope, shift = slope - 0.05 * float((g * d).sum() / w.sum()), shift - 0.5 * float(g.sum() / w.sum())
-    model = SecretModel(net, slope, shift, 0.5, sizes={"network": len(use), "scale": len(scale), "threshold": len(last)})
-    p = model.probability(x[last])[y[last] == 1]
-    model.threshold = recalling(p, recall)
-    model.recalled = float((p >= model.threshold).mean()) if len(p) else 0.0
+        model.slope, model.shift = model.slope - 0.05 * float((g * d).sum() / w.sum()), model.shift - 0.5 * float(g.sum() / w.sum())
+    own, w = model.calibrated(margins(net, x[last][y[last] == 1])), theirs[4, 1][:, 1]
+    p = np.concatenate([own, model.calibrated(theirs[4, 1][:, 0])])
+    w = np.concatenate([np.ones(len(own)), w * min(1.0, len(own) / max(w.sum(), 1e-9))])
+    model.threshold = min(recalling(own, recall), recalling(p, recall, w))
+    model.recalled = float(w[p >= model.threshold].sum() / w.sum()) if len(p) else 0.0
     return model
 
 
-def recalling(found: np.ndarray, recall: float) -> float:
+def recalling(found: np.ndarray, recall: float, weight: np.ndarray | None = None) -> float:
     """The largest score that ``recall`` of the findings reach; one half without findings."""
-    return float(np.sort(found)[min(int((1 - recall) * len(found)), len(found) - 1)]) if len(found) else 0.5
+    if not len(found):
+        return 0.5
+    order = np.argsort(found, kind="stable")
+    below = np.cumsum(np.ones(len(found)) if weight is None else weight[order])
+    return float(found[order][min(int(np.searchsorted(below, (1 - recall) * below[-1], "right")), len(found) - 1)])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

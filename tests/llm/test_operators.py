@@ -473,6 +473,19 @@ def test_secrets_calibration_and_recall_on_rows_of_their_own(spark):
     assert clash.spans == "assign:0:14"
 
 
+def test_secrets_learn_from_every_document(spark):
+    """More documents than any former sample, and more than one group: all of their findings are labelled rows."""
+    rows = [(i, f"see key{i:05}x and password = Hunter{i:05}") for i in range(9000)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = secrets.labelled(df).groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect()
+    want = [w for r in [*rows, rows[0]] for w in secrets.base_spans(r[1])]
+    assert {r.y: r.n for r in got}[1] == 2 * len(want) == 18002
+    model = secrets.train(df, made=800)
+    plain = secrets.train(df.limit(0), made=800)
+    assert sum(model.sizes.values()) - sum(plain.sizes.values()) == sum(r.m for r in got) >= 18000
+    assert model.recalled >= 0.95
+
+
 def test_secrets_threshold_keeps_recall():
     rng = np.random.default_rng(1)
     for scores in (rng.random(200), rng.random(200) * 0.4, np.array([0.1] * 10 + [0.9] * 90), np.array([0.2])):
