@@ -166,6 +166,28 @@ def test_tails_of_large_files(spark, tmp_path):
     assert all(got[b.block_end].recovered_len == b.block_end for b in blocks)
 
 
+def test_stream_assignment_of_parts_is_that_of_rows():
+    from inkwell.streaming.streams import _assigned
+
+    rnd = random.Random(3)
+    for most in (1, 2, 3, 50):
+        block, comps, state = 0, -1, (0, -1)
+        for _ in range(60):
+            ops = [rnd.choice((0, 0, 1, -1)) for _ in range(rnd.randint(1, most))]
+            number, comp, *state = _assigned(np.array(ops, np.int8), *state)
+            for i, op in enumerate(ops):
+                if op == 0:
+                    comps += 1
+                    assert (number[i], comp[i]) == (block, comps)
+                    continue
+                if comps >= 0:
+                    block, comps = block + 1, -1
+                if op == 1:
+                    assert (number[i], comp[i]) == (block, 0)
+                    block += 1
+            assert tuple(state) == (block, comps)
+
+
 def test_running_values(spark):
     df = ranged(spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v")).repartition(5), "k")
     s = running_sum(df, "v", "s", "k").orderBy("k").collect()
