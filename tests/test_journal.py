@@ -166,6 +166,118 @@ def test_tails_of_large_files(spark, tmp_path):
     assert all(got[b.block_end].recovered_len == b.block_end for b in blocks)
 
 
+def _one_segment(spark, path, kinds, **options):
+    ops, _ = make_ops(spark, kinds)
+    scan.enable(spark)
+    scan.frames(layout.assign_blocks(ops)).coalesce(1).sortWithinPartitions("block_no", "comp_no").write.format("journal").options(**options).mode("append").save(path)
+    return segments(path)[0]
+
+
+def _planned(path, **options):
+    return journal.JournalReader(journal._Options({"path": path, **options})).partitions()
+
+
+def test_one_file_is_assembled_from_segments_in_pieces(spark, tmp_path):
+    """Bytes as one task writes them, with borders of segments; bytes inverted and the end cut off on the way."""
+    ops, _ = make_ops(spark, ["atomic", "content", "content"] * 60)
+    rows = scan.frames(layout.assign_blocks(ops))
+    many, one, copy, bad = (str(tmp_path / x) for x in ("many", "one", "copy", "bad"))
+    scan.enable(spark)
+    rows.repartitionByRange(5, "block_no").sortWithinPartitions("block_no", "comp_no").write.format("journal").option("splitBytes", "4000").mode("append").save(many)
+    assert len(segments(many)) > 1
+    rows.coalesce(1).sortWithinPartitions("block_no", "comp_no").write.format("journal").mode("append").save(one)
+    (want,) = (open(f, "rb").read() for f in segments(one))
+    made = scan.as_one_file(spark, many, copy, piece=1000)
+    assert segments(copy) == [made] and open(made, "rb").read() == want
+    (was,), (facts,) = manifest(one).values(), manifest(copy).values()
+    assert {k: v for k, v in facts.items() if k != "cuts"} == {k: v for k, v in was.items() if k != "cuts"}
+    places = [0, 999, 1000, 1001, 4321, len(want) - 60]
+    made = scan.as_one_file(spark, many, bad, flips=spark.createDataFrame([(p,) for p in [*places, len(want) - 1]], "at long"), size=len(want) - 7, piece=1000)
+    got = open(made, "rb").read()
+    assert len(got) == len(want) - 7 and [i for i, (a, b) in enumerate(zip(got, want)) if a != b] == places and all(got[p] == want[p] ^ 0xFF for p in places)
+
+
+def test_queries_of_one_file_do_not_gather_it_in_a_task(spark):
+    """The only file, its damaged copy and the streams' input come from many tasks: none sorts or joins the whole table."""
+    import inspect
+
+    from inkwell.plans import queries
+
+    assert "coalesce(1)" not in inspect.getsource(queries)
+
+
+def test_published_files_are_planned_without_a_walk(spark, tmp_path, monkeypatch):
+    """Also if they were cut since or grew, and from a hint on, which takes a walk to the next border only."""
+    path = str(tmp_path / "j")
+    file = _one_segment(spark, path, ["atomic"] * 200, splitBytes="2000")
+    size, blocks = os.path.getsize(file), scan.read(spark, path, "blocks").orderBy("mn_start").collect()
+    steps = []
+    walk = journal.light_walk
+    monkeypatch.setattr(journal, "light_walk", lambda *a: (steps.append(x) or x for x in walk(*a)))
+    whole = _planned(path, view="blocks", splitBytes="2000")
+    hinted = _planned(path, view="blocks", splitBytes="2000", startHint=str(blocks[50].block_start))
+    assert len(steps) < 30 and hinted[0].start == blocks[50].mn_start and hinted[0].first_block == 0
+    assert [(r.start, r.first_block) for r in hinted[1:]] == [(r.start, r.first_block - 50) for r in whole if r.start > blocks[50].mn_start]
+    steps.clear()
+    with open(file, "r+b") as f:
+        f.truncate(size - 5)
+    cut = _planned(path, view="blocks", splitBytes="2000")
+    assert len(steps) < 60 and [(r.start, r.first_block) for r in cut] == [(r.start, r.first_block) for r in whole] and cut[-1].end == size - 5
+    offset = journal.JournalStreamReader(journal._Options({"path": path})).latestOffset()
+    assert offset[file][1] == 199 and offset[file][0] == blocks[198].block_end
+    with open(file, "r+b") as f:
+        data = f.read()
+        f.truncate(0)
+        f.seek(0)
+        f.write(data[: blocks[198].block_end] + data[blocks[3].mn_start : blocks[3].block_end] * 40)
+    grown = scan.read(spark, path, "blocks", splitBytes="2000").orderBy("mn_start").collect()
+    assert [b.block_no for b in grown] == list(range(199 + 40)) and {b.state for b in grown} == {"Closed"}
+
+
+def test_streams_take_published_files_in_their_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "j")
+    file = _one_segment(spark, path, ["atomic"] * 100, splitBytes="2000")
+    steps = []
+    walk = journal.light_walk
+    monkeypatch.setattr(journal, "light_walk", lambda *a: (steps.append(x) or x for x in walk(*a)))
+    reader = journal.JournalStreamReader(journal._Options({"path": path}))
+    end = reader.latestOffset()
+    assert not steps and end == {file: [os.path.getsize(file), 100]}
+    parts = reader.partitions({}, end)
+    assert len(parts) > 3 and [(r.start, r.end, r.first_block) for r in parts] == [(r.start, r.end, r.first_block) for r in _planned(path)]
+    assert reader.partitions(end, end) == []
+
+
+def test_damage_leaves_ranges_and_batches_small(spark, tmp_path, monkeypatch):
+    """A file of another writer, damaged near its start: the walk goes on behind it, and no task holds the rest."""
+    path = str(tmp_path / "j")
+    file = _one_segment(spark, path, ["atomic", "content", "content"] * 200)
+    other = str(tmp_path / "other.journal")
+    data = bytearray(open(file, "rb").read())
+    at = [b.block_start for b in scan.read(spark, path, "blocks").orderBy("mn_start").collect()]
+    for i in (2, 150, 151):
+        data[at[i] : at[i] + 8] = b"\xff" * 8
+    data[at[80] + 30 : at[80] + 34] = b"\xff" * 4
+    open(other, "wb").write(data)
+    parts = _planned(other, view="blocks", splitBytes="4000")
+    assert len(parts) > 5 and max(p.end - p.start for p in parts) < 8000
+    sizes = []
+    read = journal.RetryingFile.read
+    monkeypatch.setattr(journal.RetryingFile, "read", lambda self, size=-1: sizes.append(size) or read(self, size))
+    monkeypatch.setattr(journal, "ROWS", 16)
+    rows = []
+    for whole in (parts, [journal.Range(other, 11, len(data), 0)]):
+        o = journal._Options({"path": other, "view": "blocks", "splitBytes": "4000"})
+        batches = [b for p in whole for b in journal.read_range(p, o)]
+        assert max(b.num_rows for b in batches) <= 16
+        rows.append([r for b in batches for r in b.to_pylist()])
+    assert min(sizes) > 0 and max(sizes) < 8000
+    want = list(Journal(bytes(data[11:]), LAYOUT, 11).walk(resync=True))
+    for got in rows:
+        assert [(r["block_no"], r["mn_start"], r["state"], r["state_at"], r["block_end"], r["n_components"]) for r in got] == [(i, b.mn_start, b.state, b.at, b.block_end, len(b.components)) for i, b in enumerate(want)]
+    assert sum(b.state != "Closed" for b in want) >= 3
+
+
 def test_stream_assignment_of_parts_is_that_of_rows():
     from inkwell.streaming.streams import _assigned
 
