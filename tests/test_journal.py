@@ -538,3 +538,19 @@ def test_entry_queries_have_names_and_sql():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 36
+
+
+def test_tails_at_many_cuts_open_the_file_once_a_task(spark, tmp_path, monkeypatch):
+    """Cuts in any order; each task opens the file once and reads on through it."""
+    path = str(tmp_path / "j")
+    file = _one_segment(spark, path, ["atomic", "content", "content"] * 40)
+    blocks = scan.read(spark, path, "blocks").orderBy("mn_start").collect()
+    cuts = [b.block_end - i for b in blocks for i in (0, 7)]
+    random.Random(1).shuffle(cuts)
+    data = open(file, "rb").read()
+    run = integrity.tail_recovery_at(spark.createDataFrame([(c,) for c in cuts], "cut long").coalesce(1), file)
+    rows = run.collect()
+    assert [r.cut for r in rows] == sorted(cuts)
+    for r in rows:
+        want = Journal(data[11 : r.cut], LAYOUT, 11, "sha256").recover()
+        assert (r.recovered_len, r.has_blocks) == (want["recovered_len"], want["has_blocks"])
