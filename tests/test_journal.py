@@ -554,3 +554,15 @@ def test_tails_at_many_cuts_open_the_file_once_a_task(spark, tmp_path, monkeypat
     for r in rows:
         want = Journal(data[11 : r.cut], LAYOUT, 11, "sha256").recover()
         assert (r.recovered_len, r.has_blocks) == (want["recovered_len"], want["has_blocks"])
+
+
+def test_writer_turns_few_rows_at_a_time_into_objects():
+    import gc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"block_no": list(range(5000)), "payload": [b"x" * 9] * 5000})
+    rows = journal.rows_of(iter([batch]))
+    assert next(rows).block_no == 0
+    assert sum(type(x).__name__ == "Frame" for x in gc.get_objects()) < 600
+    assert [r.block_no for r in rows] == list(range(1, 5000))
